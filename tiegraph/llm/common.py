@@ -2,62 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tiegraph.plans.lineage import drop_folder, fresh_path, materialize, shared_dir, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: spark.checkpoint.dir, else (tests) a temporary one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tiegraph-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-_owned: set[str] = set()
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def _sweep() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        for path in list(_owned):
-            try:
-                drop_folder(spark, path)
-            except Exception:  # the session may be gone already; its folder then stays for the cluster's own clean-up
-                return
-
-
-atexit.register(_sweep)
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/tiegraph/{label}-{uuid.uuid4().hex}"
-    _owned.add(path)
-    return path
-
-
-def stash(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. Also the path."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    return stash(df, label, codec)[0]
+__all__ = ["drop_folder", "fresh_path", "materialize", "running_start", "shared_dir", "small_batches", "stash", "text_of"]
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
