@@ -1,18 +1,55 @@
-"""Corpus pipeline: stages, each (name, function of (spark, docs, sf_dir)), written and read between stages."""
+"""Corpus pipeline: from raw documents to packed token sequences.
+
+Each stage works on all rows that the one before kept, is written as Parquet and read again: a lost executor costs no
+more than the stage it was in. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tiegraph.llm import common, decontaminate, jaccard_join, packing, pii, quality
+
+#: A key of the test pipeline; production takes its own.
+PII_KEY = b"tiegraph pipeline key"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that nearest-neighbour voting doesn't reject."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
-from tiegraph.llm import common, packing
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return jaccard_join.keep_one(docs, size=5, percent=80)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and secrets; n_chars follows the new text."""
+    return pii.redact(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens, sources mixed by their shares in every window."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_distinct),
+    ("benchmark decontamination", keep_clean),
+    ("PII", replace_private),
+    ("packing", packed),
+]
+
+#: None: token ids and the classifier aren't expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

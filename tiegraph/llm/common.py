@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tiegraph.plans.lineage import drop_folder, fresh_path, materialize, shared_dir, stash
 
-__all__ = ["drop_folder", "fresh_path", "materialize", "running_start", "shared_dir", "small_batches", "stash", "text_of"]
+__all__ = ["drop_folder", "few", "fresh_path", "materialize", "running_start", "shared_dir", "small_batches", "stash", "text_of"]
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -17,6 +17,15 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: The most rows of a narrow table that are broadcast; beyond it a join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows (counted unless given); else as it is."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 

@@ -22,7 +22,6 @@ from tiegraph.llm import common
 SHINGLE = 5
 RADIUS = 18
 BITS = 64
-BROADCAST_ROWS = 500_000
 _WIDTHS = [BITS // (RADIUS + 1) + (k < BITS % (RADIUS + 1)) for k in range(RADIUS + 1)]
 
 
@@ -73,11 +72,6 @@ def weight(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(0), lambda acc, s: acc + F.length(s))
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast if ``rows``, counted before, are few; else the optimizer's choice."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, window_start, similarity): every document that holds a passage like an item, its best window.
 
@@ -101,11 +95,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     hits = None
     for size in sizes:
         at = slim.select("doc_id", once(words_of(F.col("text"))).alias("words")).select("doc_id", F.posexplode(shingle_hashes(F.col("words"), size)).alias("pos", "h"))
-        found = at.join(_few(keys.where(F.col("size") == size), n_keys), "h").select("doc_id", "n_words", "size", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"))
+        found = at.join(common.few(keys.where(F.col("size") == size), n_keys), "h").select("doc_id", "n_words", "size", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"))
         hits = found if hits is None else hits.unionByName(found)
     windows = hits.distinct().groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words", "size")).alias("windows"))
     windows = common.materialize(windows, "leak-windows")
-    texts = slim.join(_few(windows, windows.count()), "doc_id").select("doc_id", "windows", once(words_of(F.col("text"))).alias("words"))
+    texts = slim.join(common.few(windows, windows.count()), "doc_id").select("doc_id", "windows", once(words_of(F.col("text"))).alias("words"))
     cut = texts.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", "w.start", "w.n_words", "w.size", once(F.slice("words", F.col("w.start") + 1, F.col("w.n_words"))).alias("words"))
     by_size = F.lit(None).cast("array<string>")
     for size in sizes:
@@ -115,7 +109,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     probe = cut.select("doc_id", "start", "n_words", "texts", "bits", F.explode(blocks(F.col("bits"))).alias("block")).select("*", "block.k", "block.v")
     index = prints.select("item_id", "n_words", F.col("texts").alias("item_texts"), F.col("bits").alias("item_bits"), F.explode(blocks(F.col("bits"))).alias("block"))
     index = index.select("item_id", "n_words", "item_texts", "item_bits", "block.k", "block.v")
-    near = probe.join(_few(index, n_keys * (RADIUS + 1)), ["n_words", "k", "v"]).where(hamming(F.col("bits"), F.col("item_bits")) <= RADIUS)
+    near = probe.join(common.few(index, n_keys * (RADIUS + 1)), ["n_words", "k", "v"]).where(hamming(F.col("bits"), F.col("item_bits")) <= RADIUS)
     near = near.dropDuplicates(["doc_id", "start", "n_words", "item_id"])
     common_weight = weight(F.array_intersect("texts", "item_texts"))
     scored = near.withColumn("similarity", common_weight / weight(F.array_union("texts", "item_texts"))).where(F.col("similarity") >= threshold)
@@ -125,5 +119,5 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that leak no item; rows without doc_id stay."""
-    found = leaks(docs.select("doc_id", "text"), items, threshold).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = common.materialize(leaks(docs.select("doc_id", "text"), items, threshold).select("doc_id").distinct(), "leaking")
+    return docs.join(common.few(found), "doc_id", "left_anti").select(*docs.columns)

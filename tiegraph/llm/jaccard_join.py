@@ -275,6 +275,11 @@ def linked_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component; one of repeated rows; rows without id stay."""
-    found = linked_components(docs.select("doc_id", "text"), size, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = common.materialize(linked_components(docs.select("doc_id", "text"), size, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count("*").alias("rows")), "jaccard-kept")
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    kept = docs.join(common.few(gone), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id = component_id and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)

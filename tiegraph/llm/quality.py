@@ -77,6 +77,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> dict | None:
     return {"idf": idf, "axes": axes, "vectors": _unit(x @ axes), "labels": np.array(table.column("label").to_pylist(), np.float32)}
 
 
+def votes(texts: list[str | None], model: dict | None) -> np.ndarray:
+    """Scores of a block of texts: 0.5 without a model."""
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    x = _unit(_weighted(np.stack([counts(t) for t in texts]), model["idf"]) @ model["axes"])
+    near = np.maximum(x @ model["vectors"].T, 0)
+    k = min(K, near.shape[1])
+    at = np.argpartition(near, -k, axis=1)[:, -k:]
+    w = np.take_along_axis(near, at, 1).astype(np.float64) ** POWER
+    total = w.sum(1)
+    return np.clip(np.where(total > 0, (w * model["labels"][at]).sum(1) / np.maximum(total, 1e-300), 0.5), 0, 1)
+
+
 def score(docs: DataFrame, labels: DataFrame, rows: int = 3_000, least: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``, as labels.quality marks it.
 
@@ -90,21 +103,25 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = 3_000, least: float =
     def vote(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if m is None or not texts:
-                out = np.full(len(texts), 0.5)
-            else:
-                x = _unit(_weighted(np.stack([counts(t) for t in texts]), m["idf"]) @ m["axes"])
-                near = np.maximum(x @ m["vectors"].T, 0)
-                k = min(K, near.shape[1])
-                at = np.argpartition(near, -k, axis=1)[:, -k:]
-                w = np.take_along_axis(near, at, 1).astype(np.float64) ** POWER
-                total = w.sum(1)
-                out = np.where(total > 0, (w * m["labels"][at]).sum(1) / np.maximum(total, 1e-300), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(out, 0, 1), pa.float64())], ["doc_id", "score"])
+            out = votes(batch.column("text").to_pylist(), model.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = slim.mapInArrow(vote, "doc_id long, score double")
     return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, rows: int = 3_000, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    model = spark.sparkContext.broadcast(train(docs, labels, rows))
+
+    def sift(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(votes(batch.column("text").to_pylist(), model.value) >= least))
+
+    return docs.mapInArrow(sift, docs.schema)

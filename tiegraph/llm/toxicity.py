@@ -37,7 +37,7 @@ def features(text: str | None) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal: weights follow from z and n of each coordinate; index 2^BITS is the bias, which has no L1."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
