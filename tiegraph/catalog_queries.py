@@ -5,11 +5,297 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tiegraph import network as N
+from tiegraph.operators import iterate as I
+from tiegraph.functions.algebra import evaluate
+from tiegraph.operators import backbone as B
+from tiegraph.operators import generators as G
+from tiegraph.operators import inference as P
+from tiegraph.operators import kernels as K
+from tiegraph.operators import measures as M
+from tiegraph.operators import structure as S
+from tiegraph.operators import transform as T
+from tiegraph.streaming import windows as W
+from tiegraph.plans.networks import BOTH, FOLLOW, PAIRS, TRADE, TWO_MODE, follow, orders_two_mode, pairs, trade
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, net: Callable, operator: Callable, sql: str | None = None) -> None:
+    """Register ``operator`` on a network; doubles are rounded to 6 places in query and SQL alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = operator(net(spark, sf_dir))
+        out = out.edges.select("ego", "alter", "value") if isinstance(out, N.Network) else out
+        return out.select(*[F.round(F.col(c), 6).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
+
+    _QUERIES[name] = run
+    if sql is not None:
+        _SQL[name] = sql
+
+
+FOLLOW1, FOLLOW2 = FOLLOW.format(least=1), FOLLOW.format(least=2)
+follow2 = lambda s, d: follow(s, d, 2)
+_V = 'round("value", 6) "value"'
+
+# construction and transforms
+_add("from_edges_last_wins", lambda s, d: N.from_edges(s.read.parquet(f"{d}/events.parquet").where("user_id is not null").select("user_id", F.pmod("event_id", F.lit(97)).alias("item"), "value", "event_id"), "user_id", "item", "value", seq="event_id", directed=True), lambda n: n,
+     'SELECT user_id ego, event_id % 97 alter, round(arg_max("value", event_id), 6) "value" FROM events WHERE user_id <> event_id % 97 GROUP BY 1, 2 HAVING arg_max("value", event_id) IS NOT NULL')
+_add("two_mode_edges", orders_two_mode, lambda n: n, f"WITH {TWO_MODE} SELECT ego, alter, {_V} FROM e")
+for _how, _x in (("max", "greatest(f, b)"), ("min", "least(f, b)"), ("sum", "f + b"), ("mean", "(f + b) / 2")):
+    _add(f"symmetrize_{_how}", follow, lambda n, how=_how: T.symmetrize(n, how),
+         f'WITH {FOLLOW1}, p AS (SELECT least(ego, alter) ego, greatest(ego, alter) alter, coalesce(max(CASE WHEN ego < alter THEN "value" END), 0) f, coalesce(max(CASE WHEN ego > alter THEN "value" END), 0) b FROM e GROUP BY 1, 2) SELECT ego, alter, round({_x}, 6) "value" FROM p WHERE {_x} <> 0')
+_add("transpose", follow, T.transpose, f"WITH {FOLLOW1} SELECT alter ego, ego alter, {_V} FROM e")
+_add("dichotomize", follow, lambda n: T.dichotomize(n, 2), f'WITH {FOLLOW1} SELECT ego, alter, 1.0::DOUBLE "value" FROM e WHERE "value" >= 2')
+_add("recode", follow, lambda n: T.recode(n, [(2, 2, 5), (3, 99, 0)]), f'WITH {FOLLOW1}, r AS (SELECT ego, alter, CASE WHEN "value" = 2 THEN 5 WHEN "value" BETWEEN 3 AND 99 THEN 0 ELSE "value" END::DOUBLE "value" FROM e) SELECT ego, alter, {_V} FROM r WHERE "value" <> 0')
+_add("recode_zero", trade, lambda n: T.recode(n, [(0, 0, 1), (1, 1e9, 0)]), f'WITH {TRADE} SELECT x.node ego, y.node alter, 1.0::DOUBLE "value" FROM n x, n y WHERE x.node <> y.node AND NOT EXISTS (SELECT 1 FROM e WHERE ego = x.node AND alter = y.node)')
+_add("replace_values", follow, lambda n: T.replace_values(n, "value * 10 + ego", "ego < alter"), f'WITH {FOLLOW1} SELECT ego, alter, round(CASE WHEN ego < alter THEN "value" * 10 + ego ELSE "value" END, 6)::DOUBLE "value" FROM e')
+_add("keep_nodes", follow, lambda n: T.keep_nodes(n, "events > 60"), f"WITH {FOLLOW1} SELECT ego, alter, {_V} FROM e WHERE ego IN (SELECT node FROM n WHERE events > 60) AND alter IN (SELECT node FROM n WHERE events > 60)")
+_add("drop_nodes", follow, lambda n: T.drop_nodes(n, "first_type = 'click'"), f"WITH {FOLLOW1} SELECT ego, alter, {_V} FROM e WHERE ego IN (SELECT node FROM n WHERE first_type <> 'click') AND alter IN (SELECT node FROM n WHERE first_type <> 'click')")
+_add("neighbors_out", follow, lambda n: T.neighbors(n, 8, "outgoing"), f"WITH {FOLLOW1} SELECT DISTINCT alter node FROM e WHERE ego = 8")
+_add("neighbors_either", follow, lambda n: T.neighbors(n, 8), f"WITH {FOLLOW1} SELECT alter node FROM e WHERE ego = 8 UNION SELECT ego FROM e WHERE alter = 8")
+_add("ego_network", follow2, lambda n: T.ego_network(n, 8), f"WITH {FOLLOW2}, k AS (SELECT alter node FROM e WHERE ego = 8 UNION SELECT ego FROM e WHERE alter = 8 UNION SELECT 8) SELECT ego, alter, {_V} FROM e WHERE ego IN (SELECT node FROM k) AND alter IN (SELECT node FROM k)")
+_add("collapse_sum", trade, lambda n: T.collapse(n, "region", "sum"), f'WITH {TRADE} SELECT x.region ego, y.region alter, round(sum("value"), 6) "value" FROM e JOIN n x ON ego = x.node JOIN n y ON alter = y.node GROUP BY 1, 2')
+_add("collapse_max", trade, lambda n: T.collapse(n, "region"), f'WITH {TRADE} SELECT x.region ego, y.region alter, round(max("value"), 6) "value" FROM e JOIN n x ON ego = x.node JOIN n y ON alter = y.node GROUP BY 1, 2')
+_add("stack", trade, lambda n: T.stack([n, T.transpose(n)]), f"WITH {TRADE} SELECT '1:' || ego ego, '1:' || alter alter, {_V} FROM e UNION ALL SELECT '2:' || alter, '2:' || ego, round(\"value\", 6) FROM e")
+for _mode, _x in (("same", "CASE WHEN x.region = y.region THEN 1 ELSE 0 END"), ("dist", "x.region - y.region"), ("distinv", "y.region - x.region"), ("absdist", "abs(x.region - y.region)"), ("absdistinv", "(SELECT max(abs(p.region - q.region)) FROM n p, n q WHERE p.node <> q.node) - abs(x.region - y.region)"), ("sender", "x.region"), ("receiver", "y.region")):
+    _add(f"expand_{_mode}", trade, lambda n, m=_mode: T.expand(n, "region", m), f'WITH {TRADE} SELECT x.node ego, y.node alter, ({_x})::DOUBLE "value" FROM n x, n y WHERE x.node <> y.node')
+_add("dyads_full", trade, lambda n: T.dyads(n), f'WITH {TRADE} SELECT x.node ego, y.node alter, coalesce("value", 0)::DOUBLE "value" FROM n x JOIN n y ON x.node <> y.node LEFT JOIN e ON ego = x.node AND alter = y.node')
+_add("edge_table", trade, lambda n: T.edge_table(n, ["region"]), f'WITH {TRADE} SELECT ego, alter, "value" trade, x.region ego_region, y.region alter_region FROM e JOIN n x ON ego = x.node JOIN n y ON alter = y.node')
+for _d, _x in (("out", "SELECT ego, alter, 1.0 w FROM e"), ("in", "SELECT alter ego, ego alter, 1.0 w FROM e"), ("symmetric", "SELECT ego, alter, 1.0 w FROM e UNION SELECT alter, ego, 1.0 FROM e"), ("mutual", "SELECT ego, alter, 1.0 w FROM e WHERE EXISTS (SELECT 1 FROM e r WHERE r.ego = e.alter AND r.alter = e.ego)")):
+    _add(f"spatial_weights_{_d}", trade, lambda n, d=_d: T.spatial_weights(n, d), f"WITH {TRADE}, w AS ({_x}) SELECT ego, alter, round((w / sum(w) OVER (PARTITION BY ego))::DOUBLE, 6) weight FROM w")
+for _op, _x in (("+", "x + y"), ("-", "x - y"), ("*", "x * y"), (">", "CASE WHEN x > y THEN 1 ELSE 0 END"), ("!=", "CASE WHEN x <> y THEN 1 ELSE 0 END"), ("&", "CASE WHEN x <> 0 AND y <> 0 THEN 1 ELSE 0 END"), ("|", "CASE WHEN x <> 0 OR y <> 0 THEN 1 ELSE 0 END")):
+    _nm = {"+": "add", "-": "subtract", "*": "multiply", ">": "greater", "!=": "differ", "&": "and", "|": "or"}[_op]
+    _add(f"algebra_{_nm}", trade, lambda n, o=_op: T.combine(n, T.transpose(n), o), f'WITH {TRADE}, p AS (SELECT coalesce(a.ego, b.alter) ego, coalesce(a.alter, b.ego) alter, coalesce(a."value", 0) x, coalesce(b."value", 0) y FROM e a FULL JOIN e b ON a.ego = b.alter AND a.alter = b.ego) SELECT ego, alter, round(({_x})::DOUBLE, 6) "value" FROM p WHERE ({_x}) <> 0')
+_add("algebra_matrix_product", trade, lambda n: T.combine(n, n, "**"), f'WITH {TRADE} SELECT a.ego, b.alter, round(sum(a."value" * b."value"), 6) "value" FROM e a JOIN e b ON a.alter = b.ego GROUP BY 1, 2')
+_JP = "p AS (SELECT x.alter i, y.alter j, {a} FROM e x JOIN e y ON x.ego = y.ego AND x.alter < y.alter{j} GROUP BY 1, 2)"
+_DEG = "d AS (SELECT alter node, count(*) k FROM e GROUP BY 1), q AS (SELECT ego, count(*) dq FROM e GROUP BY 1)"
+for _stat, _a, _j, _x in (
+    ("count", "count(*) v", "", "v"), ("binary", "1 v", "", "v"), ("sum", 'sum(x."value" + y."value") v', "", "v"), ("mean", 'sum(x."value" + y."value") / (2 * count(*)) v', "", "v"), ("min", 'min(least(x."value", y."value")) v', "", "v"), ("max", 'max(greatest(x."value", y."value")) v', "", "v"),
+    ("minmax", 'max(least(x."value", y."value")) v', "", "v"), ("newman", 'sum((x."value" + y."value") / (2 * (dq - 1))) v', " JOIN q ON q.ego = x.ego", "v"), ("jaccard", "count(*) v", "", "v / (a.k + b.k - v)"), ("cosine", "count(*) v", "", "v / sqrt(a.k * b.k)"),
+):
+    _add(f"project_{_stat}", orders_two_mode, lambda n, s=_stat: T.project(n, 2, s), f'WITH {TWO_MODE}, {_DEG}, {_JP.format(a=_a, j=_j)} SELECT i ego, j alter, round(({_x})::DOUBLE, 6) "value" FROM p JOIN d a ON a.node = i JOIN d b ON b.node = j')
+
+# one-pass measures
+_DEGREE = 'o AS (SELECT ego node, count(*) k, sum("value") s FROM e GROUP BY 1), i AS (SELECT alter node, count(*) k, sum("value") s FROM e GROUP BY 1)'
+for _nm, _kw, _x in (("strength", {}, "s"), ("binary", {"binary": True}, "k"), ("opsahl", {"alpha": 0.5}, "k * pow(s / k, 0.5)"), ("standardized", {"binary": True, "standardize": True}, "k / ((SELECT count(*) FROM n) - 1)")):
+    _o, _i = (f"coalesce(({_x.replace('k', 'o.k').replace('s /', 'o.s /').replace('s', 's') if _nm == 'opsahl' else _x.replace('k ', 'o.k ') if _nm == 'standardized' else 'o.' + _x})::DOUBLE, 0)".replace("o.", p + ".") for p in "oi")
+    _add(f"degree_{_nm}", follow, lambda n, kw=_kw: M.degree(n, **kw), f'WITH {FOLLOW1}, {_DEGREE} SELECT n.node, round({_o}, 6) "out", round({_i}, 6) "in", round({_o} + {_i}, 6) total, CASE WHEN {_o} + {_i} = 0 THEN 1 ELSE 0 END isolate FROM n LEFT JOIN o ON o.node = n.node LEFT JOIN i ON i.node = n.node')
+_add("degree_two_mode", orders_two_mode, M.two_mode_degree, f"WITH {TWO_MODE}, k AS (SELECT ego node, count(*) k FROM e GROUP BY 1 UNION ALL SELECT alter, count(*) FROM e GROUP BY 1) SELECT n.node, n.mode, round(k / (SELECT count(*) FROM n m WHERE m.mode <> n.mode)::DOUBLE, 6) degree FROM n JOIN k ON k.node = n.node")
+_add("degree_two_mode_raw", orders_two_mode, lambda n: M.two_mode_degree(n, raw=True), f"WITH {TWO_MODE}, k AS (SELECT ego node, count(*) k FROM e GROUP BY 1 UNION ALL SELECT alter, count(*) FROM e GROUP BY 1) SELECT n.node, n.mode, k::DOUBLE degree FROM n JOIN k ON k.node = n.node")
+_add("degree_distribution", follow, M.degree_distribution, f"WITH {FOLLOW1}, d AS (SELECT n.node, count(ego) degree FROM n LEFT JOIN e ON ego = n.node GROUP BY 1), c AS (SELECT degree, count(*) nodes FROM d GROUP BY 1) SELECT degree, nodes, round((sum(nodes) OVER (ORDER BY degree DESC) / sum(nodes) OVER ())::DOUBLE, 6) ccdf FROM c")
+_add("centralization", follow, M.centralization, f"WITH {FOLLOW1}, {_DEGREE}, d AS (SELECT coalesce(o.k, 0) o, coalesce(i.k, 0) i FROM n LEFT JOIN o ON o.node = n.node LEFT JOIN i ON i.node = n.node) SELECT round((count(*) * max(o) - sum(o))::DOUBLE / pow(count(*) - 1, 2), 6) centralization_out, round((count(*) * max(i) - sum(i))::DOUBLE / pow(count(*) - 1, 2), 6) centralization_in FROM d")
+_add("summary", follow, M.summary, f'WITH {FOLLOW1}, c AS (SELECT count(*) m, sum("value") s, max("value") hi FROM e), k AS (SELECT count(*) n FROM n) SELECT n nodes, m ties, round((m / (n * (n - 1)))::DOUBLE, 6) density, s "sum", 0.0::DOUBLE "min", hi "max", round((m / n)::DOUBLE, 6) mean_degree FROM c, k')
+_add("summary_two_mode", orders_two_mode, M.summary, f'WITH {TWO_MODE}, c AS (SELECT count(*) m, sum("value") s, max("value") hi FROM e), k AS (SELECT count(*) n, sum(CASE WHEN mode = 1 THEN 1 ELSE 0 END) n1 FROM n) SELECT n nodes, m ties, round((m / (n1 * (n - n1)))::DOUBLE, 6) density, s "sum", 0.0::DOUBLE "min", hi "max", round((2 * m / n)::DOUBLE, 6) mean_degree FROM c, k')
+_add("tabulate_values", follow, M.tabulate, f'WITH {FOLLOW1} SELECT "value", count(*) ties FROM e GROUP BY 1')
+_add("tabulate_groups", trade, lambda n: M.tabulate(n, "region"), f"WITH {TRADE} SELECT x.region ego_group, y.region alter_group, count(*) ties FROM e JOIN n x ON ego = x.node JOIN n y ON alter = y.node GROUP BY 1, 2")
+_add("mixing", pairs, lambda n: M.mixing(n, "first_type"), f"WITH {PAIRS}{BOTH} SELECT x.first_type ego_group, y.first_type alter_group, count(*) ties FROM l JOIN n x ON ego = x.node JOIN n y ON alter = y.node GROUP BY 1, 2")
+_add("ei_index", trade, lambda n: M.ei_index(n, "region"), f"WITH {TRADE}, c AS (SELECT sum(CASE WHEN x.region <> y.region THEN 1 ELSE 0 END)::BIGINT external, sum(CASE WHEN x.region = y.region THEN 1 ELSE 0 END)::BIGINT internal FROM e JOIN n x ON ego = x.node JOIN n y ON alter = y.node) SELECT external, internal, round(((external - internal) / (external + internal))::DOUBLE, 6) ei FROM c")
+_add("alter_stats", follow, lambda n: M.alter_stats(n, "events", 60),
+     f'WITH {FOLLOW1}, t AS (SELECT ego node, "value" w, y.events::DOUBLE x FROM e JOIN n y ON alter = y.node), p AS (SELECT node, 1 - sum(c * c) / pow(sum(c), 2) diversity FROM (SELECT node, x, count(*) c FROM t GROUP BY 1, 2) GROUP BY 1), s AS (SELECT node, avg(x) mean, sum(x * w) / sum(w) wmean, sum(x) "sum", min(x) "min", max(x) "max", stddev_samp(x) sd, count(*) "count", avg(CASE WHEN x = 60 THEN 1.0 ELSE 0.0 END) proportion FROM t GROUP BY 1) '
+     'SELECT n.node, round(mean, 6) mean, round(wmean, 6) wmean, round(coalesce("sum", 0), 6) "sum", "min", "max", round(sd, 6) sd, coalesce("count", 0)::BIGINT "count", round(proportion::DOUBLE, 6) proportion, round(diversity, 6) diversity FROM n LEFT JOIN s ON s.node = n.node LEFT JOIN p ON p.node = n.node')
+_add("context", follow, lambda n: M.context(n, "events", "incoming"), f'WITH {FOLLOW1}, s AS (SELECT alter node, sum("value" * events) / sum("value") mean, sum("value" * events) "sum", min(events)::DOUBLE "min", max(events)::DOUBLE "max", sqrt(greatest(sum("value" * events * events) / sum("value") - pow(sum("value" * events) / sum("value"), 2), 0)) sd FROM e JOIN n y ON ego = y.node GROUP BY 1) SELECT n.node, round(mean, 6) mean, round("sum", 6) "sum", "min", "max", round(sd, 6) sd FROM n LEFT JOIN s ON s.node = n.node')
+_add("dyad_census", follow, M.dyad_census, f"WITH {FOLLOW1}, p AS (SELECT least(ego, alter) a, greatest(ego, alter) b, count(*) k FROM e GROUP BY 1, 2), c AS (SELECT sum(CASE WHEN k = 2 THEN 1 ELSE 0 END)::BIGINT m, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END)::BIGINT a FROM p), k AS (SELECT count(*) n FROM n) SELECT m mutual, a \"asymmetric\", (n * (n - 1) / 2 - m - a)::BIGINT null_dyads, round((m / (m + a))::DOUBLE, 6) reciprocity FROM c, k")
+_add("assortativity_degree", follow2, M.assortativity, f"WITH {FOLLOW2}, l AS (SELECT ego, alter FROM e UNION SELECT alter, ego FROM e), d AS (SELECT ego node, count(*) d FROM l GROUP BY 1) SELECT round(corr(x.d, y.d), 6) assortativity FROM l JOIN d x ON ego = x.node JOIN d y ON alter = y.node")
+_add("assortativity_attribute", follow, lambda n: M.assortativity(n, "events"), f"WITH {FOLLOW1}, l AS (SELECT ego, alter FROM e UNION SELECT alter, ego FROM e) SELECT round(corr(x.events, y.events), 6) assortativity FROM l JOIN n x ON ego = x.node JOIN n y ON alter = y.node")
+_add("correlate", trade, lambda n: M.correlate(n, T.transpose(n)), f'WITH {TRADE} SELECT round(corr(coalesce(a."value", 0), coalesce(b."value", 0)), 6) correlation FROM n x JOIN n y ON x.node <> y.node LEFT JOIN e a ON a.ego = x.node AND a.alter = y.node LEFT JOIN e b ON b.ego = y.node AND b.alter = x.node')
+
+
+def _waves(s: SparkSession, d: str) -> tuple[N.Network, N.Network]:
+    ev = s.read.parquet(f"{d}/events.parquet").withColumn("item", F.pmod("event_id", F.lit(50)))
+    net = N.snapshots(ev.withColumn("month_half", (F.dayofmonth("ts") > 15).cast("int")), "user_id", "item", "month_half")
+    net = net.with_(edges=net.edges.where("ego <> alter"))
+    return N.at_time(net, 0), N.at_time(net, 1)
+
+
+_WAVES = "w AS (SELECT DISTINCT user_id ego, event_id % 50 alter, CASE WHEN day(ts) > 15 THEN 1 ELSE 0 END h FROM events WHERE user_id <> event_id % 50), a AS (SELECT ego, alter FROM w WHERE h = 0), b AS (SELECT ego, alter FROM w WHERE h = 1), n AS (SELECT DISTINCT user_id node FROM events UNION SELECT DISTINCT event_id % 50 FROM events)"
+_add("turnover", _waves, lambda w: M.turnover(*w), f"WITH {_WAVES}, t AS (SELECT coalesce(a.ego, b.ego) node, a.ego IS NOT NULL x, b.ego IS NOT NULL y FROM a FULL JOIN b ON a.ego = b.ego AND a.alter = b.alter), c AS (SELECT node, sum(CASE WHEN x AND y THEN 1 ELSE 0 END)::BIGINT s, sum(CASE WHEN NOT x THEN 1 ELSE 0 END)::BIGINT f, sum(CASE WHEN NOT y THEN 1 ELSE 0 END)::BIGINT d FROM t GROUP BY 1) SELECT n.node, coalesce(s, 0) stable, coalesce(f, 0) formed, coalesce(d, 0) dissolved, round((s / (s + f + d))::DOUBLE, 6) jaccard, round((CASE WHEN s + d > 0 THEN s / (s + d) END)::DOUBLE, 6) persistence FROM n LEFT JOIN c ON c.node = n.node")
+_add("formation", _waves, lambda w: M.formation(*w), f"WITH {_WAVES}, f AS (SELECT * FROM b EXCEPT SELECT * FROM a), r AS (SELECT alter ego, ego alter FROM a EXCEPT SELECT * FROM a), c AS (SELECT DISTINCT x.ego, y.alter FROM a x JOIN a y ON x.alter = y.ego WHERE x.ego <> y.alter EXCEPT SELECT * FROM a), k AS (SELECT (SELECT count(*) FROM n) n, (SELECT count(*) FROM a) m, (SELECT count(*) FROM f) f) SELECT round(((SELECT count(*) FROM f JOIN r USING (ego, alter)) / f)::DOUBLE, 6) formed_reciprocal, round(((SELECT count(*) FROM f JOIN c USING (ego, alter)) / f)::DOUBLE, 6) formed_closing, round(((SELECT count(*) FROM r) / (n * (n - 1) - m))::DOUBLE, 6) absent_reciprocal, round(((SELECT count(*) FROM c) / (n * (n - 1) - m))::DOUBLE, 6) absent_closing FROM k")
+_add("modularity", pairs, lambda n: M.modularity(n, n.nodes.select("node", F.col("first_type").alias("community"))), f'WITH {PAIRS}{BOTH}, k AS (SELECT first_type c, sum("value") k FROM l JOIN n ON ego = node GROUP BY 1), w AS (SELECT sum("value") w FROM l JOIN n x ON ego = x.node JOIN n y ON alter = y.node WHERE x.first_type = y.first_type), m AS (SELECT sum("value") m FROM l) SELECT round((w - (SELECT sum(k * k) FROM k) / m) / m, 6) modularity FROM w, m')
+_ADOPT = "a AS (SELECT user_id node, min(day(ts))::INT t FROM events WHERE event_type = 'purchase' OR event_type = 'error' GROUP BY 1)"
+
+
+def _adoption(s: SparkSession, d: str) -> tuple[N.Network, DataFrame]:
+    ev = s.read.parquet(f"{d}/events.parquet")
+    return follow(s, d, 2), ev.where("event_type in ('purchase', 'error')").groupBy(F.col("user_id").alias("node")).agg(F.min(F.dayofmonth("ts")).alias("t"))
+
+
+_add("adoption_curve", _adoption, lambda x: M.adoption_curve(x[1], 1000), f"WITH {_ADOPT}, c AS (SELECT t, count(*) new FROM a GROUP BY 1), s AS (SELECT t, new, sum(new) OVER (ORDER BY t)::BIGINT adopters FROM c) SELECT t, new, adopters, (adopters / 1000)::DOUBLE proportion, round((CASE WHEN adopters > new THEN new / (adopters - new) END)::DOUBLE, 6) growth FROM s")
+_EXPO = f'{FOLLOW2}, {_ADOPT}, x AS (SELECT n.node, g.t, coalesce(sum(CASE WHEN a.t <= g.t - 1 THEN "value" END) / sum("value"), 0) exposure FROM n CROSS JOIN (SELECT DISTINCT t FROM a) g LEFT JOIN e ON ego = n.node LEFT JOIN a ON a.node = alter GROUP BY 1, 2)'
+_add("diffusion_exposure", _adoption, lambda x: M.exposure(x[0], x[1], x[1].select("t").distinct()), f"WITH {_EXPO} SELECT node, t, round(exposure, 6) exposure FROM x")
+_add("diffusion_threshold", _adoption, lambda x: M.thresholds(*x), f"WITH {_EXPO} SELECT x.node, x.t, round(exposure, 6) threshold FROM x JOIN a ON a.node = x.node AND a.t = x.t")
+_add("diffusion_person_periods", _adoption, lambda x: M.person_periods(x[0], x[1], x[1].select("t").distinct()), f"WITH {_EXPO} SELECT x.node, x.t, round(exposure, 6) exposure, CASE WHEN a.t = x.t THEN 1 ELSE 0 END adopts FROM x LEFT JOIN a ON a.node = x.node WHERE a.t IS NULL OR x.t <= a.t")
+
+# joins of ties with ties
+_add("clustering_directed", follow2, S.clustering, f"WITH {FOLLOW2}, w AS (SELECT x.alter node, x.ego u, y.alter v FROM e x JOIN e y ON x.alter = y.ego WHERE x.ego <> y.alter), c AS (SELECT w.node, count(*) pairs, count(e.ego) closed FROM w LEFT JOIN e ON e.ego = u AND e.alter = v GROUP BY 1) SELECT n.node, coalesce(closed, 0) closed, coalesce(pairs, 0)::BIGINT pairs, round((closed / pairs)::DOUBLE, 6) \"local\" FROM n LEFT JOIN c ON c.node = n.node")
+_UW = "w AS (SELECT x.ego node, x.alter u, y.alter v, x.\"value\" a, y.\"value\" b FROM l x JOIN l y ON x.ego = y.ego AND x.alter < y.alter)"
+_add("clustering_undirected", pairs, S.clustering, f"WITH {PAIRS}{BOTH}, {_UW}, c AS (SELECT w.node, count(*) pairs, count(e.ego) closed FROM w LEFT JOIN e ON e.ego = u AND e.alter = v GROUP BY 1) SELECT n.node, coalesce(closed, 0) closed, coalesce(pairs, 0)::BIGINT pairs, round((closed / pairs)::DOUBLE, 6) \"local\" FROM n LEFT JOIN c ON c.node = n.node")
+for _m, _x in (("arithmetic", "(a + b) / 2"), ("geometric", "sqrt(a * b)"), ("maximum", "greatest(a, b)"), ("minimum", "least(a, b)")):
+    _add(f"clustering_valued_{_m}", pairs, lambda n, m=_m: S.clustering_valued(n, m), f'WITH {PAIRS}{BOTH}, {_UW}, c AS (SELECT w.node, sum(CASE WHEN e.ego IS NOT NULL THEN {_x} ELSE 0 END) / sum({_x}) "local" FROM w LEFT JOIN e ON e.ego = u AND e.alter = v GROUP BY 1) SELECT n.node, round("local", 6) "local" FROM n LEFT JOIN c ON c.node = n.node')
+_add("clustering_global", pairs, S.clustering_summary, f'WITH {PAIRS}{BOTH}, {_UW}, c AS (SELECT w.node, count(*) pairs, count(e.ego) closed FROM w LEFT JOIN e ON e.ego = u AND e.alter = v GROUP BY 1) SELECT round((sum(closed) / sum(pairs))::DOUBLE, 6) "global", round(avg(closed / pairs), 6) average FROM c')
+_add("ego_density", follow2, S.ego_density, f"WITH {FOLLOW2}, d AS (SELECT ego node, count(*) k FROM e GROUP BY 1), t AS (SELECT x.ego node, count(*) t FROM e x JOIN e y ON x.ego = y.ego JOIN e z ON z.ego = x.alter AND z.alter = y.alter WHERE x.alter <> y.alter GROUP BY 1) SELECT n.node, coalesce(k, 0) alters, round((CASE WHEN k > 1 THEN coalesce(t, 0) / (k * (k - 1)) END)::DOUBLE, 6) density FROM n LEFT JOIN d ON d.node = n.node LEFT JOIN t ON t.node = n.node")
+_ROLES = (("coordinator", "a = b AND b = c"), ("gatekeeper", "a <> b AND b = c"), ("representative", "a = b AND b <> c"), ("consultant", "a = c AND a <> b"), ("liaison", "a <> b AND b <> c AND a <> c"))
+_add("brokerage", follow2, lambda n: S.brokerage(n, "first_type"), f"WITH {FOLLOW2}, t AS (SELECT y.ego node, p.first_type a, q.first_type b, r.first_type c FROM e x JOIN e y ON x.alter = y.ego AND x.ego <> y.alter JOIN n p ON p.node = x.ego JOIN n q ON q.node = y.ego JOIN n r ON r.node = y.alter WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.ego = x.ego AND z.alter = y.alter)) SELECT n.node, " + ", ".join(f"coalesce(sum(CASE WHEN {c} THEN 1 ELSE 0 END), 0)::BIGINT {k}" for k, c in _ROLES) + " FROM n LEFT JOIN t ON t.node = n.node GROUP BY 1")
+_add("shared_neighbors", follow2, S.shared_neighbors, f"WITH {FOLLOW2} SELECT e.ego, e.alter, count(*) shared FROM e JOIN e x ON x.ego = e.ego JOIN e y ON y.ego = x.alter AND y.alter = e.alter GROUP BY 1, 2")
+_add("simmelian", follow, S.simmelian, f"WITH {FOLLOW1}, m AS (SELECT ego, alter FROM e WHERE EXISTS (SELECT 1 FROM e r WHERE r.ego = e.alter AND r.alter = e.ego)) SELECT m.ego, m.alter, count(*) shared FROM m JOIN m x ON x.ego = m.ego JOIN m y ON y.ego = x.alter AND y.alter = m.alter GROUP BY 1, 2")
+_add("triangles", pairs, S.triangles, f"WITH {PAIRS} SELECT x.ego a, x.alter b, y.alter c FROM e x JOIN e y ON x.ego = y.ego AND x.alter < y.alter JOIN e z ON z.ego = x.alter AND z.alter = y.alter")
+_add("balance", lambda s, d: (lambda n: n.with_(edges=n.edges.withColumn("value", F.when((F.col("ego") + F.col("alter")) % 3 == 0, -F.col("value")).otherwise(F.col("value")))))(pairs(s, d)), S.balance, f"WITH {PAIRS}, g AS (SELECT ego, alter, CASE WHEN (ego + alter) % 3 = 0 THEN -1 ELSE 1 END s FROM e), t AS (SELECT x.ego a, x.alter b, y.alter c, x.s * y.s * z.s > 0 ok FROM g x JOIN g y ON x.ego = y.ego AND x.alter < y.alter JOIN g z ON z.ego = x.alter AND z.alter = y.alter), u AS (SELECT a node, ok FROM t UNION ALL SELECT b, ok FROM t UNION ALL SELECT c, ok FROM t) SELECT n.node, count(ok) triangles, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END), 0)::BIGINT balanced FROM n LEFT JOIN u ON u.node = n.node GROUP BY 1")
+_add("triad_census", trade, S.triad_census, f"""WITH {TRADE}, s AS (SELECT x.node i, y.node j, (CASE WHEN a.ego IS NULL THEN 0 ELSE 1 END) + (CASE WHEN b.ego IS NULL THEN 0 ELSE 2 END) s FROM n x JOIN n y ON x.node < y.node LEFT JOIN e a ON a.ego = x.node AND a.alter = y.node LEFT JOIN e b ON b.ego = y.node AND b.alter = x.node),
+q AS (SELECT p.s ij, r.s ik, t.s jk FROM s p JOIN s r ON p.i = r.i AND p.j < r.j JOIN s t ON t.i = p.j AND t.j = r.j),
+m AS (SELECT *, (ij = 3)::INT + (ik = 3)::INT + (jk = 3)::INT mu, (ij IN (1, 2))::INT + (ik IN (1, 2))::INT + (jk IN (1, 2))::INT asy,
+(ij = 1)::INT + (ik = 1)::INT oi, (ij = 2)::INT + (jk = 1)::INT oj, (ik = 2)::INT + (jk = 2)::INT ok,
+(ij = 2)::INT + (ik = 2)::INT ii, (ij = 1)::INT + (jk = 2)::INT inj, (ik = 1)::INT + (jk = 1)::INT ink FROM q),
+c AS (SELECT mu::VARCHAR || asy || (3 - mu - asy) || CASE WHEN asy = 2 AND mu IN (0, 1) THEN CASE WHEN greatest(oi, oj, ok) = 2 THEN 'D' WHEN greatest(ii, inj, ink) = 2 THEN 'U' ELSE 'C' END
+WHEN asy = 3 THEN CASE WHEN greatest(oi, oj, ok) = 1 THEN 'C' ELSE 'T' END
+WHEN mu = 1 AND asy = 1 THEN CASE WHEN (ij = 3 AND (ik = 2 OR jk = 2)) OR (ik = 3 AND (ij = 2 OR jk = 1)) OR (jk = 3 AND (ij = 1 OR ik = 1)) THEN 'D' ELSE 'U' END ELSE '' END triad FROM m)
+SELECT k.triad, count(c.triad) "count" FROM (SELECT unnest(['003', '012', '021D', '021U', '021C', '030T', '030C', '102', '111D', '111U', '120D', '120U', '120C', '201', '210', '300']) triad) k LEFT JOIN c ON c.triad = k.triad GROUP BY 1""")
+_BURT = 'z AS (SELECT ego i, alter j, sum("value") z FROM (SELECT ego, alter, "value" FROM e UNION ALL SELECT alter, ego, "value" FROM e) GROUP BY 1, 2), p AS (SELECT i, j, z / sum(z) OVER (PARTITION BY i) p, z / max(z) OVER (PARTITION BY i) m FROM z), '
+_add("burt", follow2, S.burt, f"WITH {FOLLOW2}, {_BURT} v AS (SELECT a.i, b.j, sum(a.p * b.p) via FROM p a JOIN p b ON a.j = b.i WHERE a.i <> b.j GROUP BY 1, 2), r AS (SELECT a.i, b.i j, sum(a.p * b.m) red FROM p a JOIN p b ON a.j = b.j WHERE a.i <> b.i GROUP BY 1, 2), t AS (SELECT p.i, pow(p.p + coalesce(via, 0), 2) c, 1 - coalesce(red, 0) es FROM p LEFT JOIN v ON v.i = p.i AND v.j = p.j LEFT JOIN r ON r.i = p.i AND r.j = p.j), s AS (SELECT i, count(*) n, sum(es) es, sum(c) c, sum(c * ln(c)) cl FROM t GROUP BY 1) SELECT node, coalesce(n, 0) degree, round(es, 6) effective_size, round(es / n, 6) efficiency, round(c, 6) \"constraint\", round(CASE WHEN n = 1 THEN 1 ELSE (cl / (c / n) - n * ln(c / n)) / (n * ln(n)) END, 6) hierarchy FROM n LEFT JOIN s ON s.i = node")
+_add("dyadic_constraint", follow2, S.dyadic_constraint, f"WITH {FOLLOW2}, {_BURT} v AS (SELECT a.i, b.j, sum(a.p * b.p) via FROM p a JOIN p b ON a.j = b.i WHERE a.i <> b.j GROUP BY 1, 2), r AS (SELECT a.i, b.i j, sum(a.p * b.m) red FROM p a JOIN p b ON a.j = b.j WHERE a.i <> b.i GROUP BY 1, 2) SELECT p.i ego, p.j alter, round(pow(p.p + coalesce(via, 0), 2), 6) \"constraint\", round(coalesce(red, 0), 6) redundancy FROM p LEFT JOIN v ON v.i = p.i AND v.j = p.j LEFT JOIN r ON r.i = p.i AND r.j = p.j")
+for _ix, _x in (("common", "c"), ("jaccard", "c / (x.d + y.d - c)"), ("dice", "2 * c / (x.d + y.d)"), ("cosine", "c / sqrt(x.d * y.d)"), ("adamic", "aa")):
+    _add(f"similarity_{_ix}", follow2, lambda n, i=_ix: S.similarity_index(n, i), f'WITH {FOLLOW2}, l AS (SELECT ego, alter FROM e UNION SELECT alter, ego FROM e), d AS (SELECT ego node, count(*) d FROM l GROUP BY 1), p AS (SELECT a.ego i, b.ego j, count(*) c, sum(1 / ln(d)) aa FROM l a JOIN l b ON a.alter = b.alter AND a.ego < b.ego JOIN d ON d.node = a.alter GROUP BY 1, 2) SELECT i, j, round(({_x})::DOUBLE, 6) "value" FROM p JOIN d x ON x.node = i JOIN d y ON y.node = j')
+_PROF = 'p AS (SELECT x.node i, y.node j, q.node q, coalesce(a."value", 0) a, coalesce(b."value", 0) b FROM n x JOIN n y ON x.node < y.node JOIN n q ON q.node <> x.node AND q.node <> y.node LEFT JOIN e a ON a.ego = x.node AND a.alter = q.node LEFT JOIN e b ON b.ego = y.node AND b.alter = q.node)'
+for _ix, _x in (
+    ("matches", "sum(CASE WHEN (a <> 0) = (b <> 0) THEN 1 ELSE 0 END) / count(*)"), ("hamming", "sum(CASE WHEN (a <> 0) = (b <> 0) THEN 1 ELSE 0 END)"), ("jaccard", "sum(CASE WHEN a <> 0 AND b <> 0 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN a <> 0 OR b <> 0 THEN 1 ELSE 0 END), 0)"),
+    ("crossproduct", "sum(a * b)"), ("pearson", "CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END"), ("euclidean", "sqrt(sum((a - b) * (a - b)))"), ("manhattan", "sum(abs(a - b))"), ("nonmatches", "sum(CASE WHEN (a <> 0) <> (b <> 0) THEN 1 ELSE 0 END) / count(*)"),
+    ("dhamming", "sum(CASE WHEN (a <> 0) <> (b <> 0) THEN 1 ELSE 0 END)"), ("djaccard", "1 - sum(CASE WHEN a <> 0 AND b <> 0 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN a <> 0 OR b <> 0 THEN 1 ELSE 0 END), 0)"),
+):
+    _add(f"profile_{_ix}", trade, lambda n, i=_ix: S.profile_similarity(n, i), f'WITH {TRADE}, {_PROF} SELECT i, j, round(({_x})::DOUBLE, 6) "value" FROM p GROUP BY 1, 2')
+_add("robins_alexander", orders_two_mode, S.robins_alexander, f"WITH {TWO_MODE}, p AS (SELECT x.alter i, y.alter j, count(*) s FROM e x JOIN e y ON x.ego = y.ego AND x.alter < y.alter GROUP BY 1, 2), c AS (SELECT sum(s * (s - 1) / 2)::DOUBLE c4 FROM p), a AS (SELECT ego, count(*) k FROM e GROUP BY 1), b AS (SELECT alter, count(*) k FROM e GROUP BY 1), l AS (SELECT sum((a.k - 1) * (b.k - 1))::BIGINT l3 FROM e JOIN a USING (ego) JOIN b USING (alter)) SELECT c4, l3, round(4 * c4 / l3, 6) clustering FROM c, l")
+_NODF = "k{m} AS (SELECT {o} i, count(*) k FROM e GROUP BY 1), s{m} AS (SELECT x.{o} i, y.{o} j, count(*) s FROM e x JOIN e y ON x.{q} = y.{q} AND x.{o} < y.{o} GROUP BY 1, 2), t{m} AS (SELECT sum(CASE WHEN a.k <> b.k THEN 100.0 * s / least(a.k, b.k) ELSE 0 END)::DOUBLE t FROM s{m} JOIN k{m} a ON a.i = s{m}.i JOIN k{m} b ON b.i = s{m}.j), p{m} AS (SELECT count(*) * (count(*) - 1) / 2 p FROM k{m})"
+_add("nestedness", orders_two_mode, S.nestedness, f"WITH {TWO_MODE}, {_NODF.format(m=1, o='ego', q='alter')}, {_NODF.format(m=2, o='alter', q='ego')}, c AS (SELECT sum((a.k - coalesce(s, 0)) * (b.k - coalesce(s, 0))) c FROM k2 a JOIN k2 b ON a.i < b.i LEFT JOIN s2 ON s2.i = a.i AND s2.j = b.i) SELECT round((t1.t + t2.t) / (p1.p + p2.p), 6) nodf, round(t1.t / p1.p, 6) nodf_1, round(t2.t / p2.p, 6) nodf_2, round((c / p2.p)::DOUBLE, 6) c_score FROM t1, t2, p1, p2, c")
+_add("motifs4", trade, S.motifs4, f"""WITH {TRADE}, l AS (SELECT ego, alter FROM e UNION SELECT alter, ego FROM e), s AS (SELECT x.node i, y.node j, (l.ego IS NOT NULL)::INT s FROM n x JOIN n y ON x.node < y.node LEFT JOIN l ON l.ego = x.node AND l.alter = y.node),
+q AS (SELECT a.s + b.s + c.s + d.s + f.s + g.s m, a.s + b.s + c.s da, a.s + d.s + f.s db, b.s + d.s + g.s dc, c.s + f.s + g.s dd FROM s a JOIN s b ON b.i = a.i AND b.j > a.j JOIN s c ON c.i = a.i AND c.j > b.j JOIN s d ON d.i = a.j AND d.j = b.j JOIN s f ON f.i = a.j AND f.j = c.j JOIN s g ON g.i = b.j AND g.j = c.j),
+k AS (SELECT CASE WHEN least(da, db, dc, dd) = 0 THEN 'other' WHEN m = 3 AND greatest(da, db, dc, dd) = 3 THEN 'star' WHEN m = 3 AND greatest(da, db, dc, dd) = 2 THEN 'path' WHEN m = 4 AND greatest(da, db, dc, dd) = 2 THEN 'cycle' WHEN m = 4 THEN 'paw' WHEN m = 5 THEN 'diamond' WHEN m = 6 THEN 'clique' ELSE 'other' END motif FROM q)
+SELECT u.motif, count(k.motif) "count" FROM (SELECT unnest(['path', 'star', 'cycle', 'paw', 'diamond', 'clique', 'other']) motif) u LEFT JOIN k ON k.motif = u.motif GROUP BY 1""")
+
+# fix points
+_ADJ = "l AS (SELECT ego, alter FROM e UNION SELECT alter, ego FROM e)"
+_follow_sparse = lambda s, d: follow(s, d, 4)
+FOLLOW4 = FOLLOW.format(least=4)
+_CC = f"WITH RECURSIVE {FOLLOW4}, {_ADJ}, r AS (SELECT node, node root FROM n UNION SELECT l.alter, r.root FROM r JOIN l ON l.ego = r.node), c AS (SELECT node, min(root) root FROM r GROUP BY 1), k AS (SELECT node, dense_rank() OVER (ORDER BY root) component FROM c)"
+_add("components", _follow_sparse, I.components, f"{_CC} SELECT node, component FROM k")
+_add("component_sizes", _follow_sparse, I.component_sizes, f"{_CC} SELECT component, count(*) size, round((count(*) / (SELECT count(*) FROM n))::DOUBLE, 6) share FROM k GROUP BY 1")
+_add("largest_component", _follow_sparse, I.largest_component, f"{_CC} SELECT node, CASE WHEN component = (SELECT component FROM k GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1) THEN 1 ELSE 0 END lgc FROM k")
+_BFS = f"WITH RECURSIVE {FOLLOW2}, r AS (SELECT node source, node, 0 d FROM n UNION SELECT r.source, e.alter, r.d + 1 FROM r JOIN e ON e.ego = r.node WHERE r.d < 8), g AS (SELECT source, node, min(d)::DOUBLE distance FROM r WHERE source <> node GROUP BY 1, 2)"
+_hops = {"alpha": 0.0}
+_add("geodesics", follow2, lambda n: I.geodesics(n, **_hops), f"{_BFS} SELECT source, node, distance FROM g")
+_add("reach", follow2, I.reach, f"{_BFS} SELECT source, node FROM g")
+_add("geodesic_summary", follow2, lambda n: I.geodesic_summary(n, **_hops), f"{_BFS} SELECT n.node, count(g.node) reached, sum(distance) farness, max(distance) eccentricity FROM n LEFT JOIN g ON g.source = n.node GROUP BY 1")
+_add("closeness", follow2, lambda n: I.closeness(n, **_hops), f"{_BFS}, s AS (SELECT n.node, count(g.node) reached, sum(distance) farness FROM n LEFT JOIN g ON g.source = n.node GROUP BY 1) SELECT node, farness, round(1 / farness, 6) nearness, round(reached / farness, 6) closeness FROM s")
+_add("closeness_legacy", follow2, lambda n: I.closeness(n, legacy=True, **_hops), f"{_BFS}, s AS (SELECT n.node, sum(distance) farness FROM n LEFT JOIN g ON g.source = n.node GROUP BY 1) SELECT node, farness, round(1 / farness, 6) nearness, round(((SELECT count(*) FROM n) - 1) / farness, 6) closeness FROM s")
+_add("katz_decay", follow2, lambda n: _decay(n, 0.5), f"{_BFS} SELECT n.node, round(coalesce(sum(pow(0.5, distance)), 0), 6) katz FROM n LEFT JOIN g ON g.source = n.node GROUP BY 1")
+_add("utility", follow2, lambda n: I.utility(n, 0.5, 0.1), f"{_BFS}, d AS (SELECT ego, count(*) d FROM e GROUP BY 1), s AS (SELECT n.node, coalesce(sum(pow(0.5, distance)), 0) b FROM n LEFT JOIN g ON g.source = n.node GROUP BY 1) SELECT node, round(b - 0.1 * coalesce(d, 0), 6) utility FROM s LEFT JOIN d ON ego = node")
+
+
+def _decay(net: N.Network, alpha: float) -> DataFrame:
+    return I.katz_decay(net.with_(valued=False), alpha)
+
+
+def _rounds(first: str, step: str, k: int) -> str:
+    out = [f"r0 AS MATERIALIZED ({first})"]
+    return ", ".join(out + [f"r{i} AS MATERIALIZED ({step.replace('@', f'r{i - 1}')})" for i in range(1, k + 1)])
+
+
+_PR = "SELECT n.node, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce((SELECT sum(r) FROM @ WHERE node NOT IN (SELECT ego FROM e)), 0) / (SELECT count(*) FROM n) + 0.85 * coalesce(g, 0) r FROM n LEFT JOIN (SELECT alter, sum(r * p) g FROM s JOIN @ ON node = ego GROUP BY 1) x ON x.alter = n.node"
+_add("pagerank", follow2, lambda n: I.pagerank(n, tol=0, max_rounds=12), f'WITH {FOLLOW2}, s AS (SELECT ego, alter, "value" / sum("value") OVER (PARTITION BY ego) p FROM e), {_rounds("SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) r FROM n", _PR, 12)} SELECT node, round(r, 6) pagerank FROM r12')
+_KC = "SELECT l.ego, l.alter FROM @ l WHERE l.ego IN (SELECT ego FROM @ GROUP BY 1 HAVING count(*) >= 3) AND l.alter IN (SELECT ego FROM @ GROUP BY 1 HAVING count(*) >= 3)"
+_add("kcore_3", _follow_sparse, lambda n: I.kcore(n).where("coreness >= 3").select("node"), f"WITH {FOLLOW4}, {_ADJ}, {_rounds('SELECT ego, alter FROM l', _KC, 25)} SELECT DISTINCT ego node FROM r25")
+_add("bridges_local", _follow_sparse, I.bridges_local, f"WITH {FOLLOW4}, {_ADJ} SELECT ego, alter FROM l WHERE ego < alter AND NOT EXISTS (SELECT 1 FROM l x JOIN l y ON x.alter = y.ego WHERE x.ego = l.ego AND y.alter = l.alter)")
+_add("eigenvector", pairs, K.eigenvector_dense)
+_add("eigenvector_distributed", trade, lambda n: I.eigenvector(n, tol=1e-7))
+_add("kcore", follow2, I.kcore)
+_add("label_propagation", trade, lambda n: I.label_propagation(T.symmetrize(n)))
+_add("katz_walks", trade, lambda n: I.katz_walks(n.with_(edges=n.edges.withColumn("value", F.lit(1.0))), 0.02, tol=1e-7))
+_add("hitting_time", trade, lambda n: I.hitting_time(n, 3, tol=1e-3))
+_add("regular_classes", _follow_sparse, I.regular_classes)
+_add("shortest_paths", follow2, lambda n: I.shortest_paths(n, 8, 46), f"WITH RECURSIVE {FOLLOW2}, r AS (SELECT [8] path, 8 node, 0 d UNION ALL SELECT list_append(path, alter), alter, d + 1 FROM r JOIN e ON ego = node WHERE d < 3 AND node <> 46), p AS (SELECT path, d FROM r WHERE node = 46) SELECT CAST(path AS BIGINT[]) path FROM p WHERE d = (SELECT min(d) FROM p)")
+
+# kernels on components
+_add("betweenness", pairs, K.betweenness)
+_add("betweenness_directed", trade, lambda n: K.betweenness(n, symmetric=False, standardize=True))
+for _m in ("louvain", "leiden", "infomap"):
+    _add(f"community_{_m}", pairs, lambda n, m=_m: K.community(n, m, trials=2))
+_add("community_two_mode", lambda s, d: (lambda n: T.keep_nodes(n, "mode = 2 or cast(substr(node, 2) as int) < 60"))(orders_two_mode(s, d)), lambda n: K.two_mode_communities(n, trials=1))
+_add("cliques", lambda s, d: T.symmetrize(follow(s, d, 4)), K.cliques)
+_add("n_cliques", lambda s, d: T.symmetrize(follow(s, d, 5)), lambda n: K.n_cliques(n, 2))
+_add("n_clans", lambda s, d: T.symmetrize(follow(s, d, 5)), lambda n: K.n_cliques(n, 2, clans=True))
+_add("k_plexes", lambda s, d: T.symmetrize(follow(s, d, 5)), lambda n: K.k_plexes(n, 2))
+_add("bridges", lambda s, d: T.symmetrize(follow(s, d, 5)), K.bridges)
+_add("max_flow", trade, lambda n: K.max_flow(n, 3, 7))
+_add("lambda_sets", lambda s, d: T.symmetrize(follow(s, d, 5)), K.lambda_sets)
+_add("k_components", lambda s, d: T.symmetrize(follow(s, d, 5)), K.k_components)
+_add("cohesive_blocks", lambda s, d: T.symmetrize(follow(s, d, 5)), K.cohesive_blocks)
+_add("matching", lambda s, d: T.keep_nodes(orders_two_mode(s, d), "mode = 2 or cast(substr(node, 2) as int) < 60"), K.matching)
+_add("matching_weighted", lambda s, d: T.keep_nodes(orders_two_mode(s, d), "mode = 2 or cast(substr(node, 2) as int) < 60"), lambda n: K.matching(n, weighted=True))
+_add("core_periphery", trade, K.core_periphery)
+_add("factions", trade, lambda n: K.factions(n, 2, restarts=2))
+_add("concor", trade, lambda n: K.concor(n, 2))
+_add("hierarchy", trade, lambda n: K.hierarchy(n, 3, "average"))
+_add("spectral", trade, K.spectral)
+for _k in ("circle", "grid", "fr", "mds"):
+    _add(f"layout_{_k}", trade, lambda n, k=_k: K.layout(n, k))
+_add("induced_degree", pairs, K.induced_centrality, f"WITH {PAIRS}{BOTH}, d AS (SELECT ego node, count(*)::DOUBLE d FROM l GROUP BY 1) SELECT n.node, coalesce(d, 0) endogenous, 2 * coalesce(d, 0) induced, coalesce(d, 0) exogenous FROM n LEFT JOIN d ON d.node = n.node")
+_add("induced_betweenness", trade, lambda n: K.induced_centrality(T.symmetrize(n), "betweenness"))
+
+# backbones
+_add("backbone_threshold", follow, lambda n: B.threshold(n, 2, 1.5), f'WITH {FOLLOW1} SELECT ego, alter, CASE WHEN "value" > 2 THEN 1.0 ELSE -1.0 END::DOUBLE "value" FROM e WHERE "value" > 2 OR "value" < 1.5')
+_DISP = f'WITH {FOLLOW1}, o AS (SELECT ego, sum("value") s, count(*) k FROM e GROUP BY 1), i AS (SELECT alter, sum("value") s, count(*) k FROM e GROUP BY 1), p AS (SELECT e.ego, e.alter, "value", least(pow(1 - "value" / o.s, o.k - 1), pow(1 - "value" / i.s, i.k - 1)) p FROM e JOIN o ON o.ego = e.ego JOIN i ON i.alter = e.alter)'
+_add("disparity", follow, B.disparity, f'{_DISP} SELECT ego, alter, {_V}, round(p, 6) p FROM p')
+_add("lans", follow, B.lans, f'WITH {FOLLOW1} SELECT ego, alter, {_V}, round(1 - cume_dist() OVER (PARTITION BY ego ORDER BY "value"), 6) p FROM e')
+_add("mlf", trade, B.mlf)
+_add("fixed_row", orders_two_mode, lambda n: B.fixed_row(n, 2))
+_add("fixed_column", orders_two_mode, lambda n: B.fixed_column(n, 2))
+_add("sdsm", orders_two_mode, lambda n: B.sdsm(n, 2))
+_RANK = "t AS (SELECT *, count(*) OVER () m, row_number() OVER (ORDER BY p, ego, alter) r FROM p)"
+for _c, _x in (
+    ("bonferroni", "m * p"), ("holm", "max((m - r + 1) * p) OVER (ORDER BY r)"), ("hochberg", "min((m - r + 1) * p) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"), ("BH", "min(m / r * p) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
+    ("BY", "min((SELECT sum(1.0 / i) FROM range(1, (SELECT count(*) + 1 FROM p)) x(i)) * m / r * p) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
+):
+    _add(f"adjust_{_c}", follow, lambda n, c=_c: B.adjust(B.disparity(n), c).select("ego", "alter", "adjusted"), f"{_DISP}, {_RANK} SELECT ego, alter, round(least(1, {_x})::DOUBLE, 6) adjusted FROM t")
+_add("adjust_hommel", trade, lambda n: B.adjust(B.disparity(n), "hommel"))
+_add("backbone_disparity", follow, lambda n: B.backbone(n, "disparity", 0.1), f'{_DISP} SELECT ego, alter, 1.0::DOUBLE "value" FROM p WHERE p < 0.1')
+
+# expressions, time, streams in batch, generators, inference
+_add("expression", trade, lambda n: evaluate("trade * (trade > t(trade)) + 2", {"trade": n}),
+     f'WITH {TRADE}, p AS (SELECT x.node ego, y.node alter, coalesce(a."value", 0) v, coalesce(b."value", 0) w FROM n x JOIN n y ON x.node <> y.node LEFT JOIN e a ON a.ego = x.node AND a.alter = y.node LEFT JOIN e b ON b.ego = y.node AND b.alter = x.node) SELECT ego, alter, (CASE WHEN v > w THEN v ELSE 0 END + 2)::DOUBLE "value" FROM p')
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("sender"), F.col("event_type").alias("receiver"), "ts", "value")
+
+
+_add("windowed_ties", _events, lambda e: W.windowed_ties(e, "1 day"), 'SELECT date_trunc(\'day\', ts) t_start, date_trunc(\'day\', ts) + INTERVAL 1 DAY t_end, user_id ego, event_type alter, count(*) events, round(sum("value"), 6) "value" FROM events GROUP BY 1, 2, 3, 4')
+_add("session_ties", _events, lambda e: W.session_ties(e, "6 hours").select("ego", "alter", "events"), "WITH g AS (SELECT user_id ego, event_type alter, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END f FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), s AS (SELECT ego, alter, sum(f) OVER (PARTITION BY ego, alter ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT ego, alter, count(*) events FROM s GROUP BY ego, alter, k")
+_add("interval_slice", lambda s, d: N.intervals(s.read.parquet(f"{d}/orders.parquet").withColumn("until", F.expr("o_orderdate + interval 30 days")), "o_orderkey", "o_custkey", "o_orderdate", "until"), lambda n: N.at_time(n, F.expr("timestamp'1995-06-15'")), 'SELECT o_orderkey ego, o_custkey alter, 1.0::DOUBLE "value" FROM orders WHERE o_orderdate <= TIMESTAMP \'1995-06-15\' AND TIMESTAMP \'1995-06-15\' < o_orderdate + INTERVAL 30 DAY GROUP BY 1, 2')
+_add("event_slice", lambda s, d: N.event_list(s.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts")), "user_id", "event_type", "day"), lambda n: N.at_time(n, F.expr("date'2024-01-05'")), "SELECT DISTINCT CAST(user_id AS VARCHAR) ego, event_type alter, 1.0::DOUBLE \"value\" FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'")
+_spark_only = lambda s, d: s
+_add("ring", _spark_only, lambda s: G.ring(s, 50, 2), 'SELECT DISTINCT least(i, j) ego, greatest(i, j) alter, 1.0::DOUBLE "value" FROM (SELECT i + 1 i, (i + k) % 50 + 1 j FROM range(50) a(i), range(1, 3) b(k))')
+_add("lattice", _spark_only, lambda s: G.lattice(s, 6, 7), 'SELECT ego, alter, 1.0::DOUBLE "value" FROM (SELECT i + 1 ego, i + 2 alter FROM range(42) a(i) WHERE i % 7 < 6 UNION ALL SELECT i + 1, i + 8 FROM range(42) a(i) WHERE i < 35)')
+_add("random_prob", _spark_only, lambda s: G.random_prob(s, 2000, 0.005))
+_add("random_count", _spark_only, lambda s: G.random_count(s, 300, 1000))
+_add("random_census", _spark_only, lambda s: G.random_census(s, 100, 60, 200))
+_add("degree_sequence", _spark_only, lambda s: G.degree_sequence(s, [3] * 40))
+_add("small_world", _spark_only, lambda s: G.small_world(s, 200, 3, 0.1))
+_add("preferential", _spark_only, lambda s: G.preferential(s, 300, 2))
+_add("homophily", trade, lambda n: G.homophily(n, {"region": 1.5}, 0.2))
+_add("permute", trade, lambda n: T.permute(n, 3))
+_add("correlation_test", trade, lambda n: P.correlation_test(n, T.transpose(n), 50))
+_add("mixing_test", trade, lambda n: P.attribute_test(n, "region", reps=50))
+_add("balance_test", lambda s, d: (lambda n: n.with_(edges=n.edges.withColumn("value", F.when((F.col("ego") + F.col("alter")) % 3 == 0, -F.col("value")).otherwise(F.col("value")))))(trade(s, d)), lambda n: P.attribute_test(n, "region", "balance", 50))
+_add("cug_test", trade, lambda n: P.cug_test(n, lambda a: float((a * a.T).sum() / max(a.sum(), 1)), "density", 50))
+_add("qap", trade, lambda n: P.qap(n, {"back": T.transpose(n), "region": T.expand(n, "region", "same")}, 30))
+_add("qap_dsp", trade, lambda n: P.qap(n, {"back": T.transpose(n), "region": T.expand(n, "region", "same")}, 30, family="ols", method="dsp"))
+_add("diffusion_simulation", pairs, lambda n: P.simulate_diffusion(n, n.nodes.where("node < 5"), "cascade", 0.2, periods=4))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
