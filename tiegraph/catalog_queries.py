@@ -221,15 +221,15 @@ _add("betweenness_directed", trade, lambda n: K.betweenness(n, symmetric=False,
 for _m in ("louvain", "leiden", "infomap"):
     _add(f"community_{_m}", pairs, lambda n, m=_m: K.community(n, m, trials=2))
 _add("community_two_mode", lambda s, d: (lambda n: T.keep_nodes(n, "mode = 2 or cast(substr(node, 2) as int) < 60"))(orders_two_mode(s, d)), lambda n: K.two_mode_communities(n, trials=1))
-_add("cliques", lambda s, d: T.symmetrize(follow(s, d, 4)), K.cliques)
-_add("n_cliques", lambda s, d: T.symmetrize(follow(s, d, 5)), lambda n: K.n_cliques(n, 2))
-_add("n_clans", lambda s, d: T.symmetrize(follow(s, d, 5)), lambda n: K.n_cliques(n, 2, clans=True))
-_add("k_plexes", lambda s, d: T.symmetrize(follow(s, d, 5)), lambda n: K.k_plexes(n, 2))
-_add("bridges", lambda s, d: T.symmetrize(follow(s, d, 5)), K.bridges)
+_add("cliques", pairs, K.cliques)
+_add("n_cliques", lambda s, d: T.symmetrize(follow(s, d, 4)), lambda n: K.n_cliques(n, 2))
+_add("n_clans", lambda s, d: T.symmetrize(follow(s, d, 4)), lambda n: K.n_cliques(n, 2, clans=True))
+_add("k_plexes", lambda s, d: T.symmetrize(follow(s, d, 4)), lambda n: K.k_plexes(n, 2))
+_add("bridges", lambda s, d: T.symmetrize(follow(s, d, 4)), K.bridges)
 _add("max_flow", trade, lambda n: K.max_flow(n, 3, 7))
-_add("lambda_sets", lambda s, d: T.symmetrize(follow(s, d, 5)), K.lambda_sets)
-_add("k_components", lambda s, d: T.symmetrize(follow(s, d, 5)), K.k_components)
-_add("cohesive_blocks", lambda s, d: T.symmetrize(follow(s, d, 5)), K.cohesive_blocks)
+_add("lambda_sets", lambda s, d: T.symmetrize(follow(s, d, 4)), K.lambda_sets)
+_add("k_components", lambda s, d: T.symmetrize(follow(s, d, 4)), K.k_components)
+_add("cohesive_blocks", lambda s, d: T.symmetrize(follow(s, d, 4)), K.cohesive_blocks)
 _add("matching", lambda s, d: T.keep_nodes(orders_two_mode(s, d), "mode = 2 or cast(substr(node, 2) as int) < 60"), K.matching)
 _add("matching_weighted", lambda s, d: T.keep_nodes(orders_two_mode(s, d), "mode = 2 or cast(substr(node, 2) as int) < 60"), lambda n: K.matching(n, weighted=True))
 _add("core_periphery", trade, K.core_periphery)
@@ -239,7 +239,7 @@ _add("hierarchy", trade, lambda n: K.hierarchy(n, 3, "average"))
 _add("spectral", trade, K.spectral)
 for _k in ("circle", "grid", "fr", "mds"):
     _add(f"layout_{_k}", trade, lambda n, k=_k: K.layout(n, k))
-_add("induced_degree", pairs, K.induced_centrality, f"WITH {PAIRS}{BOTH}, d AS (SELECT ego node, count(*)::DOUBLE d FROM l GROUP BY 1) SELECT n.node, coalesce(d, 0) endogenous, 2 * coalesce(d, 0) induced, coalesce(d, 0) exogenous FROM n LEFT JOIN d ON d.node = n.node")
+_add("induced_degree", pairs, K.induced_centrality, f"WITH {PAIRS}{BOTH}, g AS (SELECT ego node, count(*)::DOUBLE k FROM l GROUP BY 1) SELECT n.node, coalesce(k, 0) endogenous, 2 * coalesce(k, 0) induced, coalesce(k, 0) exogenous FROM n LEFT JOIN g ON g.node = n.node")
 _add("induced_betweenness", trade, lambda n: K.induced_centrality(T.symmetrize(n), "betweenness"))
 
 # backbones
@@ -272,7 +272,7 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 _add("windowed_ties", _events, lambda e: W.windowed_ties(e, "1 day"), 'SELECT date_trunc(\'day\', ts) t_start, date_trunc(\'day\', ts) + INTERVAL 1 DAY t_end, user_id ego, event_type alter, count(*) events, round(sum("value"), 6) "value" FROM events GROUP BY 1, 2, 3, 4')
 _add("session_ties", _events, lambda e: W.session_ties(e, "6 hours").select("ego", "alter", "events"), "WITH g AS (SELECT user_id ego, event_type alter, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END f FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), s AS (SELECT ego, alter, sum(f) OVER (PARTITION BY ego, alter ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT ego, alter, count(*) events FROM s GROUP BY ego, alter, k")
 _add("interval_slice", lambda s, d: N.intervals(s.read.parquet(f"{d}/orders.parquet").withColumn("until", F.expr("o_orderdate + interval 30 days")), "o_orderkey", "o_custkey", "o_orderdate", "until"), lambda n: N.at_time(n, F.expr("timestamp'1995-06-15'")), 'SELECT o_orderkey ego, o_custkey alter, 1.0::DOUBLE "value" FROM orders WHERE o_orderdate <= TIMESTAMP \'1995-06-15\' AND TIMESTAMP \'1995-06-15\' < o_orderdate + INTERVAL 30 DAY GROUP BY 1, 2')
-_add("event_slice", lambda s, d: N.event_list(s.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts")), "user_id", "event_type", "day"), lambda n: N.at_time(n, F.expr("date'2024-01-05'")), "SELECT DISTINCT CAST(user_id AS VARCHAR) ego, event_type alter, 1.0::DOUBLE \"value\" FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'")
+_add("event_slice", lambda s, d: N.event_list(s.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts")), "user_id", "event_type", "day"), lambda n: N.at_time(n, F.expr("date'2024-01-05'")), "SELECT DISTINCT user_id ego, event_type alter, 1.0::DOUBLE \"value\" FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'")
 _spark_only = lambda s, d: s
 _add("ring", _spark_only, lambda s: G.ring(s, 50, 2), 'SELECT DISTINCT least(i, j) ego, greatest(i, j) alter, 1.0::DOUBLE "value" FROM (SELECT i + 1 i, (i + k) % 50 + 1 j FROM range(50) a(i), range(1, 3) b(k))')
 _add("lattice", _spark_only, lambda s: G.lattice(s, 6, 7), 'SELECT ego, alter, 1.0::DOUBLE "value" FROM (SELECT i + 1 ego, i + 2 alter FROM range(42) a(i) WHERE i % 7 < 6 UNION ALL SELECT i + 1, i + 8 FROM range(42) a(i) WHERE i < 35)')

@@ -100,13 +100,13 @@ def cug_test(net: Network, statistic: Statistic, condition: str = "density", rep
     _, (m,) = _matrices([net])
     a = (m != 0).astype(float)
     np.fill_diagonal(a, 0)
-    n = len(a)
+    n, directed = len(a), net.directed
     upper = np.triu_indices(n, 1)
 
     def draw(rng: np.random.Generator) -> float:
         b = np.zeros_like(a)
         if condition == "density":
-            if net.directed:
+            if directed:
                 off = np.flatnonzero(~np.eye(n, dtype=bool))
                 b.flat[rng.choice(off, int(a.sum()), replace=False)] = 1
             else:
