@@ -46,7 +46,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     quantum = F.greatest(share * window_tokens, F.lit(1e-9))
     rounds = queued.join(per_source, F.col("source").eqNullSafe(F.col("_source")), "left").join(F.broadcast(total)).withColumn("window", F.ceil((F.col("_before") + F.col("n_tokens")) / quantum).cast("long"))
     placed = common.running_start(rounds.select("uid", "source", "window", "_before", "n_tokens"), ["window", "source", "_before", "uid"], "n_tokens", "_at")
-    both = stored.select("uid", "doc_id", "source", "ids").join(placed.select("uid", "window", "_at"), "uid")
+    # a merge join at every size: the texts' ids are moved once, never sent whole to each task
+    both = stored.select("uid", "doc_id", "source", "ids").join(placed.select("uid", "window", "_at").hint("merge"), "uid")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
