@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 LONG_CHUNK = 48
+#: Marks that may follow the letters of a chunk as a pre-token of their own; not the apostrophe, which contractions have.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOUCHING = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -33,7 +35,14 @@ class ChunkEncoder:
         self.keeps_space = self.tokenizer.encode("a b", add_special_tokens=False).ids != (
             self.tokenizer.encode("a", add_special_tokens=False).ids + self.tokenizer.encode("b", add_special_tokens=False).ids
         )
+        self.lead = " " if self.keeps_space else ""
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        # ids that begin a word (with its space) or end one (with the suffix of word ends)
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.edge[k] = token.startswith("\u0120") if self.keeps_space else bool(suffix) and token.endswith(suffix)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -48,14 +57,46 @@ class ChunkEncoder:
         parts = _SAFE.split(text) if _TOUCHING.search(text) else text.split(" ")
         return parts[0], parts[1:]
 
+    def _alone(self, words: list[str], lead: str) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 256):
+            out += [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast([lead + w for w in words[i : i + 256]], add_special_tokens=False)]
+        return out
+
+    def _in_lines(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters only are one pre-token each: encoded 64 to a line, which costs half as much, and cut apart."""
+        out: dict[str, bytes] = {}
+        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for i in range(0, len(lines), 16):
+            some = lines[i : i + 16]
+            for line, got in zip(some, self.tokenizer.encode_batch_fast([self.lead + " ".join(x) for x in some], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, self.dtype)
+                cut = np.flatnonzero(self.edge[ids[1:]]) + 1 if self.keeps_space else np.flatnonzero(self.edge[ids[:-1]]) + 1
+                if len(cut) + 1 != len(line):  # a letter that the library takes for something else
+                    out.update(zip(line, self._alone(line, self.lead), strict=True))
+                    continue
+                raw, w = ids.tobytes(), self.dtype.itemsize
+                ends = [0, *(cut * w).tolist(), len(raw)]
+                out.update((x, raw[a:b]) for x, a, b in zip(line, ends, ends[1:], strict=False))
+        return out
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        todo, lead = sorted(words), " " if self.keeps_space else ""
-        for i in range(0, len(todo), 256):
-            some = todo[i : i + 256]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False), strict=True):
-                self.cache[word] = self._pack(got.ids)
+        """Letters with marks behind them are two pre-tokens, so the letters are looked up on their own."""
+        parts, odd = [], []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                parts.append((w, core.lower() if not self.keeps_space and core.isascii() else core, w[len(core) :]))
+            else:
+                odd.append(w)
+        new = sorted({c for _, c, _ in parts if c not in self.cache})
+        cores = self._in_lines(new)
+        for tail in {t for _, _, t in parts if t and t not in self.tails}:
+            self.tails[tail] = self._alone([tail], "")[0]
+        self.tails[""] = b""
+        for w, c, t in parts:
+            self.cache[w] = (cores[c] if c in cores else self.cache[c]) + self.tails[t]
+        self.cache.update(zip(odd, self._alone(odd, self.lead), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -64,20 +105,18 @@ class ChunkEncoder:
             new: set[str] = set()
             for _, rest in split:
                 new.update(rest)
-            used = new
-            new = {w for w in used if w not in self.cache and len(w) <= LONG_CHUNK}
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache.clear()
+            known = self.cache
+            new = {w for w in new if w not in known and len(w) <= LONG_CHUNK}
             if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = {w for w in used if len(w) <= LONG_CHUNK}
                 self._learn(new)
-            lead = " " if self.keeps_space else ""
             for first, rest in split:
                 head = self._direct(first) if first else b""
                 try:
                     out.append(head + b"".join(map(self.cache.__getitem__, rest)))
                 except KeyError:  # chunks too long to keep
-                    out.append(head + b"".join(self.cache[w] if len(w) <= LONG_CHUNK else self._direct(lead + w) for w in rest))
+                    out.append(head + b"".join(self.cache[w] if len(w) <= LONG_CHUNK else self._direct(self.lead + w) for w in rest))
         return out
 
 
@@ -91,20 +130,25 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+_zstd: dict[str, object] = {}
+
+
 def compress(raw: bytes, width: int) -> bytes:
     """Ids of ``width`` bytes, each byte plane together, with zstd: about the entropy of the planes."""
-    import zstandard
+    if "out" not in _zstd:
+        import zstandard
 
-    planes = np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+        _zstd["out"] = zstandard.ZstdCompressor(level=1)
+    return _zstd["out"].compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes())
 
 
 def decompress(packed: bytes, dtype: np.dtype) -> np.ndarray:
-    import zstandard
+    if "in" not in _zstd:
+        import zstandard
 
-    planes = zstandard.ZstdDecompressor().decompress(packed)
-    width = dtype.itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
+        _zstd["in"] = zstandard.ZstdDecompressor()
+    planes = np.frombuffer(_zstd["in"].decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
 
 def token_rows(batches: Iterator, path: str, end_id: int, keep: tuple[str, ...]) -> Iterator:
