@@ -54,6 +54,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _leading(x: np.ndarray, k: int) -> np.ndarray:
+    """The k leading right singular vectors, by subspace iteration: no more memory than a few columns beside ``x``."""
+    q = np.random.default_rng(5).standard_normal((x.shape[1], min(k + 16, *x.shape))).astype(np.float32)
+    for _ in range(12):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v[:k].T).astype(np.float32)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int) -> dict | None:
     def tally(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -66,15 +75,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> dict | None:
     table = labelled.sample(docs, labels, "quality", rows).mapInArrow(tally, "doc_id long, label int, counts binary").toArrow().sort_by("doc_id")
     if not len(table):
         return None
-    matrix = np.stack([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()]).astype(np.float32)
+    matrix = np.empty((len(table), TERMS), np.float32)
+    for k, packed in enumerate(table.column("counts")):
+        matrix[k] = np.frombuffer(packed.as_buffer(), np.uint16)
+    wanted = np.array(table.column("label").to_pylist(), np.float32)
+    del table
     idf = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(0))).astype(np.float32) + 1
     x = _weighted(matrix, idf)
-    # axes: the leading eigenvectors of the terms' second moments
-    values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x if len(x) >= TERMS else x.astype(np.float64) @ x.T)
-    top = np.argsort(values)[::-1][: min(DIMENSIONS, len(values))]
-    axes = vectors[:, top] if len(x) >= TERMS else x.T @ (vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-9)))
-    axes = axes.astype(np.float32)
-    return {"idf": idf, "axes": axes, "vectors": _unit(x @ axes), "labels": np.array(table.column("label").to_pylist(), np.float32)}
+    axes = _leading(x, min(DIMENSIONS, len(x)))
+    return {"idf": idf, "axes": axes, "vectors": _unit(x @ axes), "labels": wanted}
 
 
 def votes(texts: list[str | None], model: dict | None) -> np.ndarray:
