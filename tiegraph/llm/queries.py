@@ -64,5 +64,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_LINKS = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) >= 4 THEN list_distinct(list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' '))) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END g FROM w),
+x AS (SELECT doc_id, len(g) n, unnest(g) t FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) o FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+k AS (SELECT a, b FROM p WHERE 100 * o >= 85 * (na + nb - o)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id, doc_id reached FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT s.doc_id, len(g)::BIGINT n_shingles, min(reached) component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_jaccard_join": _LINKS}

@@ -47,20 +47,36 @@ class Ftrl:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        at = np.append(at, 1 << BITS)
+        at = np.append(at, np.int32(1 << BITS))
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
+    def cut(self, rows: list[tuple[np.ndarray, int]]) -> float:
+        """The log-odds at which fewest rows, not used for training, are on the wrong side: scores are centred there."""
+        w = self.weights(np.arange((1 << BITS) + 1))
+        z, y = np.array([w[at].sum() + w[-1] for at, _ in rows]), np.array([y for _, y in rows])
+        if len(set(y.tolist())) < 2:
+            return 0.0
+        order = np.argsort(z, kind="stable")
+        z, y = z[order], y[order]
+        wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum(1 - y[::-1])[::-1], [0]])
+        best = np.flatnonzero(wrong == wrong.min())
+        best = best[(best > 0) & (best < len(z))]
+        if not len(best):
+            return 0.0
+        i = best[len(best) // 2]
+        return float(np.clip((z[i - 1] + z[i]) / 2, -3, 3))
+
     def sparse(self) -> tuple[np.ndarray, np.ndarray]:
         w = self.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(w)
         return at.astype(np.int32), w[at].astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, passes: int = 3) -> tuple[np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, passes: int = 3) -> tuple[np.ndarray, np.ndarray] | None:
     """Places and values of the weights, from at most ``rows`` labelled documents; None if there are none."""
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -74,15 +90,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, passes: int =
     table = labelled.sample(docs, labels, "toxic", rows).mapInArrow(hashed, "doc_id long, label int, at binary").toArrow().sort_by("doc_id")
     if not len(table):
         return None
-    rows_ = [(np.frombuffer(a, np.int32).astype(np.int64), y) for a, y in zip(table.column("at").to_pylist(), table.column("label").to_pylist(), strict=True)]
+    # views of the collected buffers, no copies
+    rows_ = [(np.frombuffer(a.as_buffer(), np.int32), y) for a, y in zip(table.column("at"), table.column("label").to_pylist(), strict=True)]
+    cut = _fit([r for k, r in enumerate(rows_) if k % 4], passes).cut([r for k, r in enumerate(rows_) if k % 4 == 0])
+    at, w = _fit(rows_, passes).sparse()
+    if not len(at) or at[-1] != 1 << BITS:
+        at, w = np.append(at, np.int32(1 << BITS)), np.append(w, np.float32(0))
+    w[-1] -= cut
+    return at, w
+
+
+def _fit(rows: list[tuple[np.ndarray, int]], passes: int) -> Ftrl:
     model, rng = Ftrl(), np.random.default_rng(7)
     for _ in range(passes):
-        for i in rng.permutation(len(rows_)):
-            model.learn(*rows_[i])
-    return model.sparse()
+        for i in rng.permutation(len(rows)):
+            model.learn(*rows[i])
+    return model
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, rows: int = 10_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``, as labels.toxic marks it.
 
     Empty and null texts get the bias alone. Without labelled rows all scores are 0. Repeated rows stay repeated.
