@@ -250,6 +250,8 @@ _add("lans", follow, B.lans, f'WITH {FOLLOW1} SELECT ego, alter, {_V}, round(1 -
 _add("mlf", trade, B.mlf)
 _add("fixed_row", orders_two_mode, lambda n: B.fixed_row(n, 2))
 _add("fixed_column", orders_two_mode, lambda n: B.fixed_column(n, 2))
+_add("fixed_fill", orders_two_mode, lambda n: B.fixed_fill(n, 2))
+_add("fdsm", lambda s, d: T.keep_nodes(orders_two_mode(s, d), "mode = 1 or cast(substr(node, 2) as int) < 20"), lambda n: B.fdsm(n, 2, trials=20))
 _add("sdsm", orders_two_mode, lambda n: B.sdsm(n, 2))
 _RANK = "t AS (SELECT *, count(*) OVER () m, row_number() OVER (ORDER BY p, ego, alter) r FROM p)"
 for _c, _x in (

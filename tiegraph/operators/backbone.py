@@ -156,6 +156,72 @@ def sdsm(net: Network, mode: int = 1, rounds: int = 200, tol: float = 1e-8) -> D
     return _projected(net, mode).join(table, ["ki", "kj"]).select("ego", "alter", "value", _normal_tail(F.col("value"), F.col("mu"), F.col("var")).alias("p"))
 
 
+def fixed_fill(net: Network, mode: int = 1) -> DataFrame:
+    """ego, alter, value, p: exact tail of the shared partners of two rows when all ones fall anywhere in the matrix.
+
+    k shared columns and t ones in the two rows: C(c,k) C(c-k,t-2k) 2^(t-2k) C((r-2)c, f-t) / C(rc, f), summed over t.
+    """
+    sizes = net.nodes.groupBy("mode").agg(F.count("*").alias("n")).collect()
+    r, c = (next(x["n"] for x in sizes if x["mode"] == m) for m in (mode, 3 - mode))
+    f = net.ties.count()
+    choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1) if 0 <= y <= x else -math.inf
+    chance = []
+    for k in range(c + 1):
+        terms = [choose(c, k) + choose(c - k, t - 2 * k) + (t - 2 * k) * math.log(2) + choose((r - 2) * c, f - t) - choose(r * c, f) for t in range(2 * k, min(2 * c, f, c + k) + 1)]
+        chance.append(sum(math.exp(x) for x in terms if x > -700))
+    tails = [min(1.0, sum(chance[k:])) for k in range(c + 1)]
+    t = _projected(net, mode).select("ego", "alter", "value")
+    return _mapped(t, ["value"], lambda s: tails[int(s)])
+
+
+def fdsm(net: Network, mode: int = 1, trials: int = 1000, seed: int = 1) -> DataFrame:
+    """ego, alter, value, p: share of random two-mode networks with the same degrees on both sides (curveball trades, five
+    for each row and draw) in which the pair shares as many partners. Draws run in parallel; at most 3,000 rows."""
+    import numpy as np
+
+    own, other = ("ego", "alter") if mode == 1 else ("alter", "ego")
+    lists = net.ties.groupBy(F.col(own).alias("i")).agg(F.sort_array(F.collect_set(other)).alias("q")).orderBy("i")
+    if lists.count() > 3_000:
+        raise NetworkError("too many rows for draws of whole matrices")
+    rows = lists.collect()
+    keys, columns = [x["i"] for x in rows], {q: k for k, q in enumerate(sorted({q for x in rows for q in x["q"]}))}
+    start = [sorted(columns[q] for q in x["q"]) for x in rows]
+    n, m = len(keys), len(columns)
+
+    def shares(sets: list[list[int]]) -> np.ndarray:
+        b = np.zeros((n, m), np.float32)
+        for i, s in enumerate(sets):
+            b[i, s] = 1
+        return b @ b.T
+
+    seen = shares(start)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, draws = np.zeros((n, n), np.int64), 0
+        for batch in batches:
+            for rep in batch["id"]:
+                rng, sets = np.random.default_rng((seed, int(rep))), [list(s) for s in start]
+                for _ in range(5 * n):
+                    a, b = rng.choice(n, 2, replace=False)
+                    x, y = set(sets[a]), set(sets[b])
+                    loose = np.array(sorted(x ^ y))
+                    rng.shuffle(loose)
+                    k = len(x - y)
+                    sets[a], sets[b] = sorted((x & y) | set(loose[:k].tolist())), sorted((x & y) | set(loose[k:].tolist()))
+                count += shares(sets) >= seen
+                draws += 1
+        i, j = np.nonzero(np.triu(seen, 1))
+        yield pd.DataFrame({"i": i, "j": j, "hits": count[i, j], "draws": draws})
+
+    spark = net.spark
+    parts = max(1, min(trials, spark.sparkContext.defaultParallelism))
+    hits = spark.range(trials).repartition(parts).mapInPandas(draw, "i long, j long, hits long, draws long").groupBy("i", "j").agg((F.sum("hits") / F.sum("draws")).alias("p"))
+    kind = dict(net.nodes.dtypes)["node"]
+    label = spark.createDataFrame(list(enumerate(keys)), f"k long, node {kind}")
+    named = hits.join(label.select(F.col("k").alias("i"), F.col("node").alias("ego")), "i").join(label.select(F.col("k").alias("j"), F.col("node").alias("alter")), "j")
+    return _projected(net, mode).select("ego", "alter", "value").join(named.select("ego", "alter", "p"), ["ego", "alter"])
+
+
 def adjust(p: DataFrame, method: str = "holm") -> DataFrame:
     """Add ``adjusted``. Ranks are global, so tests meet in one ordered window: the table of tests is small beside the ties."""
     if method not in METHODS:
@@ -199,7 +265,7 @@ def _hommel(p: DataFrame) -> DataFrame:
 
 def backbone(net: Network, method: str = "disparity", alpha: float = 0.05, correction: str = "none", mode: int = 1) -> Network:
     """Ties whose corrected p is below ``alpha``."""
-    tests = {"disparity": disparity, "lans": lans, "mlf": mlf, "fixedrow": lambda n: fixed_row(n, mode), "fixedcol": lambda n: fixed_column(n, mode), "sdsm": lambda n: sdsm(n, mode)}
+    tests = {"disparity": disparity, "lans": lans, "mlf": mlf, "fixedrow": lambda n: fixed_row(n, mode), "fixedcol": lambda n: fixed_column(n, mode), "sdsm": lambda n: sdsm(n, mode), "fixedfill": lambda n: fixed_fill(n, mode), "fdsm": lambda n: fdsm(n, mode)}
     if method not in tests:
         raise NetworkError(f"unknown method {method}")
     kept = adjust(tests[method](net), correction).where(F.col("adjusted") < alpha)
