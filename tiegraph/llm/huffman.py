@@ -2,7 +2,7 @@
 
 File format (a folder). ``codes``: one row, the code length of each id (0: not used). ``blocks``: rows (part, block,
 n_ids, doc_ids, doc_lengths, checkpoints, payload), in Parquet, files and rows in ascending doc_id order. A payload is
-the codes of n_ids ids, most significant bit first; ``checkpoints`` holds the bit offset of every STRIDE-th id, so
+the codes of n_ids ids, most significant bit first; ``checkpoints`` holds the bit offset of every STRIDE-th id (32 bits), so
 that a reader can start anywhere. Lengths are limited to LIMIT bits, so one table of 2^LIMIT entries decodes.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tiegraph.llm import common, tokens
 
-STRIDE = 512
+STRIDE = 128
 BLOCK_IDS = 1 << 16
 BLOCKS = "part long, block long, n_ids long, doc_ids binary, doc_lengths binary, checkpoints binary, payload binary"
 
@@ -156,7 +156,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         def flush() -> pa.RecordBatch:
             whole = np.concatenate(ids)
             payload, at = pack_bits(whole, codes, lengths)
-            row = {"part": part, "block": block, "n_ids": len(whole), "doc_ids": np.array([-(2**63) if d is None else d for d in who], "<i8").tobytes(), "doc_lengths": np.array([len(x) for x in ids], "<u4").tobytes(), "checkpoints": at[::STRIDE].astype("<u8").tobytes(), "payload": payload}
+            row = {"part": part, "block": block, "n_ids": len(whole), "doc_ids": np.array([-(2**63) if d is None else d for d in who], "<i8").tobytes(), "doc_lengths": np.array([len(x) for x in ids], "<u4").tobytes(), "checkpoints": at[::STRIDE].astype("<u4").tobytes(), "payload": payload}
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in row.items()})
 
         held = 0
@@ -189,7 +189,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         table = tables.setdefault(0, Table(shared.value))
         for batch in batches:
             for r in batch.to_pylist():
-                ids = table.decode(r["payload"], r["n_ids"], np.frombuffer(r["checkpoints"], "<u8")).astype("<u4")
+                ids = table.decode(r["payload"], r["n_ids"], np.frombuffer(r["checkpoints"], "<u4")).astype("<u4")
                 n = np.frombuffer(r["doc_lengths"], "<u4").astype(np.int64)
                 start = np.cumsum(n) - n
                 crc = [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(start, n, strict=True)]
