@@ -67,7 +67,7 @@ def read_pajek(spark: SparkSession, path: str) -> Network:
     names = ids.join(named, "id", "left").select("id", F.coalesce(label, F.col("id").cast("string")).alias("node"))
     p = F.split(F.trim("line"), r"\s+")
     pair = body.where("section in ('arcs', 'edges')").select("section", p[0].cast("long").alias("a"), p[1].cast("long").alias("b"), F.coalesce(F.get(p, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
-    lists = body.where("section in ('arcslist', 'edgeslist')").select("section", p.alias("p")).select("section", F.col("p")[0].cast("long").alias("a"), F.explode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))).cast("long").alias("b"), F.lit(1.0).alias("value"))
+    lists = body.where("section in ('arcslist', 'edgeslist')").select("section", p.alias("p")).select("section", F.col("p")[0].cast("long").alias("a"), F.explode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).cast("array<bigint>")).alias("b"), F.lit(1.0).alias("value"))
     rows = body.where("section = 'matrix'").select(F.lit("matrix").alias("section"), (F.col("n") - F.col("start")).cast("long").alias("a"), F.posexplode(p).alias("b", "v"))
     cells = rows.select("section", "a", (F.col("b") + 1).cast("long").alias("b"), F.col("v").cast("double").alias("value")).where("value <> 0")
     ties = pair.unionByName(lists).unionByName(cells)
