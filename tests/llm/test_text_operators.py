@@ -168,13 +168,13 @@ def test_keep_one(spark, awkward):
 def test_html(spark):
     page = (
         "<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav><div id='cookie-notice'>We use cookies</div><main><article class='post'><h1>Title {n} &amp; more</h1><p>Text {n} <a href=x>two</a>&nbsp;"
-        "three<p>Next <b>x<br>y</b><div>Share this story</div><div class='comments'><p>bad comment</div><form>name<input></form><script>var t='</p>';</script><p>1 < 2 &#8364;</article><aside>no</aside></main><footer>f</footer>"
+        "three<p>Next {n} <b>x<br>y</b><div>Share this story</div><div class='comments'><p>bad comment</div><form>name<input></form><script>var t='</p>';</script><p>1 < 2 &#8364; {n}</article><aside>no</aside></main><footer>f</footer>"
     )
     rows = [(k, f"http://a.example/{k}", page.replace("{n}", str(k))) for k in range(6)] + [(10, "http://b.example/", "<p>alone"), (11, None, None), (12, "", ""), (13, "http://a.example/x", "<article><p>cut <b>off"), (13, "http://a.example/x", "<article><p>cut <b>off")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_extraction.extract(df).collect()
     got = {r["page_id"]: r["text"] for r in out}
-    assert got[2] == "Title 2 & more\n\nText 2 two three\n\nNext x y\n\n1 < 2 €"  # the constant line is template
+    assert got[2] == "Title 2 & more\n\nText 2 two three\n\nNext 2 x y\n\n1 < 2 € 2"  # the constant line is template
     assert got[10] == "alone" and got[11] == "" == got[12] and got[13] == "cut off" and len(out) == len(rows)
     assert html_extraction.extract(df.where("false")).count() == 0
 

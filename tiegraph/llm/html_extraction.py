@@ -7,7 +7,8 @@
    matched node is a slot of the wrapper, other nodes are named by their path. Each (slot, text) is counted once per
    page over all pages of the host, added up before the shuffle.
 3. A text that fills its slot on at least ``constant`` of the host's pages, and on three or more, is template; texts
-   that vary are content. The template joins the pages by host, and each page keeps its content blocks in order.
+   that vary are content. The template joins the pages by host, and each page keeps its content blocks in order; a
+   page that would lose more than half of its text is a copy of others, not template, and keeps all.
 """
 
 from __future__ import annotations
@@ -320,7 +321,11 @@ def extract(pages: DataFrame, constant: float = 0.5) -> DataFrame:
                 if fixed:
                     drop = set(fixed)
                     blocks, free, slot = slots(page, model)
-                    texts.append("\n\n".join(blocks[k][1] for k in free if _digest(slot[k], blocks[k][1]) not in drop))
+                    kept = [k for k in free if _digest(slot[k], blocks[k][1]) not in drop]
+                    # template is the lesser part of an article: pages that would lose most of it are copies of each other
+                    if 2 * sum(len(blocks[k][1]) for k in kept) < sum(len(blocks[k][1]) for k in free):
+                        kept = free
+                    texts.append("\n\n".join(blocks[k][1] for k in kept))
                 else:
                     root, blocks = parse(page)
                     texts.append("\n\n".join(blocks[k][1] for k in scope(root, blocks)))
