@@ -9,8 +9,9 @@
    are discarded, overlaps of the rest are counted over all kept entries, and pairs below the bound are discarded.
 5. Columns with very many rows (large groups of near copies) aren't multiplied out: every row of a column meets a
    pivot, the links found so far join rows to components, and only pairs of a column in different components remain.
-   A pair left out lies in one component already, so components are those of all links. When few pairs remain, all
-   of them are computed.
+   A pair left out lies in one component already, so components are those of all links. In the end each row outside
+   a column's largest component meets all rows of the column. A parity bitmap of each row's entries bounds the
+   symmetric difference of two rows from below, so pairs that can't link are discarded inside the join.
 
 Words, shingles and links are defined in ``shingle_hashes`` and ``linked_components``. Hashes have 64 bits; columns use the 48 upper bits.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiegraph.llm import common
@@ -28,7 +29,8 @@ from tiegraph.operators.components import connected_components
 
 ENTRIES_PER_BLOCK = 3_000_000
 ENTRIES_PER_FLUSH = 4_000_000
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 3
+SKETCH_WORDS = 16
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -196,10 +198,30 @@ def _rows(entries: DataFrame, percent: int) -> DataFrame:
         order = np.lexsort((h, df, c))
         h, c, n = h[order], c[order], n[order]
         starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        bits = np.zeros((len(starts), SKETCH_WORDS), np.uint64)
+        which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+        mixed = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        np.bitwise_xor.at(bits, (which, (mixed & np.uint64(SKETCH_WORDS - 1)).astype(np.int64)), np.uint64(1) << (mixed >> np.uint64(10) & np.uint64(63)))
         lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)), pa.int32()), pa.array(h, pa.int64()))
-        return pa.Table.from_arrays([pa.array(c[starts]), pa.array(n[starts]), lists], ["cid", "n", "shared"])
+        words = [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(SKETCH_WORDS)]
+        return pa.Table.from_arrays([pa.array(c[starts]), pa.array(n[starts]), lists, *words], ["cid", "n", "shared", *(f"w{k}" for k in range(SKETCH_WORDS))])
 
-    return entries.groupBy("part").applyInArrow(gather, "cid long, n long, shared array<long>")
+    return entries.groupBy("part").applyInArrow(gather, "cid long, n long, shared array<long>" + "".join(f", w{k} long" for k in range(SKETCH_WORDS)))
+
+
+def _sketch(rows: DataFrame, side: str) -> DataFrame:
+    """Per class: its size, how many of its entries nobody shares, and the parity bitmap of the others."""
+    words = [F.col(f"w{k}").alias(f"w{k}{side}") for k in range(SKETCH_WORDS)]
+    return rows.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), (F.col("n") - F.size("shared")).alias(f"u{side}"), *words)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether the least possible symmetric difference of a and b still allows a link. Also bounds their sizes."""
+    apart = F.col("ua") + F.col("ub")
+    for k in range(SKETCH_WORDS):
+        apart = apart + F.bit_count(F.col(f"w{k}a").bitwiseXOR(F.col(f"w{k}b")))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return fits & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -224,36 +246,41 @@ def linked_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[D
     blocks = max(16, -(-entries // ENTRIES_PER_BLOCK))
     rows = common.materialize(_rows(_shared_entries(_columns(slim, size, blocks), blocks), percent), "jaccard-rows")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
-    prefix = rows.select("cid", "n", F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("h"))
+    prefix = rows.select("cid", (F.col("n") - F.size("shared")).alias("own"), F.explode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), first.cast("int")))).alias("h"))
     shared = prefix.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1").select("h")
     prefix = common.materialize(prefix.join(shared, "h"), "jaccard-prefix")
     count = prefix.count()
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    links = None
     comps = prefix.select("cid", F.col("cid").alias("comp")).distinct()
     for turn in range(PIVOT_ROUNDS + 1):
         open_ = prefix.join(comps, "cid")
-        per = open_.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"), F.count("*").alias("comps"))
-        mixed = per.where("comps > 1")
-        rest = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs")).head()["pairs"] or 0
+        per = open_.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("rows"), F.count("*").alias("comps"))
+        mixed = common.materialize(per.where("comps > 1").select("h", F.col("main.comp").alias("main"), (F.col("rows") - F.col("main.k")).alias("others"), "rows"), "jaccard-mixed")
+        rest = mixed.agg(F.sum(F.col("others") * F.col("rows"))).head()[0] or 0
         if not rest:
             break
-        open_ = common.materialize(open_.join(mixed.select("h"), "h"), "jaccard-open")
-        last = rest <= count or turn == PIVOT_ROUNDS
-        one = open_.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        open_ = common.materialize(open_.join(mixed.select("h", "main"), "h"), "jaccard-open")
+        last = rest <= 4 * count or turn == PIVOT_ROUNDS
         if last:
-            two = open_.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = one.join(two, "h").where((F.col("ca") < F.col("cb")) & fits)
+            one = open_.where("comp <> main").select("h", F.col("cid").alias("a"), F.col("comp").alias("ca"), "main").join(_sketch(rows, "a"), "a")
+            two = open_.select("h", F.col("cid").alias("b"), F.col("comp").alias("cb")).join(_sketch(rows, "b"), "b")
+            # both ends outside the main component: once; one end in it: always
+            new = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb")))
+            pairs = one.join(two, "h").where(new & _may_link(percent)).select("a", "b")
         else:
-            rank = F.struct(F.xxhash64("comp", F.lit(turn)), F.xxhash64("cid", F.lit(turn)), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            two = open_.groupBy("h").agg(F.min(rank).alias("p")).select("h", "p.b", "p.nb", "p.cb")
-            pairs = one.join(two, "h").where((F.col("ca") != F.col("cb")) & fits)
+            # the row with the least of its own is nearest to the text that the copies come from; later, of those not yet joined
+            rank = F.struct("own", F.xxhash64("cid"), F.col("cid").alias("b"), F.col("comp").alias("cb"))
+            pivots = (open_.where("comp <> main") if turn else open_).groupBy("h").agg(F.min(rank).alias("p")).select("h", "p.b", "p.cb")
+            pairs = open_.select("h", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(pivots, "h").where("ca <> cb").select("a", "b").distinct()
+            pairs = pairs.join(_sketch(rows, "a"), "a").join(_sketch(rows, "b"), "b").where(_may_link(percent)).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = common.materialize(_verified(pairs, rows, percent).select("a", "b"), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
+        found = _verified(pairs, rows, percent).select("a", "b")
+        # links between components, which then merge
+        for end in "ab":
+            found = found.join(comps.select(F.col("cid").alias(end), F.col("comp").alias(f"c{end}")), end)
+        found = common.materialize(found.select("ca", "cb").where("ca <> cb").distinct(), "jaccard-links")
         if not found.isEmpty():
-            comps = connected_components(links, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("comp"))
-            comps = common.materialize(prefix.select("cid").distinct().join(comps, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "jaccard-comps")
+            merged = connected_components(found, "ca", "cb").select(F.col("node").alias("comp"), F.col("component").alias("to"))
+            comps = common.materialize(comps.join(merged, "comp", "left").select("cid", F.coalesce("to", "comp").alias("comp")), "jaccard-comps")
         if last:
             break
     return sets, comps
