@@ -29,7 +29,7 @@ def degree(net: Network, alpha: float | None = None, binary: bool = False, stand
         both = out.withColumn("in", F.col("out"))
     res = _per_node(net, both, {"out": 0.0, "in": 0.0}).withColumn("total", F.col("out") + F.col("in") if net.directed else F.col("out"))
     if standardize:
-        n = net.n_nodes()
+        n = max(2, net.n_nodes())
         res = res.select("node", *[(F.col(c) / (n - 1)).alias(c) for c in ("out", "in", "total")])
     return res.withColumn("isolate", (F.col("total") == 0).cast("int"))
 
@@ -57,7 +57,7 @@ def centralization(net: Network) -> DataFrame:
     d = degree(net, binary=True)
     x = d.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in ("out", "in") for p, f in (("max", F.max), ("sum", F.sum))])
     n = F.col("n")
-    div = (n - 1) * (n - 1) if net.directed else (n - 2) * (n - 1)
+    div = F.nullif((n - 1) * (n - 1) if net.directed else (n - 2) * (n - 1), F.lit(0))
     return x.select(*[((n * F.col(f"max_{c}") - F.col(f"sum_{c}")) / div).alias(f"centralization_{c}") for c in ("out", "in")])
 
 
@@ -74,8 +74,8 @@ def summary(net: Network) -> DataFrame:
         x = x.withColumn("dyads", F.col("nodes") * (F.col("nodes") - 1) / (1 if net.directed else 2))
     open_ = F.col("ties") + F.col("missing") < F.col("dyads")
     return x.select(
-        "nodes", "ties", (F.col("ties") / (F.col("dyads") - F.col("missing"))).alias("density"), "sum", F.when(open_, F.least(_z("lo"), F.lit(0.0))).otherwise(F.col("lo")).alias("min"),
-        F.when(open_, F.greatest(_z("hi"), F.lit(0.0))).otherwise(F.col("hi")).alias("max"), (F.col("ties") * (1 if net.directed else 2) / F.col("nodes")).alias("mean_degree"),
+        "nodes", "ties", (F.col("ties") / F.nullif((F.col("dyads") - F.col("missing")).cast("double"), F.lit(0.0))).alias("density"), "sum", F.when(open_, F.least(_z("lo"), F.lit(0.0))).otherwise(F.col("lo")).alias("min"),
+        F.when(open_, F.greatest(_z("hi"), F.lit(0.0))).otherwise(F.col("hi")).alias("max"), (F.col("ties") * (1 if net.directed else 2) / F.nullif(F.col("nodes"), F.lit(0))).alias("mean_degree"),
     )
 
 
@@ -101,7 +101,7 @@ def ei_index(net: Network, attribute: str) -> DataFrame:
     """external, internal, ei = (E - I)/(E + I)."""
     m = _with_attribute(net, net.ties, attribute).where("x is not null and y is not null")
     c = m.agg(F.sum((F.col("x") != F.col("y")).cast("long")).alias("external"), F.sum((F.col("x") == F.col("y")).cast("long")).alias("internal"))
-    return c.withColumn("ei", (F.col("external") - F.col("internal")) / (F.col("external") + F.col("internal")))
+    return c.withColumn("ei", (F.col("external") - F.col("internal")) / F.nullif(F.col("external") + F.col("internal"), F.lit(0)))
 
 
 def alter_stats(net: Network, attribute: str, value: object = None) -> DataFrame:
@@ -146,7 +146,7 @@ def dyad_census(net: Network) -> DataFrame:
     c = arcs.groupBy("a", "b").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum((F.col("k") == 2).cast("long")), F.lit(0)).alias("mutual"), F.coalesce(F.sum((F.col("k") == 1).cast("long")), F.lit(0)).alias("asymmetric"))
     n = net.nodes.agg(F.count("*").alias("n"))
     x = c.crossJoin(n)
-    return x.select("mutual", "asymmetric", (F.col("n") * (F.col("n") - 1) / 2 - F.col("mutual") - F.col("asymmetric")).cast("long").alias("null_dyads"), (F.col("mutual") / (F.col("mutual") + F.col("asymmetric"))).alias("reciprocity"))
+    return x.select("mutual", "asymmetric", (F.col("n") * (F.col("n") - 1) / 2 - F.col("mutual") - F.col("asymmetric")).cast("long").alias("null_dyads"), (F.col("mutual") / F.nullif(F.col("mutual") + F.col("asymmetric"), F.lit(0))).alias("reciprocity"))
 
 
 def assortativity(net: Network, attribute: str | None = None, weighted: bool = False) -> DataFrame:
@@ -161,9 +161,10 @@ def assortativity(net: Network, attribute: str | None = None, weighted: bool = F
     t = links.join(v.select(F.col("node").alias("ego"), F.col("v").alias("x")), "ego").join(v.select(F.col("node").alias("alter"), F.col("v").alias("y")), "alter").where("x is not null and y is not null")
     w, x, y = F.col("w"), F.col("x"), F.col("y")
     m = t.agg(F.sum(w).alias("s"), *[F.sum(w * e).alias(k) for k, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
-    s = F.col("s")
+    s = F.nullif(F.col("s"), F.lit(0.0))
     cov = F.col("sxy") / s - F.col("sx") / s * F.col("sy") / s
-    return m.select((cov / F.sqrt((F.col("sxx") / s - F.pow(F.col("sx") / s, F.lit(2))) * (F.col("syy") / s - F.pow(F.col("sy") / s, F.lit(2))))).alias("assortativity"))
+    spread = (F.col("sxx") / s - F.pow(F.col("sx") / s, F.lit(2))) * (F.col("syy") / s - F.pow(F.col("sy") / s, F.lit(2)))
+    return m.select((cov / F.nullif(F.sqrt(F.greatest(spread, F.lit(0.0))), F.lit(0.0))).alias("assortativity"))
 
 
 def correlate(a: Network, b: Network) -> DataFrame:
@@ -172,7 +173,8 @@ def correlate(a: Network, b: Network) -> DataFrame:
     x, y = _z("x"), _z("y")
     m = t.agg(*[F.sum(e).alias(k) for k, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))]).crossJoin(a.nodes.agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("s")))
     s = F.col("s")
-    return m.select(((s * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt((s * F.col("sxx") - F.col("sx") * F.col("sx")) * (s * F.col("syy") - F.col("sy") * F.col("sy")))).alias("correlation"))
+    spread = (s * F.col("sxx") - F.col("sx") * F.col("sx")) * (s * F.col("syy") - F.col("sy") * F.col("sy"))
+    return m.select(((s * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(F.greatest(spread, F.lit(0.0))), F.lit(0.0))).alias("correlation"))
 
 
 def turnover(before: Network, after: Network) -> DataFrame:
@@ -196,8 +198,8 @@ def formation(before: Network, after: Network) -> DataFrame:
     t = back.join(two, ["ego", "alter"], "full").join(a, ["ego", "alter"], "left_anti").join(formed, ["ego", "alter"], "full")
     x = t.agg(*[F.sum(F.coalesce(e, F.lit(0))).alias(k) for k, e in (("f", F.col("formed")), ("fb", F.col("formed") * F.col("back")), ("fc", F.col("formed") * F.col("closed")), ("b", F.col("back")), ("c", F.col("closed")))])
     x = x.crossJoin(before.nodes.agg((F.count("*") * (F.count("*") - 1)).alias("d"))).crossJoin(a.agg(F.count("*").alias("m")))
-    absent = F.col("d") - F.col("m")
-    return x.select((F.col("fb") / F.col("f")).alias("formed_reciprocal"), (F.col("fc") / F.col("f")).alias("formed_closing"), (F.col("b") / absent).alias("absent_reciprocal"), (F.col("c") / absent).alias("absent_closing"))
+    absent = F.nullif(F.col("d") - F.col("m"), F.lit(0))
+    return x.select((F.col("fb") / F.nullif(F.col("f"), F.lit(0))).alias("formed_reciprocal"), (F.col("fc") / F.nullif(F.col("f"), F.lit(0))).alias("formed_closing"), (F.col("b") / absent).alias("absent_reciprocal"), (F.col("c") / absent).alias("absent_closing"))
 
 
 def modularity(net: Network, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -206,7 +208,7 @@ def modularity(net: Network, membership: DataFrame, gamma: float = 1.0) -> DataF
     inside = t.where("c = d").groupBy("c").agg(F.sum("value").alias("w"))
     k1, k2 = t.groupBy("c").agg(F.sum("value").alias("k1")), t.groupBy(F.col("d").alias("c")).agg(F.sum("value").alias("k2"))
     x = k1.join(k2, "c", "full").join(inside, "c", "left").select(_z("w").alias("w"), _z("k1").alias("k1"), _z("k2").alias("k2"))
-    m = F.col("m")
+    m = F.nullif(F.col("m"), F.lit(0.0))
     if net.two_mode:
         y = x.agg(F.sum("w").alias("w"), F.sum("k1").alias("m"), F.sum(F.col("k1") * F.col("k2")).alias("kk"))
         return y.select(((F.col("w") - gamma * F.col("kk") / m) / m).alias("modularity"))

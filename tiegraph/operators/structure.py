@@ -62,7 +62,7 @@ def clustering_valued(net: Network, mean: str = "arithmetic") -> DataFrame:
 
 def clustering_summary(net: Network) -> DataFrame:
     """global (closed over pairs) and average local clustering."""
-    return clustering(net).agg((F.sum("closed") / F.sum("pairs")).alias("global"), F.avg("local").alias("average"))
+    return clustering(net).agg((F.sum("closed") / F.nullif(F.sum("pairs"), F.lit(0))).alias("global"), F.avg("local").alias("average"))
 
 
 def ego_density(net: Network) -> DataFrame:
@@ -174,7 +174,7 @@ def burt(net: Network, direction: str = "both", binary: bool = False) -> DataFra
     c = F.pow(F.col("p") + _z("via"), F.lit(2))
     per = t.groupBy(F.col("i").alias("node")).agg(F.sum(1 - _z("red")).alias("effective_size"), F.sum(c).alias("constraint"), F.sum(c * F.log(c)).alias("_clogc"), F.count("*").alias("degree"))
     n, big = F.col("degree"), F.col("constraint")
-    h = F.when(n == 1, 1.0).when(n > 1, (F.col("_clogc") / (big / n) - n * F.log(big / n)) / (n * F.log(n)))
+    h = F.when(n == 1, 1.0).when((n > 1) & (big > 0), (F.col("_clogc") / (big / n) - n * F.log(big / n)) / (n * F.log(n)))
     return _per_node(net, per.select("node", "degree", "effective_size", (F.col("effective_size") / n).alias("efficiency"), "constraint", h.alias("hierarchy")), {"degree": 0})
 
 
@@ -231,7 +231,7 @@ def profile_similarity(net: Network, index: str = "matches", two_mode_side: int
         own = {s: F.lit(0.0) for s in "ij"}
     has = {s: F.when(own[s] != 0, 1).otherwise(0) for s in "ij"}
     pairs = pairs.crossJoin(F.broadcast(width))
-    n, c = F.col("c"), F.coalesce("co", F.lit(0))
+    n, c = F.nullif(F.col("c"), F.lit(0.0)), F.coalesce("co", F.lit(0))
     ki, kj = (F.coalesce(f"k_{s}", F.lit(0)) - has[s] for s in "ij")
     si, sj = (_z(f"s_{s}") - own[s] for s in "ij")
     qi, qj = (_z(f"ss_{s}") - own[s] * own[s] for s in "ij")
@@ -239,7 +239,7 @@ def profile_similarity(net: Network, index: str = "matches", two_mode_side: int
     xy = _z("xy")
     agree, union = n - ki - kj + 2 * c, ki + kj - c
     values: dict[str, Column] = {
-        "pearson": (n * xy - si * sj) / F.sqrt((n * qi - si * si) * (n * qj - sj * sj)), "matches": agree / n, "jaccard": F.when(union > 0, c / union), "hamming": agree, "crossproduct": xy,
+        "pearson": (n * xy - si * sj) / F.nullif(F.sqrt(F.greatest((n * qi - si * si) * (n * qj - sj * sj), F.lit(0.0))), F.lit(0.0)), "matches": agree / n, "jaccard": F.when(union > 0, c / union), "hamming": agree, "crossproduct": xy,
         "euclidean": F.sqrt(F.greatest(qi + qj - 2 * xy, F.lit(0.0))), "manhattan": ai + aj + _z("man"), "nonmatches": 1 - agree / n, "dhamming": n - agree, "djaccard": F.when(union > 0, 1 - c / union),
     }
     if index not in values:
@@ -281,7 +281,9 @@ def nestedness(net: Network) -> DataFrame:
     c = s.agg(F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("s") * (F.col("ki") + F.col("kj"))), F.lit(0)).alias("a"))
     c = c.crossJoin(k.agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("b")))
     x = parts[0].crossJoin(parts[1]).crossJoin(c)
-    return x.select(((F.col("t1") + F.col("t2")) / (F.col("p1") + F.col("p2"))).alias("nodf"), (F.col("t1") / F.col("p1")).alias("nodf_1"), (F.col("t2") / F.col("p2")).alias("nodf_2"), ((F.col("a") + F.col("b")) / F.col("p2")).alias("c_score"))
+    over = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    t1, t2, p1, p2 = (F.col(k) for k in ("t1", "t2", "p1", "p2"))
+    return x.select(over(t1 + t2, p1 + p2).alias("nodf"), over(t1, p1).alias("nodf_1"), over(t2, p2).alias("nodf_2"), over(F.col("a") + F.col("b"), p2).alias("c_score"))
 
 
 def motifs4(net: Network) -> DataFrame:
