@@ -96,6 +96,8 @@ class Table:
 
     def decode(self, payload: bytes, n_ids: int, checkpoints: np.ndarray) -> np.ndarray:
         data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
+        # the 40 bits from each byte on
+        words = (data[:-4] << np.uint64(32)) | (data[1:-3] << np.uint64(24)) | (data[2:-2] << np.uint64(16)) | (data[3:-1] << np.uint64(8)) | data[4:]
         at = checkpoints.astype(np.int64).copy()
         out = np.zeros((len(at), STRIDE), np.uint32)
         shift = np.uint64(40 - self.limit)
@@ -103,9 +105,7 @@ class Table:
         last = 8 * len(payload)
         for k in range(STRIDE):
             at = np.minimum(at, last)
-            b = at >> 3
-            word = (data[b] << np.uint64(32)) | (data[b + 1] << np.uint64(24)) | (data[b + 2] << np.uint64(16)) | (data[b + 3] << np.uint64(8)) | data[b + 4]
-            look = ((word >> (shift - (at & 7).astype(np.uint64))) & mask).astype(np.int64)
+            look = ((words[at >> 3] >> (shift - (at & 7).astype(np.uint64))) & mask).astype(np.int64)
             out[:, k] = self.symbol[look]
             at = at + self.size[look]
         return out.reshape(-1)[:n_ids]
@@ -128,11 +128,12 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         dtype = tokens.encoder(tokenizer_path).dtype
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for packed in batch.column("ids").to_pylist():
-                more = np.bincount(tokens.decompress(packed, dtype), minlength=len(counts))
-                if len(more) > len(counts):
-                    counts = np.pad(counts, (0, len(more) - len(counts)))
-                counts += more
+            if not batch.num_rows:
+                continue
+            more = np.bincount(np.concatenate([tokens.decompress(p, dtype) for p in batch.column("ids").to_pylist()]), minlength=len(counts))
+            if len(more) > len(counts):
+                counts = np.pad(counts, (0, len(more) - len(counts)))
+            counts += more
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["id", "n"])
 

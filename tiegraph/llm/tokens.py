@@ -19,9 +19,20 @@ LONG_CHUNK = 48
 #: Marks that may follow the letters of a chunk as a pre-token of their own; not the apostrophe, which contractions have.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOUCHING = re.compile(r" \s|\s ")
+_OTHER_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _touches(text: str) -> bool:
+    """Whether a space lies beside other white space; plain substring searches decide it for most texts."""
+    if text.isascii():
+        if "  " in text or " \n" in text or "\n " in text:
+            return True
+        if not any(c in text for c in _OTHER_BLANKS):
+            return False
+    return bool(_TOUCHING.search(text))
+
+
 class ChunkEncoder:
     """``encode(texts)`` gives for each text its ids as little-endian bytes of ``dtype`` (16 bits if the vocabulary fits)."""
 
@@ -54,7 +65,7 @@ class ChunkEncoder:
         """The first chunk, encoded as it is, and the later ones, each with a space before it."""
         if not self.keeps_space:
             return "", text.replace("\n", " ").split(" ")
-        parts = _SAFE.split(text) if _TOUCHING.search(text) else text.split(" ")
+        parts = _SAFE.split(text) if _touches(text) else text.split(" ")
         return parts[0], parts[1:]
 
     def _alone(self, words: list[str], lead: str) -> list[bytes]:
