@@ -101,7 +101,7 @@ _SCHEMA = "model long, block long, salt long, counts binary"
 def train(docs: DataFrame, target: DataFrame) -> dict:
     """Counts of both models over all of ``docs``; the target's documents are those whose doc_id is in ``target``."""
     ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    tagged = docs.select("doc_id", common.text_of(docs).alias("text")).join(ids, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    tagged = docs.select("doc_id", common.text_of(docs).alias("text")).join(common.few(ids), "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     keys = ["model", "block", "salt"]
     first = tagged.mapInArrow(_count, _SCHEMA).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_add, _SCHEMA)
     second = first.withColumn("salt", F.lit(0).cast("long")).repartition("model", "block").sortWithinPartitions(*keys).mapInArrow(_add, _SCHEMA)
