@@ -231,6 +231,33 @@ def test_language_model_scores_equal_brute_force(spark, awkward, empty):
     assert lm_scoring.score(empty, target).count() == 0
 
 
+def test_language_model_counts_are_exact(spark):
+    """So many words that tables of 2^18 slots would merge some; chunks and buckets that share words and pairs."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.12)) % 90000}" for _ in range(rng.randint(1, 150)))) for k in range(1500)]
+    wanted = set(range(0, 1500, 3))
+    models = {}
+    for m in ("target", "background"):
+        one, two = defaultdict(int), defaultdict(int)
+        for k, t in rows:
+            w = ["", *t.split()]
+            for a, b in zip(w, w[1:], strict=False) if m == "background" or k in wanted else ():
+                two[a, b] += 1
+            for a in w if m == "background" or k in wanted else ():
+                one[a] += 1
+        models[m] = one, two, sum(one.values())
+    room = max(len(models["background"][0]), 1 << lm_scoring.VOCAB_BITS)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    target = spark.createDataFrame([(k,) for k in wanted], "doc_id long")
+    out = lm_scoring.score(df, target).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        w = ["", *rows[r["doc_id"]][1].split()]
+        for m, (one, two, total) in models.items():
+            p = [0.7 * (two.get((a, b), 0) / one[a] if one.get(a) else 0) + 0.3 * (one.get(b, 0) + 1) / (total + room) for a, b in zip(w, w[1:], strict=False)]
+            assert r[f"{m}_loss"] == pytest.approx(-np.log(p).mean(), abs=1e-9)
+
+
 def test_surrogates(spark, awkward):
     key = b"k"
     text = "Mr. John Smith (john.smith@mail.example.com, 10.1.2.3) and Mary Jones: +1 (743) 555-3824, 4111 1111 1111 1111, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\", DE89 3704 0044 0532 0130 00. John Smith again, john.smith@mail.example.com."
