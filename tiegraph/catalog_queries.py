@@ -208,7 +208,10 @@ _add("kcore_3", _follow_sparse, lambda n: I.kcore(n).where("coreness >= 3").sele
 _add("bridges_local", _follow_sparse, I.bridges_local, f"WITH {FOLLOW4}, {_ADJ} SELECT ego, alter FROM l WHERE ego < alter AND NOT EXISTS (SELECT 1 FROM l x JOIN l y ON x.alter = y.ego WHERE x.ego = l.ego AND y.alter = l.alter)")
 _add("eigenvector", pairs, K.eigenvector_dense)
 _add("eigenvector_distributed", trade, lambda n: I.eigenvector(n, tol=1e-7))
-_add("kcore", follow2, I.kcore)
+_add("kcore", follow, I.kcore)
+# on all ties; the queries of these names without "_whole" keep the tie-value cut of their SQL
+_add("components_whole", follow, I.components)
+_add("bridges_local_whole", follow, I.bridges_local)
 _add("label_propagation", trade, lambda n: I.label_propagation(T.symmetrize(n)))
 _add("katz_walks", trade, lambda n: I.katz_walks(n.with_(edges=n.edges.withColumn("value", F.lit(1.0))), 0.02, tol=1e-7))
 _add("hitting_time", trade, lambda n: I.hitting_time(n, 3, tol=1e-3))
@@ -216,7 +219,7 @@ _add("regular_classes", _follow_sparse, I.regular_classes)
 _add("shortest_paths", follow2, lambda n: I.shortest_paths(n, 8, 46), f"WITH RECURSIVE {FOLLOW2}, r AS (SELECT [8] path, 8 node, 0 d UNION ALL SELECT list_append(path, alter), alter, d + 1 FROM r JOIN e ON ego = node WHERE d < 3 AND node <> 46), p AS (SELECT path, d FROM r WHERE node = 46) SELECT CAST(path AS BIGINT[]) path FROM p WHERE d = (SELECT min(d) FROM p)")
 
 # kernels on components
-_add("betweenness", pairs, K.betweenness)
+_add("betweenness", lambda s, d: T.symmetrize(follow(s, d)), K.betweenness)
 _add("betweenness_directed", trade, lambda n: K.betweenness(n, symmetric=False, standardize=True))
 for _m in ("louvain", "leiden", "infomap"):
     _add(f"community_{_m}", pairs, lambda n, m=_m: K.community(n, m, trials=2))
@@ -225,7 +228,7 @@ _add("cliques", pairs, K.cliques)
 _add("n_cliques", lambda s, d: T.symmetrize(follow(s, d, 4)), lambda n: K.n_cliques(n, 2))
 _add("n_clans", lambda s, d: T.symmetrize(follow(s, d, 4)), lambda n: K.n_cliques(n, 2, clans=True))
 _add("k_plexes", lambda s, d: T.symmetrize(follow(s, d, 4)), lambda n: K.k_plexes(n, 2))
-_add("bridges", lambda s, d: T.symmetrize(follow(s, d, 4)), K.bridges)
+_add("bridges", lambda s, d: T.symmetrize(follow(s, d)), K.bridges)
 _add("max_flow", trade, lambda n: K.max_flow(n, 3, 7))
 _add("lambda_sets", lambda s, d: T.symmetrize(follow(s, d, 4)), K.lambda_sets)
 _add("k_components", lambda s, d: T.symmetrize(follow(s, d, 4)), K.k_components)
