@@ -1,7 +1,8 @@
 """Expressions over networks: names are networks, operators work element by element, 0 where there is no tie.
 
 ``evaluate("trade * (other > 2) + trade @ trade", nets)``: + - * / ** (power of values) == != > < >= <= & |, @ (matrix
-product), numbers, and round, exp, abs, sqrt, log, ln, t (transpose), sym, degree-free functions of one network.
+product), numbers, round, exp, abs, sqrt, log, ln, t (transpose), sym of one network; a name that is no network is an
+attribute of the sender, _n its place and _N the number of nodes. ``shortcut`` has the functions that stand alone.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 import ast
 from collections.abc import Mapping
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegraph.network import Network, NetworkError, is_symmetric
+from tiegraph.network import Network, NetworkError, dense_ids, is_symmetric
 from tiegraph.operators import transform as T
 
 _BINARY = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.BitAnd: "&", ast.BitOr: "|", ast.MatMult: "**", ast.Eq: "==", ast.NotEq: "!=", ast.Gt: ">", ast.Lt: "<", ast.GtE: ">=", ast.LtE: "<="}
@@ -43,10 +45,19 @@ def evaluate(expression: str, nets: Mapping[str, Network], condition: str | None
         if isinstance(x, ast.Constant) and isinstance(x.value, (int, float)):
             return float(x.value)
         if isinstance(x, ast.Name):
-            if x.id not in nets:
-                raise NetworkError(f"no network {x.id}")
-            net = nets[x.id]
-            return net.with_(edges=net.arcs, directed=True)
+            if x.id in nets:
+                net = nets[x.id]
+                return net.with_(edges=net.arcs, directed=True)
+            net = next(iter(nets.values()))
+            if x.id == "_N":
+                return float(net.n_nodes())
+            if x.id == "_n":
+                at = dense_ids(net.nodes).select("node", F.col("id").cast("double").alias("_n"))
+                return net.with_(edges=T.expand(net.with_(nodes=at), "_n", "sender"), directed=True)
+            for net in nets.values():
+                if x.id in net.nodes.columns:
+                    return net.with_(edges=T.expand(net, x.id, "sender"), directed=True)
+            raise NetworkError(f"no network or attribute {x.id}")
         if isinstance(x, ast.UnaryOp) and isinstance(x.op, ast.USub):
             inner = walk(x.operand)
             return -inner if isinstance(inner, float) else _scalar(inner, -1.0, "*", True)
@@ -90,3 +101,39 @@ def evaluate(expression: str, nets: Mapping[str, Network], condition: str | None
     if is_symmetric(out.edges):
         out = out.with_(edges=out.edges.where("ego <= alter"), directed=False)
     return T.keep_nodes(out, condition) if condition else out
+
+
+def shortcut(name: str, net: Network, **options: object) -> Network | DataFrame:
+    """A function of one network by its name: networks (duplicate, transpose, sym, permute, reach, geodesic, large, homophily)
+    or node tables (degree, outdegree, indegree, isolates, components, lgc, clustering, between, closeness, farness, nearness,
+    evcent, context). The degree of a directed network is out plus in."""
+    from tiegraph.operators import generators, iterate, kernels, measures, structure
+
+    one = lambda table, column, new=None: table.select("node", F.col(column).alias(new or name))
+    made = lambda table: net.with_(edges=table.select("ego", "alter", F.col("value").cast("double").alias("value")), directed=True)
+    functions = {
+        "duplicate": lambda: net,
+        "transpose": lambda: T.transpose(net),
+        "sym": lambda: T.symmetrize(net, **options),
+        "permute": lambda: T.permute(net, **options),
+        "reach": lambda: made(iterate.reach(net).select(F.col("source").alias("ego"), F.col("node").alias("alter"), F.lit(1.0).alias("value"))),
+        "geodesic": lambda: made(iterate.geodesics(net, **options).select(F.col("source").alias("ego"), F.col("node").alias("alter"), F.col("distance").alias("value"))),
+        "large": lambda: T.keep_nodes(net.with_(nodes=net.nodes.join(iterate.largest_component(net).where("lgc = 1").select("node"), "node", "left_semi")), F.lit(True)),
+        "homophily": lambda: generators.homophily(net, **options),
+        "degree": lambda: one(measures.degree(net, binary=True, **options), "total"),
+        "outdegree": lambda: one(measures.degree(net, binary=True, **options), "out"),
+        "indegree": lambda: one(measures.degree(net, binary=True, **options), "in"),
+        "isolates": lambda: one(measures.degree(net, binary=True), "isolate"),
+        "components": lambda: one(iterate.components(net), "component"),
+        "lgc": lambda: iterate.largest_component(net),
+        "clustering": lambda: one(structure.clustering(net), "local"),
+        "between": lambda: one(kernels.betweenness(net, **options), "betweenness"),
+        "closeness": lambda: one(iterate.closeness(net, **options), "closeness"),
+        "farness": lambda: one(iterate.closeness(net, **options), "farness"),
+        "nearness": lambda: one(iterate.closeness(net, **options), "nearness"),
+        "evcent": lambda: iterate.eigenvector(net, **options),
+        "context": lambda: measures.context(net, **options),
+    }
+    if name not in functions:
+        raise NetworkError(f"unknown function {name}")
+    return functions[name]()

@@ -159,7 +159,7 @@ def from_wide(df: DataFrame, label: str, columns: Sequence[str] | None = None, *
 
 def from_compressed(lines: DataFrame, column: str = "value", sep: str = ",", name: str = "network") -> Network:
     """Lines "ego, alter, alter, ..."; a line with an ego alone is an isolate."""
-    parts = lines.select(F.transform(F.split(column, sep), F.trim).alias("p")).where("p[0] <> ''")
+    parts = lines.select(F.transform(F.split(column, sep), lambda x: F.trim(x)).alias("p")).where("p[0] <> ''")
     pairs = parts.select(F.col("p")[0].alias("ego"), F.explode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))).alias("alter")).where("alter <> ''")
     return from_edges(pairs, nodes=parts.select(F.col("p")[0].alias("node")).distinct(), name=name)
 

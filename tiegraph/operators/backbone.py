@@ -74,15 +74,15 @@ def _mapped(df: DataFrame, columns: list[str], function) -> DataFrame:  # noqa:
     return df.mapInPandas(apply, schema)
 
 
-def mlf(net: Network) -> DataFrame:
-    """ego, alter, value, p: binomial tail of whole tie values; Pr = s_i s_j / (2 T^2), directed out_i in_j / T^2."""
+def mlf(net: Network, more: int = 0) -> DataFrame:
+    """ego, alter, value, p: binomial tail from the value plus ``more`` on of whole tie values; Pr = s_i s_j / (2 T^2), directed out_i in_j / T^2."""
     arcs = net.arcs.where("ego <> alter")
     total = net.ties.where("ego <> alter").agg(F.sum("value").alias("total"))
     t = arcs.join(arcs.groupBy("ego").agg(F.sum("value").alias("si")), "ego").join(arcs.groupBy("alter").agg(F.sum("value").alias("sj")), "alter").crossJoin(F.broadcast(total))
     pr = F.col("si") * F.col("sj") / (F.col("total") * F.col("total") * (1 if net.directed else 2))
     t = t.select("ego", "alter", "value", "total", pr.alias("pr"))
     t = t if net.directed else t.where("ego < alter")
-    return _mapped(t, ["value", "total", "pr"], _binomial_tail).select("ego", "alter", "value", "p")
+    return _mapped(t, ["value", "total", "pr"], lambda k, n, q: _binomial_tail(k + more, n, q)).select("ego", "alter", "value", "p")
 
 
 def _projected(net: Network, mode: int) -> DataFrame:
@@ -96,64 +96,101 @@ def _projected(net: Network, mode: int) -> DataFrame:
     return e.join(k.withColumnsRenamed({"node": "ego", "k": "ki"}), "ego").join(k.withColumnsRenamed({"node": "alter", "k": "kj"}), "alter").crossJoin(F.broadcast(n))
 
 
-def fixed_row(net: Network, mode: int = 1) -> DataFrame:
-    """ego, alter, value, p: hypergeometric tail of the shared partners of a two-mode network's rows."""
+def fixed_row(net: Network, mode: int = 1, more: int = 0) -> DataFrame:
+    """ego, alter, value, p: hypergeometric tail from the value plus ``more`` on of the shared partners of a two-mode network's rows."""
     t = _projected(net, mode).select("ego", "alter", "value", "ki", "kj", "n")
-    return _mapped(t, ["value", "ki", "kj", "n"], lambda s, a, b, n: _hyper_tail(int(s), int(a), int(b), int(n))).select("ego", "alter", "value", "p")
+    return _mapped(t, ["value", "ki", "kj", "n"], lambda s, a, b, n: _hyper_tail(int(s) + more, int(a), int(b), int(n))).select("ego", "alter", "value", "p")
 
 
-def _normal_tail(x: Column, mean: Column, var: Column) -> Column:
-    """P(X >= x) with a continuity correction, by an approximation of erfc good to 1e-7."""
-    z = (x - 0.5 - mean) / F.sqrt(F.greatest(var, F.lit(1e-300)))
+def _normal(z: Column) -> tuple[Column, Column]:
+    """Distribution function and density of the normal distribution; erfc by a series good to 1e-7."""
     a = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.5 * a)
+    # Coefficients of the series.
     series = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
     poly = F.lit(series[-1])
     for c in reversed(series[:-1]):
         poly = poly * t + c
     erfc = t * F.exp(-a * a + poly)
-    return F.when(z >= 0, erfc / 2).otherwise(1 - erfc / 2)
+    return F.when(z >= 0, 1 - erfc / 2).otherwise(erfc / 2), F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+
+def _refined(x: Column, mu: Column, var: Column, third: Column) -> tuple[Column, Column]:
+    """P(X >= x) and P(X <= x) of a sum of independent draws: normal with continuity and skewness corrections."""
+    sd = F.sqrt(F.greatest(var, F.lit(1e-300)))
+    skew = third / (6 * sd * sd * sd)
+
+    def below(z: Column) -> Column:
+        cdf, density = _normal(z)
+        return cdf + skew * (1 - z * z) * density
+
+    clip = lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    return clip(1 - below((x - 0.5 - mu) / sd)), clip(below((x + 0.5 - mu) / sd))
 
 
 def fixed_column(net: Network, mode: int = 1) -> DataFrame:
-    """ego, alter, value, p: normal tail; each partner q of c rows joins a pair with chance c(c-1)/(m(m-1))."""
+    """ego, alter, value, p, lower: refined normal tails; each partner q of c rows joins a pair with chance c(c-1)/(m(m-1))."""
     own, other = ("ego", "alter") if mode == 1 else ("alter", "ego")
     m = net.nodes.where(F.col("mode") == mode).agg(F.count("*").alias("m"))
     p = F.col("c") * (F.col("c") - 1) / (F.col("m") * (F.col("m") - 1))
-    moments = net.ties.groupBy(other).agg(F.count(own).alias("c")).crossJoin(F.broadcast(m)).agg(F.sum(p).alias("mu"), F.sum(p * (1 - p)).alias("var"))
+    moments = net.ties.groupBy(other).agg(F.count(own).alias("c")).crossJoin(F.broadcast(m)).agg(F.sum(p).alias("mu"), F.sum(p * (1 - p)).alias("var"), F.sum(p * (1 - p) * (1 - 2 * p)).alias("third"))
     t = _projected(net, mode).crossJoin(F.broadcast(moments))
-    return t.select("ego", "alter", "value", _normal_tail(F.col("value"), F.col("mu"), F.col("var")).alias("p"))
+    up, low = _refined(F.col("value"), F.col("mu"), F.col("var"), F.col("third"))
+    return t.select("ego", "alter", "value", up.alias("p"), low.alias("lower"))
 
 
-def sdsm(net: Network, mode: int = 1, rounds: int = 200, tol: float = 1e-8) -> DataFrame:
-    """ego, alter, value, p: normal tail with tie chances x_i y_q / (1 + x_i y_q) whose sums are the degrees (a fixed point)."""
-    from tiegraph.plans.lineage import materialize
+def sdsm(net: Network, mode: int = 1, rounds: int = 10_000, tol: float = 1e-10) -> DataFrame:
+    """ego, alter, value, p, lower: refined normal tails with tie chances x_i y_q / (1 + x_i y_q) whose sums are the degrees.
 
-    own, other = ("ego", "alter") if mode == 1 else ("alter", "ego")
-    t = net.ties.select(F.col(own).alias("i"), F.col(other).alias("q"))
-    # rows of equal degree have equal chances, so the fixed point runs over degree classes
-    ri = t.groupBy("i").agg(F.count("*").alias("k"))
-    rq = t.groupBy("q").agg(F.count("*").alias("c"))
-    a = ri.groupBy("k").agg(F.count("*").alias("nk")).toPandas().sort_values("k")  # at most as many rows as different degrees
-    b = rq.groupBy("c").agg(F.count("*").alias("nc")).toPandas().sort_values("c")
+    Rows of equal degree have equal chances, so the fixed point runs over degree classes (m ties have at most sqrt(2m) of
+    each mode), and moments are computed once for each pair of degrees that occurs.
+    """
     import numpy as np
 
-    k, nk, c, nc = (x.to_numpy(float) for x in (a["k"], a["nk"], b["c"], b["nc"]))
-    s = (k * nk).sum()
-    x, y = k / np.sqrt(s), c / np.sqrt(s)
-    for _ in range(rounds):
-        nx = k / (nc * y / (1 + np.outer(x, y))).sum(1)
-        ny = c / ((nk * nx)[:, None] / (1 + np.outer(nx, y))).sum(0)
-        done = max(np.abs(nx - x).max(), np.abs(ny - y).max()) < tol
-        x, y = nx, ny
-        if done:
+    own, other = ("ego", "alter") if mode == 1 else ("alter", "ego")
+    t = net.ties.select(F.col(own).alias("i"), F.col(other).alias("q"))
+    classes = lambda c: t.groupBy(c).agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n")).toArrow().sort_by("k")
+    (k, nk), (c, nc) = ([x.column(name).to_numpy().astype(float) for name in ("k", "n")] for x in (classes("i"), classes("q")))
+    # nodes tied to all or none of those left are sure, and leave the fixed point
+    p, need, have = np.zeros((len(k), len(c))), k.copy(), c.copy()
+    rows, cols = np.ones(len(k), bool), np.ones(len(c), bool)
+    while True:
+        full, none = rows & (need >= nc[cols].sum()), rows & (need <= 0)
+        p[np.ix_(full, cols)] = 1.0
+        have[cols] -= nk[full].sum()
+        rows &= ~(full | none)
+        full2, none2 = cols & (have >= nk[rows].sum()), cols & (have <= 0)
+        p[np.ix_(rows, full2 & ~none2)] = 1.0
+        need[rows] -= nc[full2 & ~none2].sum()
+        cols &= ~(full2 | none2)
+        if not (full | none).any() and not (full2 | none2).any():
             break
-    chance = np.outer(x, y) / (1 + np.outer(x, y))
-    mu = (chance * nc) @ chance.T
-    var = mu - (chance**2 * nc) @ (chance**2).T
-    rows = [(int(p), int(q), float(mu[i, j]), float(var[i, j])) for i, p in enumerate(k) for j, q in enumerate(k)]
-    table = materialize(net.spark.createDataFrame(rows, "ki long, kj long, mu double, var double"), "sdsm")
-    return _projected(net, mode).join(table, ["ki", "kj"]).select("ego", "alter", "value", _normal_tail(F.col("value"), F.col("mu"), F.col("var")).alias("p"))
+    if rows.any() and cols.any():
+        k1, n1, c1, n2 = need[rows], nk[rows], have[cols], nc[cols]
+        s = np.sqrt((k1 * n1).sum())
+        x, y = k1 / s, c1 / s
+        for _ in range(rounds):
+            nx = k1 / (n2 * y / (1 + np.outer(x, y))).sum(1)
+            ny = c1 / ((n1 * nx)[:, None] / (1 + np.outer(nx, y))).sum(0)
+            done = max(np.abs(nx / x - 1).max(), np.abs(ny / y - 1).max()) < tol
+            x, y = nx, ny
+            if done:
+                break
+        else:
+            raise NetworkError("the chances did not settle")
+        p[np.ix_(rows, cols)] = np.outer(x, y) / (1 + np.outer(x, y))
+    chance = {int(d): row for d, row in zip(k, p, strict=True)}
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [chance[i] * chance[j] for i, j in zip(b["ki"], b["kj"], strict=True)]
+            rows = [((p * nc).sum(), (p * (1 - p) * nc).sum(), (p * (1 - p) * (1 - 2 * p) * nc).sum()) for p in both]
+            yield b.assign(**dict(zip(("mu", "var", "third"), zip(*rows, strict=True), strict=True)) if rows else {"mu": 0.0, "var": 0.0, "third": 0.0})
+
+    pairs = _projected(net, mode)
+    table = pairs.select("ki", "kj").distinct().mapInPandas(moments, "ki long, kj long, mu double, var double, third double")
+    up, low = _refined(F.col("value"), F.col("mu"), F.col("var"), F.col("third"))
+    return pairs.join(table, ["ki", "kj"]).select("ego", "alter", "value", up.alias("p"), low.alias("lower"))
 
 
 def fixed_fill(net: Network, mode: int = 1) -> DataFrame:
@@ -164,14 +201,24 @@ def fixed_fill(net: Network, mode: int = 1) -> DataFrame:
     sizes = net.nodes.groupBy("mode").agg(F.count("*").alias("n")).collect()
     r, c = (next(x["n"] for x in sizes if x["mode"] == m) for m in (mode, 3 - mode))
     f = net.ties.count()
-    choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1) if 0 <= y <= x else -math.inf
-    chance = []
+    import numpy as np
+
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, r * c + 1)))]) if r * c <= 10_000_000 else None
+    fact = (lambda n: logs[n]) if logs is not None else np.vectorize(lambda n: math.lgamma(n + 1.0), otypes=[float])
+    choose = lambda x, y: np.where((y >= 0) & (y <= x), fact(np.maximum(x, 0)) - fact(np.clip(y, 0, np.maximum(x, 0))) - fact(np.maximum(x - np.clip(y, 0, np.maximum(x, 0)), 0)), -np.inf)
+    # ones in the two rows: nearly all of the chance lies within 40 standard deviations
+    mean, sd = 2 * f / r, math.sqrt(2 * f / r) + 1
+    t = np.arange(max(0, int(mean - 40 * sd)), min(2 * c, f, int(mean + 40 * sd)) + 1)
+    rest = choose((r - 2) * c, f - t) - float(choose(np.int64(r * c), np.int64(f)))
+    chance = np.zeros(c + 1)
     for k in range(c + 1):
-        terms = [choose(c, k) + choose(c - k, t - 2 * k) + (t - 2 * k) * math.log(2) + choose((r - 2) * c, f - t) - choose(r * c, f) for t in range(2 * k, min(2 * c, f, c + k) + 1)]
-        chance.append(sum(math.exp(x) for x in terms if x > -700))
-    tails = [min(1.0, sum(chance[k:])) for k in range(c + 1)]
+        on = (t >= 2 * k) & (t <= c + k)
+        if on.any():
+            u = t[on]
+            chance[k] = np.exp(choose(c, k) + choose(c - k, u - 2 * k) + (u - 2 * k) * math.log(2) + rest[on]).sum()
+    tails = np.minimum(1.0, np.cumsum(chance[::-1])[::-1])
     t = _projected(net, mode).select("ego", "alter", "value")
-    return _mapped(t, ["value"], lambda s: tails[int(s)])
+    return _mapped(t, ["value"], lambda s: float(tails[int(s)]))
 
 
 def fdsm(net: Network, mode: int = 1, trials: int = 1000, seed: int = 1) -> DataFrame:
@@ -222,52 +269,106 @@ def fdsm(net: Network, mode: int = 1, trials: int = 1000, seed: int = 1) -> Data
     return _projected(net, mode).select("ego", "alter", "value").join(named.select("ego", "alter", "p"), ["ego", "alter"])
 
 
+def _scan(table: DataFrame, order: str, value: Column, best: str, backward: bool = False) -> DataFrame:
+    """Add ``adjusted``: the running max or min of ``value`` along ``order`` (from the end if ``backward``): inside parts of
+    the range of ``order``, and over the parts before, of which there are few."""
+    from tiegraph.plans.lineage import materialize
+
+    pick = {"max": F.max, "min": F.min}[best]
+    parts = materialize(table.withColumn("_v", value).repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "scan")
+    key = (lambda c: F.desc(c)) if backward else F.col
+    ends = parts.groupBy("_part").agg(pick("_v").alias("_b"))
+    before = ends.select("_part", pick("_b").over(Window.orderBy(key("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    here = pick("_v").over(Window.partitionBy("_part").orderBy(key(order)).rowsBetween(Window.unboundedPreceding, 0))
+    joined = parts.withColumn("_here", here).join(F.broadcast(before), "_part")  # a row for each part
+    both = F.greatest("_here", "_before") if best == "max" else F.least("_here", "_before")
+    return joined.withColumn("adjusted", F.least(F.lit(1.0), both)).drop("_part", "_here", "_before", "_v")
+
+
 def adjust(p: DataFrame, method: str = "holm") -> DataFrame:
-    """Add ``adjusted``. Ranks are global, so tests meet in one ordered window: the table of tests is small beside the ties."""
+    """Add ``adjusted``. Ranks come from a range partitioning, running extremes from its parts: no task sees all tests.
+    hommel compares all sizes of sets and takes at most HOMMEL_TESTS tests."""
     if method not in METHODS:
         raise NetworkError(f"unknown correction {method}")
     if method == "none":
         return p.withColumn("adjusted", F.col("p"))
-    order = Window.orderBy("p", "ego", "alter")
-    t = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("m")))).withColumn("r", F.row_number().over(order))
-    m, r, x = F.col("m"), F.col("r"), F.col("p")
-    up, down = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    harmonic = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda acc, i: acc + 1 / i)
+    from tiegraph.network import dense_ids
+    from tiegraph.plans.lineage import materialize
+
     if method == "hommel":
         return _hommel(p)
-    v = {
-        "bonferroni": m * x, "holm": F.max((m - r + 1) * x).over(up), "hochberg": F.min((m - r + 1) * x).over(down), "BH": F.min(m / r * x).over(down), "fdr": F.min(m / r * x).over(down), "BY": F.min(harmonic * m / r * x).over(down),
-    }[method]
-    return t.withColumn("adjusted", F.least(F.lit(1.0), v)).select(*p.columns, "adjusted")
+    m = p.agg(F.count("*").alias("m"))
+    if method == "bonferroni":
+        return p.crossJoin(F.broadcast(m)).withColumn("adjusted", F.least(F.lit(1.0), F.col("m") * F.col("p"))).drop("m")
+    p = materialize(p, "tests")
+    ranked = dense_ids(p.select(F.struct("p", *[c for c in p.columns if c != "p"]).alias("node"))).select("node.*", F.col("id").alias("_r"))
+    t = ranked.select(*p.columns, "_r").crossJoin(F.broadcast(p.agg(F.count("*").alias("_m"))))
+    m, r, x = F.col("_m"), F.col("_r"), F.col("p")
+    if method == "holm":
+        out = _scan(t, "_r", (m - r + 1) * x, "max")
+    elif method == "hochberg":
+        out = _scan(t, "_r", (m - r + 1) * x, "min", True)
+    else:
+        n = p.count()
+        harmonic = sum(1 / i for i in range(1, n + 1)) if n < 10_000_000 else math.log(n) + 0.5772156649015329 + 1 / (2 * n)
+        out = _scan(t, "_r", (harmonic if method == "BY" else 1.0) * m / r * x, "min", True)
+    return out.select(*p.columns, "adjusted")
+
+
+HOMMEL_TESTS = 20_000
 
 
 def _hommel(p: DataFrame) -> DataFrame:
+    """For each size k of sets, the Simes value of the k largest p; a test's value is the least max(k p, T_k), T_k being the
+    largest Simes value of sets of more than k."""
     import numpy as np
 
+    if p.count() > HOMMEL_TESTS:
+        raise NetworkError(f"hommel takes at most {HOMMEL_TESTS} tests")
     schema = ", ".join(f"{c} {k}" for c, k in p.dtypes) + ", adjusted double"
 
     def apply(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("p").reset_index(drop=True)
         x, n = b["p"].to_numpy(), len(b)
-        i = np.arange(1, n + 1)
-        q = np.full(n, (n * x / i).min())
-        out = q.copy()
-        for m in range(n - 1, 1, -1):
-            head, tail = np.arange(n - m + 1), np.arange(n - m + 1, n)
-            q1 = (m * x[tail] / np.arange(2, m + 1)).min()
-            q[head] = np.minimum(m * x[head], q1)
-            q[tail] = q[n - m]
-            out = np.maximum(out, q)
-        return b.drop(columns="_all").assign(adjusted=np.maximum(out, x))
+        simes = np.array([(k * x[n - k :] / np.arange(1, k + 1)).min() for k in range(1, n + 1)])
+        over = np.concatenate([np.maximum.accumulate(simes[::-1])[::-1], [0.0]])  # over[k]: sets of more than k
+        k = np.arange(n + 1)
+        out = np.array([np.maximum(k * v, over).min() for v in x])
+        return b.drop(columns="_all").assign(adjusted=np.minimum(np.maximum(out, x), 1.0))
 
     return p.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(apply, schema)
 
 
-def backbone(net: Network, method: str = "disparity", alpha: float = 0.05, correction: str = "none", mode: int = 1) -> Network:
-    """Ties whose corrected p is below ``alpha``."""
+def _lower(net: Network, tested: DataFrame, method: str, mode: int) -> DataFrame:
+    """``tested`` with the lower tail of each tie as ``lower``."""
+    if "lower" in tested.columns:
+        return tested
+    if method == "disparity":
+        return tested.withColumn("lower", 1 - F.col("p"))
+    if method == "lans":
+        ranked = net.arcs.where("ego <> alter").withColumn("lower", 1 - F.cume_dist().over(Window.partitionBy("ego").orderBy(F.desc("value"))))
+        if not net.directed:
+            ranked = ranked.groupBy(F.least("ego", "alter").alias("ego"), F.greatest("ego", "alter").alias("alter")).agg(F.min("lower").alias("lower"))
+        return tested.join(ranked.select("ego", "alter", "lower"), ["ego", "alter"])
+    if method == "mlf":  # P(X <= k) = 1 - P(X >= k + 1)
+        above = mlf(net, 1).select("ego", "alter", F.col("p").alias("_above"))
+    elif method == "fixedrow":
+        above = fixed_row(net, mode, 1).select("ego", "alter", F.col("p").alias("_above"))
+    else:
+        raise NetworkError(f"no signed backbone by {method}")
+    return tested.join(above, ["ego", "alter"]).withColumn("lower", 1 - F.col("_above")).drop("_above")
+
+
+def backbone(net: Network, method: str = "disparity", alpha: float = 0.05, correction: str = "none", mode: int = 1, signed: bool = False) -> Network:
+    """Ties whose corrected p is below ``alpha``. ``signed``: also ties (-1) that are as surprisingly weak; the smaller tail
+    of each tie is corrected and compared with half of ``alpha``."""
     tests = {"disparity": disparity, "lans": lans, "mlf": mlf, "fixedrow": lambda n: fixed_row(n, mode), "fixedcol": lambda n: fixed_column(n, mode), "sdsm": lambda n: sdsm(n, mode), "fixedfill": lambda n: fixed_fill(n, mode), "fdsm": lambda n: fdsm(n, mode)}
     if method not in tests:
         raise NetworkError(f"unknown method {method}")
-    kept = adjust(tests[method](net), correction).where(F.col("adjusted") < alpha)
+    table, sign = tests[method](net), F.lit(1.0)
+    if signed:
+        table = _lower(net, table, method, mode).select("ego", "alter", F.least("p", "lower").alias("p"), (F.col("p") >= F.col("lower")).alias("weak"))
+        sign = F.when(F.col("weak"), -1.0).otherwise(1.0)
+    kept = adjust(table.select("ego", "alter", "p", *(["weak"] if signed else [])), correction).where(F.col("adjusted") < (alpha / 2 if signed else alpha))
     nodes = net.nodes.where(F.col("mode") == mode).drop("mode") if net.two_mode else net.nodes
-    return Network(nodes, kept.select("ego", "alter", F.lit(1.0).alias("value")), directed=net.directed and not net.two_mode, valued=False, name=f"{net.name}_backbone")
+    return Network(nodes, kept.select("ego", "alter", sign.alias("value")), directed=net.directed and not net.two_mode, valued=signed, name=f"{net.name}_backbone")

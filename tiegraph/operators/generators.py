@@ -70,35 +70,40 @@ def random_census(spark: SparkSession, n: int, mutual: int, asymmetric: int, see
     return _net(spark, n, forward.union(d.where("both or flip").select("alter", "ego")), True, "census")
 
 
-def degree_sequence(spark: SparkSession, degrees: list[int], seed: int = 1, swaps: int = 10) -> Network:
-    """An undirected network with exactly these degrees: Havel-Hakimi, then random swaps of ends (a sequential kernel)."""
-    n = len(degrees)
+def degree_sequence(spark: SparkSession, degrees: list[int], indegrees: list[int] | None = None, seed: int = 1, swaps: int | None = None) -> Network:
+    """A network with exactly these degrees (with ``indegrees``: out- and in-degrees): built by serving the largest need
+    first (Havel-Hakimi, Kleitman-Wang), then mixed by swaps of ends. A sequential kernel."""
+    from tiegraph.operators.transform import permute_ties
+
+    n, directed = len(degrees), indegrees is not None
 
     def draw(_: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(((d, i + 1) for i, d in enumerate(degrees)), reverse=True)
         edges: list[tuple[int, int]] = []
-        while left and left[0][0] > 0:
-            d, i = left.pop(0)
-            if d > len(left) or left[d - 1][0] == 0:
+        if directed:
+            need = list(indegrees)
+            for i, d in sorted(enumerate(degrees), key=lambda x: -x[1]):
+                others = sorted((j for j in range(n) if j != i and need[j] > 0), key=lambda j: (-need[j], -degrees[j], j))
+                if len(others) < d:
+                    raise ValueError("no network has these degrees")
+                for j in others[:d]:
+                    need[j] -= 1
+                    edges.append((i + 1, j + 1))
+            if any(need):
                 raise ValueError("no network has these degrees")
-            for k in range(d):
-                edges.append((min(i, left[k][1]), max(i, left[k][1])))
-                left[k] = (left[k][0] - 1, left[k][1])
-            left.sort(reverse=True)
-        rng, have = np.random.default_rng(seed), set(edges)
-        for _ in range(swaps * len(edges)):
-            a, b = rng.integers(0, len(edges), 2)
-            (p, q), (r, s) = edges[a], edges[b]
-            if rng.random() < 0.5:
-                r, s = s, r
-            x, y = (min(p, s), max(p, s)), (min(r, q), max(r, q))
-            if a != b and p != s and r != q and x not in have and y not in have and x != y:
-                have -= {edges[a], edges[b]}
-                have |= {x, y}
-                edges[a], edges[b] = x, y
+        else:
+            left = sorted(((d, i + 1) for i, d in enumerate(degrees)), reverse=True)
+            while left and left[0][0] > 0:
+                d, i = left.pop(0)
+                if d > len(left) or left[d - 1][0] == 0:
+                    raise ValueError("no network has these degrees")
+                for k in range(d):
+                    edges.append((min(i, left[k][1]), max(i, left[k][1])))
+                    left[k] = (left[k][0] - 1, left[k][1])
+                left.sort(reverse=True)
         return pd.DataFrame(edges, columns=["ego", "alter"]).astype("int64")
 
-    return _net(spark, n, spark.range(1).groupBy("id").applyInPandas(draw, "ego long, alter long"), False, "degrees")
+    net = _net(spark, n, spark.range(1).groupBy("id").applyInPandas(draw, "ego long, alter long"), directed, "degrees")
+    return permute_ties(net, seed, swaps)
 
 
 def ring(spark: SparkSession, n: int, k: int = 1, directed: bool = False) -> Network:

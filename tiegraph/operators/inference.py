@@ -17,16 +17,26 @@ Statistic = Callable[[np.ndarray], float]
 
 def _matrices(nets: list[Network]) -> tuple[list, list[np.ndarray]]:
     """Dense matrices of networks on the same nodes, on the driver: refused above DENSE_NODES / 10 nodes."""
-    keys = [r["node"] for r in nets[0].nodes.select("node").orderBy("node").collect()]
+    import pyarrow as pa
+
+    keys = nets[0].nodes.select("node").orderBy("node").limit(DENSE_NODES // 10 + 1).toArrow().column("node").combine_chunks()
     if len(keys) > DENSE_NODES // 10:
-        raise NetworkError(f"{len(keys)} nodes are too many for permutation tests on matrices")
-    at, out = {k: i for i, k in enumerate(keys)}, []
+        raise NetworkError("too many nodes for permutation tests on matrices")
+    keys = pa.chunked_array(keys.chunks if isinstance(keys, pa.ChunkedArray) else [keys]).combine_chunks()
+    out = []
     for net in nets:
-        m = np.zeros((len(keys), len(keys)))
-        for r in net.arcs.collect():
-            m[at[r["ego"]], at[r["alter"]]] = r["value"]
-        out.append(m)
-    return keys, out
+        out.append(_cells(net.arcs, keys))
+    return keys.to_pylist(), out
+
+
+def _cells(table: DataFrame, keys) -> np.ndarray:  # noqa: ANN001
+    """The matrix of (ego, alter, value)."""
+    import pyarrow.compute as pc
+
+    t, m = table.select("ego", "alter", F.col("value").cast("double").alias("value")).toArrow(), np.zeros((len(keys), len(keys)))
+    i, j = (pc.index_in(t.column(c), value_set=keys).to_numpy() for c in ("ego", "alter"))
+    m[i.astype(int), j.astype(int)] = t.column("value").to_numpy()
+    return m
 
 
 def _replicates(net: Network, reps: int, draw: Callable[[np.random.Generator], float], seed: int) -> np.ndarray:
@@ -154,16 +164,15 @@ def qap(dependent: Network, predictors: dict[str, Network | DataFrame], reps: in
     dyad tables (ego, alter, value). method y permutes the dependent network's nodes; dsp permutes, predictor by
     predictor, its residual on the others (ols)."""
     keys, (y,) = _matrices([dependent])
-    at, n = {k: i for i, k in enumerate(keys)}, len(keys)
+    n = len(keys)
     mats = []
     for p in predictors.values():
         if isinstance(p, Network):
             mats.append(_matrices([p])[1][0])
         else:
-            m = np.zeros((n, n))
-            for r in p.collect():
-                m[at[r["ego"]], at[r["alter"]]] = r["value"]
-            mats.append(m)
+            import pyarrow as pa
+
+            mats.append(_cells(p, pa.array(keys)))
     off = ~np.eye(n, dtype=bool)
     y = (y != 0).astype(float) if family == "logit" else y
     x = np.column_stack([np.ones(off.sum()), *[m[off] for m in mats]])
@@ -218,3 +227,39 @@ def simulate_diffusion(net: Network, seeds: DataFrame, rule: str = "cascade", pr
 def sample_dyads(net: Network, rows: int, seed: int = 1) -> DataFrame:
     """So many dyads without replacement (a sampling operator)."""
     return dyads(net).orderBy(F.xxhash64(F.lit(seed), "ego", "alter")).limit(rows)
+
+
+def weighted_sample(table: DataFrame, weight: str, rows: int, seed: int = 1, key: str = "node") -> DataFrame:
+    """So many rows without replacement, with chances of inclusion rows x weight / total (a sampling operator): systematic
+    sampling along the weights in a random order, which a running sum in parts gives. Weights that would be sure are kept."""
+    from tiegraph.network import dense_ids
+    from tiegraph.operators.generators import _uniform
+
+    total = table.agg(F.sum(weight)).head()[0] or 0.0
+    if total <= 0:
+        raise NetworkError("weights all zero")
+    drawn = table.where(F.col(weight) > 0).withColumn("_u", F.xxhash64(F.lit(seed), F.col(key)))
+    order = dense_ids(drawn.select(F.struct("_u", F.col(key).alias("k")).alias("node"))).select(F.col("node.k").alias(key), F.col("id").alias("_at"))
+    from pyspark.sql import Window
+
+    from tiegraph.plans.lineage import materialize
+
+    parts = materialize(drawn.join(order, key).repartitionByRange("_at").withColumn("_p", F.spark_partition_id()), "weights")
+    sums = parts.groupBy("_p").agg(F.sum(weight).alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_b"))
+    upto = F.sum(weight).over(Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_b")
+    start = np.random.default_rng(seed).random()
+    step = total / rows
+    marks = lambda c: F.floor(c / step - start)
+    out = parts.join(F.broadcast(before), "_p").withColumn("_to", upto)
+    return out.where(marks(F.col("_to")) > marks(F.col("_to") - F.col(weight))).select(*table.columns)
+
+
+def compare_fits(fits: DataFrame, sort: str | None = None) -> DataFrame:
+    """(model, n, ll, k) to the same with aic and bic, best first by ``sort`` (aic, bic or ll)."""
+    out = fits.select("model", "n", "ll", "k", (2 * F.col("k") - 2 * F.col("ll")).alias("aic"), (F.log("n") * F.col("k") - 2 * F.col("ll")).alias("bic"))
+    if sort is None:
+        return out
+    if sort not in ("aic", "bic", "ll"):
+        raise NetworkError(f"unknown criterion {sort}")
+    return out.orderBy(F.desc("ll") if sort == "ll" else sort)

@@ -1,22 +1,26 @@
-"""Algorithms that are sequential by nature, as numpy kernels over one weak component at a time.
+"""Algorithms that are sequential by nature, as kernels in one task: over one weak component at a time, or, where parts of
+the network depend on each other through totals (communities), over all of it.
 
-Ties are grouped by component and each group runs in one Arrow-fed task; components run in parallel. A component is
-refused above ``MAX_TIES`` ties, so a group in memory is bounded. Results don't depend on the order of rows.
+Components run in parallel. A component is refused above ``MAX_TIES`` ties, so a group in memory is bounded. Betweenness
+and bridges have a form on joins for networks beyond ``local.LOCAL_ROWS``. Results don't depend on the order of rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiegraph.network import Network, NetworkError
+from tiegraph.network import Network, NetworkError, symmetrized
+from tiegraph.operators import local
 from tiegraph.operators.components import connected_components
+from tiegraph.operators.local import LOCAL_ROWS, Arrays, arcs_in, one_task, per_source, pooled
+from tiegraph.plans.lineage import materialize
 
 MAX_TIES = 5_000_000
 Kernel = Callable[["Graph"], list[tuple]]
@@ -54,9 +58,14 @@ class Graph:
 def run(net: Network, kernel: Kernel, schema: str, isolates: tuple | None = None) -> DataFrame:
     """Rows of ``kernel`` for each component; ``isolates`` gives the columns after the node for nodes without ties."""
     ties = net.ties.where("ego <> alter").select("ego", "alter", "value")
-    kind = dict(net.nodes.dtypes)["node"]
-    schema = schema.replace("KEY", kind)
-    parts = ties.join(connected_components(ties).withColumnRenamed("node", "ego"), "ego")
+    schema = schema.replace("KEY", dict(net.nodes.dtypes)["node"])
+    rows, size = pooled(net, ties)
+    ties = arcs_in(rows)
+    if size <= LOCAL_ROWS:
+        labels = one_task(net, rows, lambda a: [a.keys, local.component_labels(a.n, a.source, a.to)], "node KEY, component long")
+    else:
+        labels = connected_components(ties)
+    parts = materialize(ties.join(labels.withColumnRenamed("node", "ego"), "ego"), "parts")
     biggest = parts.groupBy("component").agg(F.count("*").alias("k")).agg(F.max("k")).head()[0] or 0
     if biggest > MAX_TIES:
         raise NetworkError(f"a component has {biggest} ties; this kernel takes {MAX_TIES}")
@@ -74,201 +83,233 @@ def run(net: Network, kernel: Kernel, schema: str, isolates: tuple | None = None
     return out
 
 
-def _brandes(g: Graph, adj: list[dict[int, float]], cost: Callable[[float], float] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Betweenness of nodes (ordered pairs) and sums of distances."""
-    score, far = np.zeros(g.n), np.zeros(g.n)
-    for s in range(g.n):
-        order, parents, sigma = [], [[] for _ in range(g.n)], np.zeros(g.n)
-        dist = np.full(g.n, np.inf)
-        sigma[s], dist[s] = 1.0, 0.0
-        if cost is None:
-            layer = [s]
-            while layer:
-                order += layer
-                new: list[int] = []
-                for v in layer:
-                    for w in adj[v]:
-                        if dist[w] == np.inf:
-                            dist[w] = dist[v] + 1
-                            new.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            parents[w].append(v)
-                layer = new
-        else:
-            heap, done = [(0.0, s)], np.zeros(g.n, bool)
-            while heap:
-                d, v = heapq.heappop(heap)
-                if done[v]:
-                    continue
-                done[v] = True
-                order.append(v)
-                for w, x in adj[v].items():
-                    new_d = d + cost(x)
-                    if new_d < dist[w] - 1e-12:
-                        dist[w], sigma[w], parents[w] = new_d, sigma[v], [v]
-                        heapq.heappush(heap, (new_d, w))
-                    elif abs(new_d - dist[w]) <= 1e-12 and not done[w]:
-                        sigma[w] += sigma[v]
-                        parents[w].append(v)
-        far[s] = dist[np.isfinite(dist)].sum()
-        delta = np.zeros(g.n)
-        for w in reversed(order):
-            for v in parents[w]:
-                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-            if w != s:
-                score[w] += delta[w]
-    return score, far
-
-
-def betweenness(net: Network, symmetric: bool = True, alpha: float | None = None, standardize: bool = False) -> DataFrame:
-    """node, betweenness over ties with positive values; undirected pairs count once. ``alpha``: costs value^-alpha."""
-    n = net.n_nodes()
-    one_way = net.directed and not symmetric
-    scale = (1.0 if one_way else 0.5) / (((n - 1) * (n - 2) / (1 if one_way else 2)) if standardize and n > 2 else 1)
+def _positive(net: Network, one_way: bool) -> DataFrame:
+    """Arcs of positive value; unless ``one_way``, both directions with the larger value."""
+    e = net.ties.where("ego <> alter and value > 0").select("ego", "alter", "value")
+    if one_way and net.directed:
+        return e
+    e = symmetrized(e)
+    return e.unionByName(e.select(F.col("alter").alias("ego"), F.col("ego").alias("alter"), "value"))
 
-    def kernel(g: Graph) -> list[tuple]:
-        adj = g.out if one_way else g.both()
-        adj = [{j: v for j, v in row.items() if v > 0} for row in adj]
-        score, _ = _brandes(g, adj, None if not alpha else lambda v: v**-alpha)
-        return list(zip(g.keys, (score * scale).tolist(), strict=True))
 
-    return run(net, kernel, "node KEY, betweenness double", (0.0,))
+def betweenness(net: Network, symmetric: bool = True, alpha: float | None = None, standardize: bool = False, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """node, betweenness over ties with positive values; undirected pairs count once. ``alpha``: costs value^-alpha."""
+    one_way = net.directed and not symmetric
+    rows, size = pooled(net, _positive(net, one_way))
+    n = net.n_nodes() if standardize else 0
+    scale = (1.0 if one_way else 0.5) / (((n - 1) * (n - 2) / (1 if one_way else 2)) if n > 2 else 1)
+
+    def kernel(a: Arrays, mine: np.ndarray) -> Iterator[list]:
+        score = local.brandes(a, mine, a.weight**-alpha if alpha else None)
+        at = np.flatnonzero(score)
+        yield [a.keys.take(at), score[at]]
+
+    if size <= local_rows:
+        parts = per_source(net, rows, kernel, "node KEY, score double")
+    elif alpha:
+        raise NetworkError("weighted betweenness takes networks of at most LOCAL_ROWS rows")
+    else:
+        parts = _betweenness_on_joins(net, rows)
+    score = parts.groupBy("node").agg((F.sum("score") * scale).alias("betweenness"))
+    return net.nodes.select("node").join(score, "node", "left").fillna(0.0, ["betweenness"])
+
+
+def _betweenness_on_joins(net: Network, rows: DataFrame) -> DataFrame:
+    """(node, score): layers of each block of sources forward with the numbers of paths, then backward with the shares."""
+    from tiegraph.operators.iterate import _blocks
+
+    arcs, out = arcs_in(rows).select("ego", "alter"), None
+    for block in _blocks(net, rows):
+        layers = [materialize(block.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma")), "layers")]
+        known = layers[0].select("source", "node")
+        while True:
+            step = layers[-1].join(arcs, F.col("node") == F.col("ego")).groupBy("source", F.col("alter").alias("node")).agg(F.sum("sigma").alias("sigma"))
+            new = materialize(step.join(known, ["source", "node"], "left_anti"), "layers")
+            if new.isEmpty():
+                break
+            layers.append(new)
+            known = known.unionByName(new.select("source", "node"))
+        below = None
+        for k in range(len(layers) - 1, 0, -1):
+            here = layers[k] if below is None else layers[k].join(below, ["source", "node"], "left")
+            here = materialize(here.select("source", "node", "sigma", (F.lit(0.0) if below is None else F.coalesce("delta", F.lit(0.0))).alias("delta")), "shares")
+            back = here.join(arcs.select(F.col("alter").alias("node"), F.col("ego").alias("before")), "node")
+            up = back.join(layers[k - 1].select("source", F.col("node").alias("before"), F.col("sigma").alias("s")), ["source", "before"])
+            below = up.groupBy("source", F.col("before").alias("node")).agg(F.sum(F.col("s") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
+            part = here.groupBy("node").agg(F.sum("delta").alias("score"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _gain_partition(adj: list[dict[int, float]], gamma: float, rng: np.random.Generator, refine: bool) -> list[int]:
-    """Louvain; with ``refine`` communities are split into connected well-joined parts before they are contracted (Leiden)."""
-    n = len(adj)
-    whole = list(range(n))
-    graph, loops = [dict(r) for r in adj], [0.0] * n
-    m2 = sum(sum(r.values()) for r in graph) or 1.0
+def _moves(links: tuple[list, list, list], k: list[float], com: list[int], m2: float, gamma: float, rng: np.random.Generator, allowed: list[int] | None = None) -> bool:
+    """Move nodes to the neighbouring community of largest gain until none gains; a moved node wakes its neighbours."""
+    start, to, w = links
+    n, moved = len(k), False
+    total = [0.0] * n
+    for i, c in enumerate(com):
+        total[c] += k[i]
+    todo, waits = deque(rng.permutation(n).tolist()), [True] * n
+    while todo:
+        i = todo.popleft()
+        waits[i] = False
+        near: dict[int, float] = {}
+        for e in range(start[i], start[i + 1]):
+            j = to[e]
+            if allowed is None or allowed[i] == allowed[j]:
+                near[com[j]] = near.get(com[j], 0.0) + w[e]
+        old, f = com[i], gamma * k[i] / m2
+        total[old] -= k[i]
+        best, gain = old, near.get(old, 0.0) - f * total[old]
+        for c, x in near.items():
+            g = x - f * total[c]
+            if g > gain + 1e-12:
+                best, gain = c, g
+        total[best] += k[i]
+        if best != old:
+            com[i], moved = best, True
+            for e in range(start[i], start[i + 1]):
+                j = to[e]
+                if not waits[j] and com[j] != best:
+                    waits[j] = True
+                    todo.append(j)
+    return moved
+
+
+def _contract(start: np.ndarray, to: np.ndarray, w: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arcs between the parts, added up; those inside a part are left out."""
+    n = int(part.max()) + 1
+    source = part[np.repeat(np.arange(len(start) - 1), np.diff(start))]
+    target = part[to]
+    out = source != target
+    pair, at = np.unique(source[out] * n + target[out], return_inverse=True)
+    return np.concatenate([[0], np.cumsum(np.bincount(pair // n, minlength=n))]), pair % n, np.bincount(at, w[out], len(pair))
+
+
+def _dense(labels: list[int] | np.ndarray) -> np.ndarray:
+    return np.unique(np.asarray(labels), return_inverse=True)[1]
+
+
+def partition(a: Arrays, gamma: float, rng: np.random.Generator, refine: bool) -> np.ndarray:
+    """Louvain; with ``refine`` (Leiden) communities are split into well-joined parts, which are contracted, and the next
+    level starts from the communities. Gains use the weight of the whole network."""
+    m2 = a.weight.sum() or 1.0
+    start, to, w = a.start, a.to, a.weight
+    k = np.bincount(a.source, a.weight, a.n)
+    member, com = np.arange(a.n), np.arange(a.n)
     while True:
-        k = [sum(r.values()) + loops[i] for i, r in enumerate(graph)]
-        com, total = list(range(len(graph))), list(k)
-
-        def move(com: list[int], total: list[float], allowed: list[int] | None) -> bool:
-            moved_any = False
-            for _ in range(100):
-                moved = False
-                for i in rng.permutation(len(graph)):
-                    links: dict[int, float] = defaultdict(float)
-                    for j, v in graph[i].items():
-                        if allowed is None or allowed[i] == allowed[j]:
-                            links[com[j]] += v
-                    old = com[i]
-                    total[old] -= k[i]
-                    best, gain = old, links.get(old, 0.0) - gamma * k[i] * total[old] / m2
-                    for c in sorted(links):
-                        x = links[c] - gamma * k[i] * total[c] / m2
-                        if x > gain + 1e-12:
-                            best, gain = c, x
-                    com[i] = best
-                    total[best] += k[i]
-                    moved |= best != old
-                moved_any |= moved
-                if not moved:
-                    break
-            return moved_any
-
-        changed = move(com, total, None)
+        links, mine, n = (start.tolist(), to.tolist(), w.tolist()), com.tolist(), len(k)
+        _moves(links, k.tolist(), mine, m2, gamma, rng)
+        com = _dense(mine)
+        if int(com.max(initial=-1)) + 1 == n:
+            return com[member]
         parts = com
         if refine:
-            parts = list(range(len(graph)))
-            move(parts, list(k), com)
-        names = {c: i for i, c in enumerate(dict.fromkeys(parts))}
-        if not changed or len(names) == len(graph):
-            names = {c: i for i, c in enumerate(dict.fromkeys(com))}
-            return [names[com[w]] for w in whole]
-        parts = [names[c] for c in parts]
-        new: list[dict[int, float]] = [defaultdict(float) for _ in names]
-        new_loops = [0.0] * len(names)
-        for i, r in enumerate(graph):
-            new_loops[parts[i]] += loops[i]
-            for j, v in r.items():
-                if parts[i] == parts[j]:
-                    new_loops[parts[i]] += v
-                else:
-                    new[parts[i]][parts[j]] += v
-        whole = [parts[w] for w in whole]
-        graph, loops = [dict(r) for r in new], new_loops
-
-
-def quality(adj: list[dict[int, float]], com: list[int], gamma: float = 1.0) -> float:
-    m2 = sum(sum(r.values()) for r in adj) or 1.0
-    k: dict[int, float] = defaultdict(float)
-    inside = 0.0
-    for i, r in enumerate(adj):
-        for j, v in r.items():
-            k[com[i]] += v
-            inside += v * (com[i] == com[j])
-    return (inside - gamma * sum(x * x for x in k.values()) / m2) / m2
-
-
-def _map_equation(adj: list[dict[int, float]], rng: np.random.Generator) -> list[int]:
-    """Greedy moves and merges of the two-level map equation for undirected flow."""
-    m2 = sum(sum(r.values()) for r in adj) or 1.0
-    flow = [sum(r.values()) / m2 for r in adj]
-    com = list(range(len(adj)))
-    plogp = lambda x: x * np.log2(x) if x > 1e-15 else 0.0
-    size, leave = list(flow), list(flow)
-
-    def cost(cs: set[int], e: float) -> float:
-        return sum(plogp(leave[c] + size[c]) - 2 * plogp(leave[c]) for c in cs) + plogp(e)
-
-    total = sum(leave)
-    for _ in range(100):
-        moved = False
-        for i in rng.permutation(len(adj)):
-            links: dict[int, float] = defaultdict(float)
-            for j, v in adj[i].items():
-                links[com[j]] += v / m2
-            a, best, gain = com[i], None, -1e-10
-            for b in sorted(links):
-                if b == a:
-                    continue
-                before = cost({a, b}, total)
-                la, lb, sa, sb = leave[a], leave[b], size[a], size[b]
-                leave[a] = la - flow[i] + 2 * links.get(a, 0.0)
-                leave[b] = lb + flow[i] - 2 * links[b]
-                size[a], size[b] = sa - flow[i], sb + flow[i]
-                diff = cost({a, b}, total + leave[a] + leave[b] - la - lb) - before
-                leave[a], leave[b], size[a], size[b] = la, lb, sa, sb
-                if diff < gain:
-                    best, gain = b, diff
-            if best is not None:
-                la, lb = leave[a], leave[best]
-                leave[a] = la - flow[i] + 2 * links.get(a, 0.0)
-                leave[best] = lb + flow[i] - 2 * links[best]
-                size[a] -= flow[i]
-                size[best] += flow[i]
-                total += leave[a] + leave[best] - la - lb
-                com[i], moved = best, True
-        if not moved:
-            break
-    names = {c: i for i, c in enumerate(dict.fromkeys(com))}
-    return [names[c] for c in com]
+            split = list(range(n))
+            _moves(links, k.tolist(), split, m2, gamma, rng, com.tolist())
+            fine = _dense(split)
+            parts = fine if int(fine.max()) + 1 < n else com
+        start, to, w = _contract(start, to, w, parts)
+        k, member = np.bincount(parts, k), parts[member]
+        up = np.zeros(len(k), np.int64)
+        up[parts] = com
+        com = up
+
+
+def quality(a: Arrays, com: np.ndarray, gamma: float = 1.0) -> float:
+    """Modularity over the whole network."""
+    source, m2 = a.source, a.weight.sum() or 1.0
+    k = np.bincount(com[source], a.weight, int(com.max(initial=0)) + 1)
+    return float((a.weight[com[source] == com[a.to]].sum() - gamma * (k * k).sum() / m2) / m2)
+
+
+def _plogp(x: np.ndarray | float) -> np.ndarray | float:
+    return x * np.log2(np.maximum(x, 1e-300))
+
+
+def code_length(a: Arrays, com: np.ndarray) -> float:
+    """The two-level map equation of undirected flow."""
+    source, m2 = a.source, a.weight.sum() or 1.0
+    n = int(com.max(initial=0)) + 1
+    flow = np.bincount(source, a.weight, a.n) / m2
+    size, out = np.bincount(com, flow, n), np.bincount(com[source], a.weight * (com[source] != com[a.to]), n) / m2
+    return float(_plogp(out.sum()) - 2 * _plogp(out).sum() - _plogp(flow).sum() + _plogp(out + size).sum())
+
+
+def map_equation(a: Arrays, rng: np.random.Generator) -> np.ndarray:
+    """Infomap's search: moves of nodes that shorten the code, then of whole modules, until nothing is shortened."""
+    from math import log2
+
+    plogp = lambda x: x * log2(x) if x > 1e-300 else 0.0
+    m2 = a.weight.sum() or 1.0
+    start, to, w = a.start, a.to, a.weight / m2
+    flow = np.bincount(a.source, a.weight, a.n) / m2
+    member = np.arange(a.n)
+    while True:
+        n = len(flow)
+        s, t, v, f = start.tolist(), to.tolist(), w.tolist(), flow.tolist()
+        outside = np.bincount(np.repeat(np.arange(n), np.diff(start)), w, n).tolist()
+        com, size, leave, moved_any = list(range(n)), list(f), list(outside), False
+        total, todo, waits = sum(leave), deque(rng.permutation(n).tolist()), [True] * n
+        while todo:
+            i = todo.popleft()
+            waits[i] = False
+            near: dict[int, float] = {}
+            for e in range(s[i], s[i + 1]):
+                near[com[t[e]]] = near.get(com[t[e]], 0.0) + v[e]
+            old = com[i]
+            rest, rest_size = leave[old] - outside[i] + 2 * near.get(old, 0.0), size[old] - f[i]
+            away = -2 * plogp(rest) + plogp(rest + rest_size) + 2 * plogp(leave[old]) - plogp(leave[old] + size[old])
+            best, gain, at = old, -1e-12, (0.0, 0.0)
+            for c, x in near.items():
+                if c != old:
+                    new = leave[c] + outside[i] - 2 * x
+                    sum_ = total - leave[old] - leave[c] + rest + new
+                    diff = plogp(sum_) - plogp(total) + away - 2 * plogp(new) + plogp(new + size[c] + f[i]) + 2 * plogp(leave[c]) - plogp(leave[c] + size[c])
+                    if diff < gain:
+                        best, gain, at = c, diff, (new, sum_)
+            if best != old:
+                leave[old], size[old], leave[best], size[best], total = rest, rest_size, at[0], size[best] + f[i], at[1]
+                com[i], moved_any = best, True
+                for e in range(s[i], s[i + 1]):
+                    if not waits[t[e]]:
+                        waits[t[e]] = True
+                        todo.append(t[e])
+        part = _dense(com)
+        member = part[member]
+        if not moved_any:
+            return member
+        start, to, w = _contract(start, to, w, part)
+        flow = np.bincount(part, flow)
+
+
+def _labelled(a: Arrays, com: np.ndarray) -> list:
+    """Nodes and the first node of their community."""
+    first = np.full(int(com.max(initial=0)) + 1, a.n, np.int64)
+    np.minimum.at(first, com, np.arange(a.n))
+    return [a.keys, a.keys.take(first[com])]
 
 
 def community(net: Network, method: str = "louvain", gamma: float = 1.0, trials: int = 5, seed: int = 1) -> DataFrame:
     """node, community (label: its first node): louvain, leiden or infomap of an undirected network, the best of some
-    trials by its objective. A component's nodes are never joined with another's."""
+    trials by its objective (modularity; code length). Both refer to the whole network, however many components it has.
+    Networks of at most LOCAL_ROWS rows."""
     if net.directed:
         raise NetworkError("symmetrize the network first")
     if method not in ("louvain", "leiden", "infomap"):
         raise NetworkError(f"unknown method {method}")
+    rows, size = pooled(net, _positive(net, False))
+    if size > LOCAL_ROWS:
+        raise NetworkError(f"{method} takes networks of at most LOCAL_ROWS rows; label_propagation takes any")
 
-    def kernel(g: Graph) -> list[tuple]:
+    def kernel(a: Arrays) -> list:
         rng = np.random.default_rng(seed)
-        adj = [{j: v for j, v in row.items() if v > 0} for row in g.both()]
-        tries = [_map_equation(adj, rng) if method == "infomap" else _gain_partition(adj, gamma, rng, method == "leiden") for _ in range(trials)]
-        best = max(tries, key=lambda c: round(quality(adj, c, gamma), 12))
-        first: dict[int, object] = {}
-        for i, c in enumerate(best):
-            first.setdefault(c, g.keys[i])
-        return [(g.keys[i], first[c]) for i, c in enumerate(best)]
+        if method == "infomap":
+            best = min((map_equation(a, rng) for _ in range(trials)), key=lambda c: round(code_length(a, c), 12))
+        else:
+            best = max((partition(a, gamma, rng, method == "leiden") for _ in range(trials)), key=lambda c: round(quality(a, c, gamma), 12))
+        return _labelled(a, best)
 
-    out = run(net, kernel, "node KEY, community KEY")
-    return net.nodes.select("node").join(out, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+    return one_task(net, rows, kernel, "node KEY, community KEY")
 
 
 def maximal_cliques(adj: list[set[int]], least: int, most: int) -> list[list[int]]:
@@ -349,18 +390,27 @@ def n_cliques(net: Network, k: int = 2, least: int = 3, clans: bool = False, mos
 
 
 def k_plexes(net: Network, k: int = 2, least: int = 4, most: int = 100_000) -> DataFrame:
-    """plex, node: maximal sets in which everyone is tied to all but at most ``k`` (counting itself)."""
-
-    def kernel(g: Graph) -> list[tuple]:
-        adj = [set(a) for a in g.both()]
-        found: list[list[int]] = []
-
-        def ok(s: set[int]) -> bool:
-            return all(len(adj[v] & s) >= len(s) - k for v in s)
-
-        def grow(s: set[int], p: list[int], x: list[int]) -> None:
-            p = [v for v in p if ok(s | {v})]
-            x = [v for v in x if ok(s | {v})]
+    """plex, node: maximal sets in which everyone is tied to all but at most ``k`` (counting itself).
+
+    Sets of 2k - 1 or more are connected and no wider than two steps, which bounds the search around each node; smaller
+    ones may be spread over components, and are searched among all nodes of a network of at most 300.
+    """
+    spread = least < 2 * k - 1
+
+    def search(adj: list[set[int]]) -> list[list[int]]:
+        n, found = len(adj), []
+
+        def fits(s: list[int], u: int) -> bool:
+            size, inside = len(s) + 1, 0
+            for x in s:
+                if x in adj[u]:
+                    inside += 1
+                elif size - sum(y in adj[x] for y in s) > k:
+                    return False
+            return inside >= size - k
+
+        def grow(s: list[int], p: list[int], x: list[int]) -> None:
+            p, x = [v for v in p if fits(s, v)], [v for v in x if fits(s, v)]
             if not p:
                 if not x and len(s) >= least:
                     found.append(sorted(s))
@@ -370,45 +420,107 @@ def k_plexes(net: Network, k: int = 2, least: int = 4, most: int = 100_000) -> D
             if len(s) + len(p) < least:
                 return
             for i, v in enumerate(p):
-                grow(s | {v}, p[i + 1 :], x + p[:i])
-
-        grow(set(), list(range(g.n)), [])
-        return [(",".join(str(g.keys[i]) for i in c), g.keys[v]) for c in sorted(found) for v in c]
-
-    return run(net, kernel, "plex string, node KEY")
-
-
-def bridges(net: Network) -> DataFrame:
-    """ego, alter of ties whose removal disconnects their ends."""
-
-    def kernel(g: Graph) -> list[tuple]:
-        adj = [sorted(a) for a in g.both()]
-        low, when, out, clock = [0] * g.n, [0] * g.n, [], 0
-        for root in range(g.n):
+                grow([*s, v], p[i + 1 :], x + p[:i])
+
+        for v in range(n):
+            near = set(range(n)) if spread else adj[v].union(*(adj[w] for w in adj[v]))
+            near.discard(v)
+            if not spread:  # a member that isn't tied to v shares enough neighbours with it
+                near = {u for u in near if u in adj[v] or len(adj[u] & adj[v]) >= least - 2 * k + 2}
+            grow([v], sorted(u for u in near if u > v), sorted(u for u in near if u < v))
+        return sorted(found)
+
+    if not spread:
+        def kernel(g: Graph) -> list[tuple]:
+            return [(",".join(str(g.keys[i]) for i in c), g.keys[v]) for c in search([set(a) for a in g.both()]) for v in c]
+
+        return run(net, kernel, "plex string, node KEY")
+
+    def dense(keys: list, m: np.ndarray) -> list[tuple]:
+        tied = (m != 0) | (m.T != 0)
+        np.fill_diagonal(tied, False)
+        return [(",".join(str(keys[i]) for i in c), keys[v]) for c in search([set(np.flatnonzero(r).tolist()) for r in tied]) for v in c]
+
+    return whole(net, dense, "plex string, node KEY", 300)
+
+
+def bridges(net: Network, kind: str = "global", local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """ego, alter of ties whose removal disconnects their ends (global), or leaves them more than two apart (local); with
+    ``distance`` every tie and how far apart its ends are without it (-1: not connected)."""
+    from tiegraph.operators import iterate
+
+    if kind == "local":
+        return iterate.bridges_local(net)
+    if kind == "distance":
+        return iterate.bridges_distance(net, local_rows=local_rows)
+    if kind != "global":
+        raise NetworkError(f"unknown kind {kind}")
+    rows, size = pooled(net, net.links.withColumn("value", F.lit(1.0)))
+    if size > local_rows:
+        return _bridges_on_joins(rows)
+
+    def kernel(a: Arrays) -> list:
+        start, to = a.start.tolist(), a.to.tolist()
+        low, when, found, clock = [0] * a.n, [0] * a.n, [], 0
+        for root in range(a.n):
             if when[root]:
                 continue
-            stack = [(root, -1, iter(adj[root]))]
             clock += 1
             when[root] = low[root] = clock
+            stack, at = [(root, -1)], list(start[root : root + 1])
             while stack:
-                v, parent, it = stack[-1]
-                for w in it:
+                v, parent = stack[-1]
+                if at[-1] < start[v + 1]:
+                    w = to[at[-1]]
+                    at[-1] += 1
                     if not when[w]:
                         clock += 1
                         when[w] = low[w] = clock
-                        stack.append((w, v, iter(adj[w])))
-                        break
-                    if w != parent:
+                        stack.append((w, v))
+                        at.append(start[w])
+                    elif w != parent:
                         low[v] = min(low[v], when[w])
                 else:
                     stack.pop()
+                    at.pop()
                     if parent >= 0:
                         low[parent] = min(low[parent], low[v])
                         if low[v] > when[parent]:
-                            out.append((g.keys[min(v, parent)], g.keys[max(v, parent)]))
-        return sorted(out)
+                            found.append((min(v, parent), max(v, parent)))
+        ends = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return [a.keys.take(ends[:, 0]), a.keys.take(ends[:, 1])]
 
-    return run(net, kernel, "ego KEY, alter KEY")
+    return one_task(net, rows, kernel, "ego KEY, alter KEY")
+
+
+def _bridges_on_joins(rows: DataFrame) -> DataFrame:
+    """Bridges by labels: every tie off a spanning forest gets a random 128-bit label, a tie of the forest the exclusive or
+    of the labels of the ties around it. It is a bridge if that is nothing (wrong once in 2^128)."""
+    links = arcs_in(rows).select("ego", "alter")
+    comp = connected_components(links)
+    layer = known = materialize(comp.where("node = component").select("node", F.col("node").alias("parent")), "forest")
+    layers = [layer]
+    while True:
+        step = layer.join(links, F.col("node") == F.col("ego")).groupBy(F.col("alter").alias("node")).agg(F.min("ego").alias("parent"))
+        layer = materialize(step.join(known.select("node"), "node", "left_anti"), "forest")
+        if layer.isEmpty():
+            break
+        layers.append(layer)
+        known = known.unionByName(layer)
+    tree = known.where("node <> parent")
+    both = tree.select(F.col("node").alias("ego"), F.col("parent").alias("alter")).union(tree.select("parent", "node"))
+    label = [F.xxhash64(F.lit(seed), F.least("ego", "alter"), F.greatest("ego", "alter")) for seed in (1, 2)]
+    marks = links.join(both, ["ego", "alter"], "left_anti").groupBy(F.col("ego").alias("node")).agg(*[F.bit_xor(x).alias(f"x{k}") for k, x in enumerate(label)])
+    below, found = None, None
+    for layer in reversed(layers[1:]):
+        here = layer.join(marks, "node", "left").fillna(0, ["x0", "x1"])
+        if below is not None:
+            here = here.join(below, "node", "left").fillna(0, ["y0", "y1"]).select("node", "parent", *[F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")).alias(f"x{k}") for k in (0, 1)])
+        here = materialize(here.select("node", "parent", "x0", "x1"), "forest-labels")
+        below = here.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x0").alias("y0"), F.bit_xor("x1").alias("y1"))
+        part = here.where("x0 = 0 and x1 = 0").select(F.least("node", "parent").alias("ego"), F.greatest("node", "parent").alias("alter"))
+        found = part if found is None else found.unionByName(part)
+    return links.where("false") if found is None else found
 
 
 def _flow(cap: list[dict[int, float]], s: int, t: int) -> tuple[float, set[int]]:
@@ -780,7 +892,8 @@ def spectral(net: Network) -> DataFrame:
 
 
 def layout(net: Network, kind: str = "fr", rounds: int = 100, seed: int = 1) -> DataFrame:
-    """node, x, y: circle, grid, fr (spring forces) or mds (classical scaling of hop distances)."""
+    """node, x, y: circle, grid, fr (spring forces), mds (classical scaling of hop distances) or kk (Kamada and Kawai's
+    springs as long as the hop distances, by majorization from the mds places)."""
 
     def kernel(keys: list, m: np.ndarray) -> list[tuple]:
         n = len(keys)
@@ -790,7 +903,7 @@ def layout(net: Network, kind: str = "fr", rounds: int = 100, seed: int = 1) ->
         elif kind == "grid":
             side = int(np.ceil(np.sqrt(n)))
             xy = np.stack(divmod(np.arange(n), side), 1).astype(float)
-        elif kind == "mds":
+        elif kind in ("mds", "kk"):
             tied = (np.maximum(m, m.T) > 0) & ~np.eye(n, dtype=bool)
             d = np.full((n, n), float(n))
             reach = np.eye(n, dtype=bool)
@@ -804,6 +917,19 @@ def layout(net: Network, kind: str = "fr", rounds: int = 100, seed: int = 1) ->
             j = np.eye(n) - 1 / n
             values, vectors = np.linalg.eigh(-0.5 * j @ d**2 @ j)
             xy = vectors[:, ::-1][:, :2] * np.sqrt(np.maximum(values[::-1][:2], 0))
+            if kind == "kk" and n > 1:
+                xy = xy + np.random.default_rng(seed).normal(0, 1e-3, xy.shape)
+                w = 1 / np.maximum(d, 1) ** 2
+                np.fill_diagonal(w, 0)
+                inverse = np.linalg.pinv(np.diag(w.sum(1)) - w)
+                for _ in range(10 * rounds):
+                    far = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+                    pull = np.where(far > 1e-9, w * d / np.maximum(far, 1e-9), 0)
+                    new_xy = inverse @ ((np.diag(pull.sum(1)) - pull) @ xy)
+                    done = np.abs(new_xy - xy).max() < 1e-9
+                    xy = new_xy
+                    if done:
+                        break
         else:
             rng = np.random.default_rng(seed)
             xy, w, k = rng.random((n, 2)), (np.maximum(m, m.T) > 0).astype(float), np.sqrt(1 / max(n, 1))
@@ -818,109 +944,134 @@ def layout(net: Network, kind: str = "fr", rounds: int = 100, seed: int = 1) ->
     return whole(net, kernel, "node KEY, x double, y double")
 
 
+def _in_rows(nodes: DataFrame, level: str) -> DataFrame:
+    """(node, level, place): nodes spread evenly from 0 to 1 along their level, in order of their keys."""
+    from tiegraph.network import dense_ids
+
+    ids = dense_ids(nodes.select(F.struct(level, "node").alias("node"))).select("node.*", "id")
+    ends = ids.groupBy(level).agg(F.min("id").alias("_from"), F.count("*").alias("_n"))
+    return ids.join(F.broadcast(ends), level).select("node", level, ((F.col("id") - F.col("_from") + 0.5) / F.col("_n")).alias("place"))
+
+
+def layout_bipartite(net: Network) -> DataFrame:
+    """node, x, y of a two-mode network: one mode at x 0, the other at x 1."""
+    net.need(two_mode=True)
+    return _in_rows(net.nodes.select("mode", "node"), "mode").select("node", (F.col("mode") - 1).cast("double").alias("x"), F.col("place").alias("y"))
+
+
+def layout_hierarchy(net: Network) -> DataFrame:
+    """node, x, y: a row for each number of steps from the nodes that nobody names (directed), or from the first node of
+    each component; what they don't reach is in the top row."""
+    from tiegraph.operators import iterate
+
+    if net.directed:
+        tops = net.nodes.select("node").join(net.arcs.where("ego <> alter").select(F.col("alter").alias("node")), "node", "left_anti")
+    else:
+        tops = iterate.components(net).groupBy("component").agg(F.min("node").alias("node")).select("node")
+    arcs = net.arcs.where("ego <> alter").select("ego", "alter")
+    layer = known = materialize(tops.select("node", F.lit(0).alias("level")), "levels")
+    while True:
+        step = layer.join(arcs, F.col("node") == F.col("ego")).select(F.col("alter").alias("node"), (F.col("level") + 1).alias("level")).distinct()
+        layer = materialize(step.join(known.select("node"), "node", "left_anti"), "levels")
+        if layer.isEmpty():
+            break
+        known = known.unionByName(layer)
+    levels = net.nodes.select("node").join(known, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+    return _in_rows(levels, "level").select("node", F.col("place").alias("x"), (-F.col("level")).cast("double").alias("y"))
+
+
 def two_mode_communities(net: Network, trials: int = 5, seed: int = 1) -> DataFrame:
-    """node, community of a two-mode network: alternating label updates by Barber's gain, then merges that raise it;
-    the best of some trials."""
+    """node, community of a two-mode network: alternating label updates by Barber's gain over the whole network, then merges
+    that raise it; the best of some trials. Networks of at most LOCAL_ROWS rows."""
     net.need(two_mode=True)
+    arcs = net.arcs.where("value > 0")
+    rows, size = pooled(net, arcs, net.nodes.where("mode = 1"))
+    if size > LOCAL_ROWS:
+        raise NetworkError("two-mode communities take networks of at most LOCAL_ROWS rows")
 
-    def kernel(g: Graph) -> list[tuple]:
+    def kernel(a: Arrays) -> list:
         rng = np.random.default_rng(seed)
-        side, todo = {0: 0}, [0]
-        while todo:
-            v = todo.pop()
-            for w in g.out[v]:
-                if w not in side:
-                    side[w] = 1 - side[v]
-                    todo.append(w)
-        modes = [[i for i in range(g.n) if side[i] == s] for s in (0, 1)]
-        k = [sum(r.values()) for r in g.out]
-        m = sum(k) / 2 or 1.0
-
-        def q(lab: list[int]) -> float:
-            tot: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-            inside = 0.0
-            for i in range(g.n):
-                tot[lab[i]][side[i]] += k[i]
-                if side[i] == 0:
-                    inside += sum(v for j, v in g.out[i].items() if lab[i] == lab[j])
-            return (inside - sum(a * b for a, b in tot.values()) / m) / m
-
-        best, score = list(range(g.n)), -2.0
+        source, first = a.source, a.marked
+        k = np.bincount(source, a.weight, a.n)
+        m = a.weight.sum() / 2 or 1.0
+
+        def sides(lab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Weight between the first mode of each community and the second of each other, and both modes' totals."""
+            c = int(lab.max()) + 1
+            one = first[source]
+            between = np.bincount(lab[source[one]] * c + lab[a.to[one]], a.weight[one], c * c).reshape(c, c)
+            return between, np.bincount(lab[first], k[first], c), np.bincount(lab[~first], k[~first], c)
+
+        def q(lab: np.ndarray) -> float:
+            c = int(lab.max()) + 1
+            same = first[source] & (lab[source] == lab[a.to])
+            return float((a.weight[same].sum() - (np.bincount(lab[first], k[first], c) * np.bincount(lab[~first], k[~first], c)).sum() / m) / m)
+
+        def update(lab: np.ndarray, mine: np.ndarray) -> None:
+            """Every node of one mode to the neighbouring label of largest gain, the lowest of equal ones."""
+            c = int(lab.max()) + 1
+            total = np.bincount(lab[~mine], k[~mine], c)
+            on = mine[source]
+            pair, at = np.unique(source[on] * c + lab[a.to[on]], return_inverse=True)
+            i, l = pair // c, pair % c
+            gain = np.bincount(at, a.weight[on], len(pair)) - k[i] * total[l] / m
+            order = np.lexsort((-l, np.round(gain, 12), i))
+            last = np.flatnonzero(np.concatenate([i[order][1:] != i[order][:-1], [True]])) if len(order) else order
+            lab[i[order[last]]] = l[order[last]]
+
+        best, score = np.arange(a.n), -2.0
         for _ in range(trials):
-            lab = [0] * g.n
-            for x, i in enumerate(rng.permutation(modes[0]).tolist()):
-                lab[i] = x
+            lab = rng.permutation(a.n)
             now = -2.0
             for _ in range(200):
-                for s in (1, 0):
-                    tot: dict[int, float] = defaultdict(float)
-                    for i in modes[1 - s]:
-                        tot[lab[i]] += k[i]
-                    for i in modes[s]:
-                        links: dict[int, float] = defaultdict(float)
-                        for j, v in g.out[i].items():
-                            links[lab[j]] += v
-                        lab[i] = max(sorted(links), key=lambda c: links[c] - k[i] * tot[c] / m)
+                old = lab.copy()
+                for mine in (~first, first):
+                    update(lab, mine)
                 new = q(lab)
                 if new <= now + 1e-12:
+                    lab = old if new < now else lab
                     break
                 now = new
-            merged = True
-            while merged:
-                merged = False
-                for a in sorted(set(lab)):
-                    for b in sorted(set(lab)):
-                        if a < b:
-                            t = [a if x == b else x for x in lab]
-                            if q(t) > now + 1e-12:
-                                lab, now, merged = t, q(t), True
+            lab = _dense(lab)
+            between, t1, t2 = sides(lab)
+            gain = between + between.T - (np.outer(t1, t2) + np.outer(t2, t1)) / m
+            np.fill_diagonal(gain, -1.0)
+            while gain.size and gain.max() > 1e-12 * m:
+                x, y = sorted(divmod(int(np.argmax(gain)), len(gain)))
+                lab[lab == y] = x
+                gain[x] += gain[y]
+                gain[:, x] = gain[x]
+                gain[y], gain[:, y], gain[x, x] = -1.0, -1.0, -1.0
+            now = q(lab)
             if now > score + 1e-12:
-                best, score = lab, now
-        first: dict[int, object] = {}
-        for i, c in enumerate(best):
-            first.setdefault(c, g.keys[i])
-        return [(g.keys[i], first[c]) for i, c in enumerate(best)]
+                best, score = _dense(lab), now
+        return _labelled(a, best)
 
-    return run(net, kernel, "node KEY, community KEY")
+    return one_task(net, rows, kernel, "node KEY, community KEY")
 
 
 def induced_centrality(net: Network, measure: str = "degree") -> DataFrame:
     """node, endogenous, induced, exogenous: a node's own score, the drop of the network's total when it goes, and the
-    rest. For degree the drop is twice the degree; betweenness removes each node in turn."""
+    rest. For degree the drop is twice the degree; betweenness removes each node in turn, the nodes shared out to tasks
+    (networks of at most LOCAL_ROWS rows)."""
     if measure == "degree":
         d = net.links.groupBy(F.col("ego").alias("node")).agg(F.count("*").cast("double").alias("d"))
         out = net.nodes.select("node").join(d, "node", "left").fillna({"d": 0.0})
         return out.select("node", F.col("d").alias("endogenous"), (2 * F.col("d")).alias("induced"), F.col("d").alias("exogenous"))
+    rows, size = pooled(net, _positive(net, False))
+    if size > LOCAL_ROWS:
+        raise NetworkError("induced betweenness takes networks of at most LOCAL_ROWS rows")
 
-    def kernel(g: Graph) -> list[tuple]:
-        adj = g.both()
-        own, _ = _brandes(g, adj, None)
+    def kernel(a: Arrays, mine: np.ndarray) -> Iterator[list]:
+        every, source = np.arange(a.n), a.source
+        own = local.brandes(a, every)
         out = []
-        for v in range(g.n):
-            sub = [{j: x for j, x in r.items() if j != v} if i != v else {} for i, r in enumerate(adj)]
-            drop = (own.sum() - _brandes(g, sub, None)[0].sum()) / 2
-            out.append((g.keys[v], own[v] / 2, drop, drop - own[v] / 2))
-        return out
-
-    return run(net, kernel, "node KEY, endogenous double, induced double, exogenous double", (0.0, 0.0, 0.0))
-
-
-def eigenvector_dense(net: Network, valued: bool = False) -> DataFrame:
-    """node, evcent of a network of at most 6,000 nodes, by power iteration on the symmetrised matrix in one task."""
-
-    def kernel(keys: list, m: np.ndarray) -> list[tuple]:
-        w = np.where(m > 0, m if valued else 1.0, 0.0)
-        np.fill_diagonal(w, 0)
-        w = np.maximum(w, w.T)
-        if not w.any():
-            return [(k, None) for k in keys]
-        x, shift = np.full(len(keys), len(keys) ** -0.5), w.sum(1).max() + 1
-        for _ in range(100_000):
-            y = w @ x + shift * x
-            y /= np.linalg.norm(y)
-            if np.abs(y - x).max() < 1e-13:
-                break
-            x = y
-        return [(k, float(v)) for k, v in zip(keys, y * (1 if y[0] >= 0 else -1), strict=True)]
-
-    return whole(net, kernel, "node KEY, evcent double")
+        for v in mine:
+            on = (source != v) & (a.to != v)
+            start = np.concatenate([[0], np.cumsum(np.bincount(source[on], minlength=a.n))])
+            drop = (own.sum() - local.brandes(Arrays(a.keys, start, a.to[on], a.weight[on], a.marked), every).sum()) / 2
+            out.append((own[v] / 2, drop, drop - own[v] / 2))
+        if out:
+            yield [a.keys.take(mine), *np.array(out).T]
+
+    return per_source(net, rows, kernel, "node KEY, endogenous double, induced double, exogenous double")

@@ -46,7 +46,8 @@ def two_mode_degree(net: Network, raw: bool = False) -> DataFrame:
 
 
 def degree_distribution(net: Network) -> DataFrame:
-    """degree, nodes, ccdf (share of nodes with at least that degree); one row per degree."""
+    """degree, nodes, ccdf (share of nodes with at least that degree). The window is over the different degrees only, of
+    which m ties allow at most sqrt(2m)."""
     d = degree(net, binary=True).groupBy(F.col("out").cast("long").alias("degree")).agg(F.count("*").alias("nodes"))
     above = F.sum("nodes").over(Window.orderBy(F.desc("degree")))
     return d.select("degree", "nodes", (above / F.sum("nodes").over(Window.partitionBy())).alias("ccdf"))
@@ -61,8 +62,18 @@ def centralization(net: Network) -> DataFrame:
     return x.select(*[((n * F.col(f"max_{c}") - F.col(f"sum_{c}")) / div).alias(f"centralization_{c}") for c in ("out", "in")])
 
 
-def summary(net: Network) -> DataFrame:
-    """One row: nodes, ties, density, sum, min, max (with the zeros of empty dyads), mean degree."""
+def summary(net: Network, detail: bool = False) -> DataFrame:
+    """One row: nodes, ties, density, sum, min, max (with the zeros of empty dyads), mean degree; with ``detail`` of a
+    one-mode network also reciprocity, transitivity and degree centralization (out and in)."""
+    if detail:
+        from tiegraph.operators.structure import clustering_summary
+
+        net.need(two_mode=False)
+        parts = [dyad_census(net).select("reciprocity"), clustering_summary(net).select(F.col("global").alias("transitivity")), centralization(net)]
+        out = summary(net)
+        for part in parts:  # tables of one row
+            out = out.crossJoin(part)
+        return out
     n = net.nodes.agg(F.count("*").alias("nodes"))
     t = net.ties.where("ego <> alter").agg(F.count("*").alias("ties"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("sum"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     gaps = net.edges.where("value is null and ego <> alter").agg(F.count("*").alias("missing"))
@@ -104,13 +115,29 @@ def ei_index(net: Network, attribute: str) -> DataFrame:
     return c.withColumn("ei", (F.col("external") - F.col("internal")) / F.nullif(F.col("external") + F.col("internal"), F.lit(0)))
 
 
-def alter_stats(net: Network, attribute: str, value: object = None) -> DataFrame:
+def at_hops(net: Network, hop: int) -> DataFrame:
+    """(ego, alter): nodes exactly ``hop`` steps along the ties away."""
+    from tiegraph.plans.lineage import materialize
+
+    arcs = materialize(net.arcs.where("ego <> alter").select(F.col("ego").alias("from"), F.col("alter").alias("to")), "hops")
+    layer = arcs.select(F.col("from").alias("ego"), F.col("to").alias("alter")).distinct()
+    known = net.nodes.select(F.col("node").alias("ego"), F.col("node").alias("alter"))
+    for _ in range(hop - 1):
+        known = known.unionByName(layer)
+        step = layer.join(arcs, F.col("alter") == F.col("from")).select("ego", F.col("to").alias("alter")).distinct()
+        layer = materialize(step.join(known, ["ego", "alter"], "left_anti"), "hops")
+    return layer
+
+
+def alter_stats(net: Network, attribute: str, value: object = None, hop: int = 1) -> DataFrame:
     """Statistics of an attribute over out-neighbours with a value: mean, wmean (by tie value), sum, min, max, sd, count,
-    diversity (1 - sum p^2), proportion equal to ``value``. No such alter: null, but 0 for sum and count."""
+    diversity (1 - sum p^2), proportion equal to ``value``. No such alter: null, but 0 for sum and count. ``hop``: over the
+    nodes exactly so many steps away, which have no tie value (wmean null)."""
     if not net.ties.where("value < 0").isEmpty():
         raise NetworkError("negative tie values")
     x = F.col("x").cast("double")
-    t = net.arcs.join(net.nodes.select(F.col("node").alias("alter"), F.col(attribute).alias("x")), "alter").where("x is not null")
+    arcs = net.arcs if hop == 1 else at_hops(net, hop).withColumn("value", F.lit(None).cast("double"))
+    t = arcs.join(net.nodes.select(F.col("node").alias("alter"), F.col(attribute).alias("x")), "alter").where("x is not null")
     base = t.groupBy(F.col("ego").alias("node")).agg(
         F.avg(x).alias("mean"), (F.sum(x * F.col("value")) / F.sum("value")).alias("wmean"), F.sum(x).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_samp(x).alias("sd"), F.count("*").alias("count"),
         (F.avg((F.col("x") == F.lit(value)).cast("double")) if value is not None else F.lit(None).cast("double")).alias("proportion"),
@@ -119,6 +146,23 @@ def alter_stats(net: Network, attribute: str, value: object = None) -> DataFrame
     return _per_node(net, base.join(p, "node"), {"sum": 0.0, "count": 0})
 
 
+def row_median(table: DataFrame, columns: list[str], name: str = "median") -> DataFrame:
+    """``table`` with the median of some columns of each row; missing values are left out."""
+    have = F.array_sort(F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull()))
+    n = F.size(have)
+    return table.withColumn(name, F.when(n > 0, (F.get(have, F.floor((n - 1) / 2).cast("int")) + F.get(have, F.floor(n / 2).cast("int"))) / 2))
+
+
+def group_median(table: DataFrame, value: str, by: str) -> DataFrame:
+    """by, median: the exact median of each group."""
+    return table.groupBy(by).agg(F.percentile(F.col(value), 0.5).alias("median"))
+
+
+def joined_labels(table: DataFrame, columns: list[str], sep: str = " ", name: str = "label") -> DataFrame:
+    """``table`` with a label of several columns, missing ones left out."""
+    return table.withColumn(name, F.concat_ws(sep, *[F.col(c).cast("string") for c in columns]))
+
+
 def context(net: Network, attribute: str, mode: str = "outgoing", with_ego: bool = False) -> DataFrame:
     """Weighted statistics of tied alters: mean, sum, min, max, sd (population). mode outgoing, incoming, either (larger
     of the two directions) or both (smaller); ``with_ego`` adds the node itself with weight 1."""
@@ -221,7 +265,8 @@ def _cum(c: Column) -> Column:
 
 
 def adoption_curve(adopters: DataFrame, n: int) -> DataFrame:
-    """(node, t) to t, new, adopters, proportion, growth: one row per period that had adoptions."""
+    """(node, t) to t, new, adopters, proportion of ``n``, growth: one row per period that had adoptions (the window is over
+    periods only)."""
     per = adopters.where("t is not null").groupBy("t").agg(F.count("*").alias("new"))
     c = per.select("t", "new", _cum(F.col("new")).alias("adopters"))
     return c.select("t", "new", "adopters", (F.col("adopters") / n).alias("proportion"), F.when(F.col("adopters") > F.col("new"), F.col("new") / (F.col("adopters") - F.col("new"))).alias("growth"))

@@ -1,7 +1,9 @@
 """Measures by joins of ties with ties: wedges, triangles, shared neighbours.
 
 Triangles are found from wedges at the end with fewer ties (ties run from the node of lower degree to that of higher
-degree, ids breaking equality), so a hub gives no wedges of its own: their number is O(m^1.5) whatever the skew.
+degree, ids breaking equality), so a hub gives no wedges of its own: their number is O(m^1.5) whatever the skew. Whatever
+needs closed two-paths only comes from triangles that carry the values of their ties. Pairs with a common neighbour
+(similarity, projection) need all two-paths: there the neighbours of a hub are dealt out in squares of HUB rows.
 """
 
 from __future__ import annotations
@@ -13,18 +15,55 @@ from pyspark.sql import functions as F
 
 from tiegraph.network import Network, NetworkError
 from tiegraph.operators.measures import _per_node, _z
+from tiegraph.operators.transform import DENSE_NODES, wedges
+from tiegraph.plans.lineage import materialize
+
+
+def _arrows(net: Network) -> DataFrame:
+    """(x, y, s) for each tied pair x < y: s is 1 if x names y, 2 if y names x, 3 for both (undirected ties: 3)."""
+    t = net.ties.where("ego <> alter").select("ego", "alter")
+    if not net.directed:
+        return t.select(F.least("ego", "alter").alias("x"), F.greatest("ego", "alter").alias("y"), F.lit(3).alias("s"))
+    up = F.col("ego") < F.col("alter")
+    return t.groupBy(F.least("ego", "alter").alias("x"), F.greatest("ego", "alter").alias("y")).agg((F.max(up.cast("int")) + 2 * F.max((~up).cast("int"))).alias("s"))
+
+
+def closed_triples(pairs: DataFrame) -> DataFrame:
+    """a < b < c and structs ab, ac, bc of what ``pairs`` (x < y and further columns) says of the triangle's ties."""
+    says = [c for c in pairs.columns if c not in ("x", "y")]
+    pairs = pairs.select("x", "y", F.struct(*says).alias("v"))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    both = pairs.join(ends.withColumnsRenamed({"node": "x", "d": "dx"}), "x").join(ends.withColumnsRenamed({"node": "y", "d": "dy"}), "y")
+    low = F.col("dx") <= F.col("dy")  # x < y breaks equality
+    up = both.select(F.when(low, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("w"), "v")
+    wedge = up.select("u", F.col("w").alias("y"), F.col("v").alias("uy")).join(up.select("u", F.col("w").alias("z"), F.col("v").alias("uz")), "u").where("y < z")
+    t = wedge.join(pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("v").alias("yz")), ["y", "z"])
+    first, last = F.col("u") < F.col("y"), F.col("u") > F.col("z")
+    pick = lambda p, q, r: F.when(first, F.col(p)).when(last, F.col(r)).otherwise(F.col(q))
+    return t.select(pick("u", "y", "y").alias("a"), pick("y", "u", "z").alias("b"), pick("z", "z", "u").alias("c"), pick("uy", "uy", "yz").alias("ab"), pick("uz", "yz", "uy").alias("ac"), pick("yz", "uz", "uz").alias("bc"))
+
+
+def _tie(x: str, y: str) -> tuple[str, bool]:
+    """Name of the struct of a triangle's tie, and whether it runs from x to y as stored."""
+    return "".join(sorted(x + y)), x < y
+
+
+def _runs(x: str, y: str) -> Column:
+    """Whether x names y, by the state s of their tie."""
+    name, forward = _tie(x, y)
+    return F.col(f"{name}.s").bitwiseAND(1 if forward else 2) != 0
+
+
+def _transitive(net: Network) -> DataFrame:
+    """(i, q, j): i names q, q names j and i names j; every such ordered triple once."""
+    t = closed_triples(_arrows(net))
+    rows = [F.when(_runs(i, q) & _runs(q, j) & _runs(i, j), F.struct(F.col(i).alias("i"), F.col(q).alias("q"), F.col(j).alias("j"))) for i, q, j in itertools.permutations("abc")]
+    return t.select(F.explode(F.array(*rows)).alias("t")).where("t is not null").select("t.i", "t.q", "t.j")
 
 
 def triangles(net: Network) -> DataFrame:
     """(a, b, c), a < b < c, each triple of nodes tied in any direction once."""
-    links = net.links
-    d = links.groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("d"))
-    both = links.join(d.withColumnsRenamed({"node": "ego", "d": "de"}), "ego").join(d.withColumnsRenamed({"node": "alter", "d": "da"}), "alter")
-    up = both.where((F.col("de") < F.col("da")) | ((F.col("de") == F.col("da")) & (F.col("ego") < F.col("alter")))).select("ego", "alter")
-    wedge = up.select(F.col("ego").alias("x"), F.col("alter").alias("y")).join(up.select(F.col("ego").alias("x"), F.col("alter").alias("z")), "x").where("y < z")
-    closed = wedge.join(links.select(F.col("ego").alias("y"), F.col("alter").alias("z")), ["y", "z"], "left_semi")
-    t = F.array_sort(F.array("x", "y", "z"))
-    return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
+    return closed_triples(_arrows(net)).select("a", "b", "c")
 
 
 def clustering(net: Network) -> DataFrame:
@@ -32,12 +71,10 @@ def clustering(net: Network) -> DataFrame:
     undirected: pairs of neighbours. local is null without pairs."""
     if net.directed:
         e = net.arcs.where("ego <> alter").select("ego", "alter")
-        in_ = e.groupBy(F.col("alter").alias("node")).agg(F.count("*").alias("i"))
-        out = e.groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("o"))
-        mutual = e.join(e.select(F.col("alter").alias("ego"), F.col("ego").alias("alter")), ["ego", "alter"], "left_semi").groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("m"))
-        pairs = in_.join(out, "node").join(mutual, "node", "left").select("node", (F.col("i") * F.col("o") - F.coalesce("m", F.lit(0))).alias("pairs"))
-        wedge = e.select(F.col("ego").alias("u"), F.col("alter").alias("node")).join(e.select(F.col("ego").alias("node"), F.col("alter").alias("v")), "node").where("u <> v")
-        closed = wedge.join(e.select(F.col("ego").alias("u"), F.col("alter").alias("v")), ["u", "v"], "left_semi").groupBy("node").agg(F.count("*").alias("closed"))
+        ends = e.select(F.col("alter").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(e.select("ego", F.lit(0), F.lit(1)))
+        mutual = _arrows(net).where("s = 3").select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("m"))
+        pairs = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).join(mutual, "node", "left").select("node", (F.col("i") * F.col("o") - F.coalesce("m", F.lit(0))).alias("pairs"))
+        closed = _transitive(net).groupBy(F.col("q").alias("node")).agg(F.count("*").alias("closed"))
     else:
         t = triangles(net).select(F.explode(F.array("a", "b", "c")).alias("node"))
         closed = t.groupBy("node").agg(F.count("*").alias("closed"))
@@ -49,15 +86,30 @@ def clustering(net: Network) -> DataFrame:
 
 
 def clustering_valued(net: Network, mean: str = "arithmetic") -> DataFrame:
-    """node, local: pairs of neighbours weigh the arithmetic, geometric, maximum or minimum of their two tie values."""
+    """node, local: pairs of neighbours weigh the arithmetic, geometric, maximum or minimum of their two tie values.
+
+    Sums over all pairs of a node's ties follow from its values (and how often each occurs), those over closed pairs
+    from triangles.
+    """
+    from pyspark.sql import Window
+
     net.need(directed=False)
     e = net.arcs.where("ego <> alter")
-    x, y = F.col("x"), F.col("y")
+    x, y, k, c = F.col("x"), F.col("y"), F.col("k"), F.col("c")
     w = {"arithmetic": (x + y) / 2, "geometric": F.sqrt(x * y), "maximum": F.greatest(x, y), "minimum": F.least(x, y)}[mean]
-    wedge = e.select(F.col("ego").alias("node"), F.col("alter").alias("u"), F.col("value").alias("x")).join(e.select(F.col("ego").alias("node"), F.col("alter").alias("v"), F.col("value").alias("y")), "node").where("u < v")
-    marked = wedge.join(net.links.select(F.col("ego").alias("u"), F.col("alter").alias("v"), F.lit(1).alias("tied")), ["u", "v"], "left")
-    s = marked.groupBy("node").agg(F.sum(w).alias("all"), F.sum(w * F.coalesce("tied", F.lit(0))).alias("closed"))
-    return _per_node(net, s.select("node", (F.col("closed") / F.col("all")).alias("local")))
+    if mean in ("arithmetic", "geometric"):
+        one = F.col("value") if mean == "arithmetic" else F.sqrt("value")
+        s = e.groupBy(F.col("ego").alias("node")).agg(F.sum(one).alias("s"), F.sum("value").alias("v"), F.count("*").alias("k"))
+        whole = s.select("node", ((k - 1) * F.col("s") / 2 if mean == "arithmetic" else (F.col("s") * F.col("s") - F.col("v")) / 2).alias("all"))
+    else:  # a value wins over those below (above) it, and equal ones among themselves
+        counts = e.groupBy(F.col("ego").alias("node"), F.col("value").alias("x")).agg(F.count("*").alias("c"))
+        beaten = F.coalesce(F.sum("c").over(Window.partitionBy("node").orderBy("x" if mean == "maximum" else F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        whole = counts.select("node", (x * (c * beaten + c * (c - 1) / 2)).alias("part")).groupBy("node").agg(F.sum("part").alias("all"))
+    value = e.groupBy(F.least("ego", "alter").alias("x"), F.greatest("ego", "alter").alias("y")).agg(F.max("value").alias("v"))
+    ends = [F.struct(F.col(n).alias("node"), F.col(f"{_tie(n, u)[0]}.v").alias("x"), F.col(f"{_tie(n, v)[0]}.v").alias("y")) for n, u, v in ("abc", "bac", "cab")]
+    closed = closed_triples(value).select(F.explode(F.array(*ends)).alias("t")).select("t.node", "t.x", "t.y").groupBy("node").agg(F.sum(w).alias("closed"))
+    twice = net.links.groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("d")).where("d > 1").select("node")
+    return _per_node(net, whole.join(twice, "node", "left_semi").join(closed, "node", "left").select("node", (_z("closed") / F.nullif(F.col("all"), F.lit(0.0))).alias("local")))
 
 
 def clustering_summary(net: Network) -> DataFrame:
@@ -67,35 +119,52 @@ def clustering_summary(net: Network) -> DataFrame:
 
 def ego_density(net: Network) -> DataFrame:
     """node, alters, density among out-alters; null below two alters."""
-    e = net.arcs.where("ego <> alter").select("ego", "alter")
-    d = e.groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("alters"))
-    u, v = e.select(F.col("ego").alias("node"), F.col("alter").alias("u")), e.select(F.col("ego").alias("node"), F.col("alter").alias("v"))
-    wedge = u.join(v, "node").where("u <> v" if net.directed else "u < v")
-    t = wedge.join(e.select(F.col("ego").alias("u"), F.col("alter").alias("v")), ["u", "v"], "left_semi").groupBy("node").agg(F.count("*").alias("k"))
-    out = _per_node(net, d.join(t, "node", "left"), {"alters": 0, "k": 0})
+    d = net.arcs.where("ego <> alter").groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("alters"))
+    if net.directed:
+        t = _transitive(net).select(F.col("i").alias("node"))
+    else:
+        t = triangles(net).select(F.explode(F.array("a", "b", "c")).alias("node"))
+    out = _per_node(net, d.join(t.groupBy("node").agg(F.count("*").alias("k")), "node", "left"), {"alters": 0, "k": 0})
     n = F.col("alters")
     return out.select("node", "alters", F.when(n > 1, F.col("k") / (n * (n - 1) / (1 if net.directed else 2))).alias("density"))
 
 
+ROLES = ("coordinator", "gatekeeper", "representative", "consultant", "liaison")
+
+
+def _role(a: Column, b: Column, c: Column) -> Column:
+    return F.when((a == b) & (b == c), "coordinator").when(b == c, "gatekeeper").when(a == b, "representative").when(a == c, "consultant").otherwise("liaison")
+
+
 def brokerage(net: Network, attribute: str) -> DataFrame:
-    """node and its counts as coordinator, gatekeeper, representative, consultant, liaison: a to b to c without a to c."""
+    """node and its counts as coordinator, gatekeeper, representative, consultant, liaison: a to b to c without a to c.
+
+    All two-paths through a node are counted from its numbers of in- and out-neighbours of each group; those that return
+    to a, and the closed ones (from triangles), are taken off. Nodes without a group broker nothing and are not counted.
+    """
+    g = net.nodes.select("node", F.col(attribute).alias("g")).where("g is not null")
     e = net.arcs.where("ego <> alter").select("ego", "alter")
-    g = net.nodes.select("node", F.col(attribute).alias("g"))
-    two = e.select(F.col("ego").alias("a"), F.col("alter").alias("b")).join(e.select(F.col("ego").alias("b"), F.col("alter").alias("c")), "b").where("a <> c")
-    open_ = two.join(e.select(F.col("ego").alias("a"), F.col("alter").alias("c")), ["a", "c"], "left_anti")
-    for k in "abc":
-        open_ = open_.join(g.withColumnsRenamed({"node": k, "g": f"g{k}"}), k)
-    a, b, c = F.col("ga"), F.col("gb"), F.col("gc")
-    roles = {"coordinator": (a == b) & (b == c), "gatekeeper": (a != b) & (b == c), "representative": (a == b) & (b != c), "consultant": (a == c) & (a != b), "liaison": (a != b) & (b != c) & (a != c)}
-    per = open_.groupBy(F.col("b").alias("node")).agg(*[F.sum(r.cast("long")).alias(k) for k, r in roles.items()])
-    return _per_node(net, per, dict.fromkeys(roles, 0))
+    ends = e.select(F.col("alter").alias("b"), F.col("ego").alias("x"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(e.select("ego", "alter", F.lit(0), F.lit(1)))
+    per = ends.join(g.withColumnsRenamed({"node": "x", "g": "gx"}), "x").groupBy("b", "gx").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).join(g.withColumnsRenamed({"node": "b", "g": "gb"}), "b")
+    own = F.col("gx") == F.col("gb")
+    n = per.groupBy(F.col("b").alias("node")).agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.sum(F.when(own, F.col("i")).otherwise(0)).alias("ib"), F.sum(F.when(own, F.col("o")).otherwise(0)).alias("ob"), F.sum(F.when(own, 0).otherwise(F.col("i") * F.col("o"))).alias("same"))
+    i, o, ib, ob = (F.col(c) for c in ("i", "o", "ib", "ob"))
+    every = {"coordinator": ib * ob, "gatekeeper": (i - ib) * ob, "representative": ib * (o - ob), "consultant": F.col("same"), "liaison": (i - ib) * (o - ob) - F.col("same")}
+    found = n.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), v.cast("long").alias("k")) for k, v in every.items()])).alias("r")).select("node", "r.role", "r.k")
+    there = _arrows(net).where("s = 3")
+    back = there.select(F.col("x").alias("i"), F.col("y").alias("q"), F.col("x").alias("j")).union(there.select("y", "x", "y"))
+    off = back.unionByName(_transitive(net))
+    for c in "iqj":
+        off = off.join(g.withColumnsRenamed({"node": c, "g": f"g{c}"}), c)
+    off = off.groupBy(F.col("q").alias("node"), _role(F.col("gi"), F.col("gq"), F.col("gj")).alias("role")).agg((-F.count("*")).alias("k"))
+    out = found.unionByName(off).groupBy("node").agg(*[F.sum(F.when(F.col("role") == k, F.col("k")).otherwise(0)).alias(k) for k in ROLES])
+    return _per_node(net, out, dict.fromkeys(ROLES, 0))
 
 
 def shared_neighbors(net: Network) -> DataFrame:
     """ego, alter, shared: for each tie the number of nodes on a two-path along it; ties without one are left out."""
-    e = net.arcs.where("ego <> alter").select("ego", "alter")
-    two = e.select("ego", F.col("alter").alias("k")).join(e.select(F.col("ego").alias("k"), "alter"), "k").where("ego <> alter")
-    return two.join(e, ["ego", "alter"], "left_semi").groupBy("ego", "alter").agg(F.count("*").alias("shared"))
+    t = _transitive(net).groupBy(F.col("i").alias("ego"), F.col("j").alias("alter")).agg(F.count("*").alias("shared"))
+    return t
 
 
 def simmelian(net: Network) -> DataFrame:
@@ -110,11 +179,9 @@ def simmelian(net: Network) -> DataFrame:
 
 def balance(net: Network) -> DataFrame:
     """node, triangles, balanced: triangles of ties in either direction whose three values have a positive product."""
-    value = net.arcs.groupBy(F.least("ego", "alter").alias("a"), F.greatest("ego", "alter").alias("b")).agg(F.max("value").alias("v"))
-    t = triangles(net)
-    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
-        t = t.join(value.select(F.col("a").alias(x), F.col("b").alias(y), F.col("v").alias(f"v{x}{y}")), [x, y])
-    t = t.select(F.explode(F.array("a", "b", "c")).alias("node"), (F.signum("vab") * F.signum("vac") * F.signum("vbc") > 0).cast("long").alias("ok"))
+    value = net.arcs.where("ego <> alter").groupBy(F.least("ego", "alter").alias("x"), F.greatest("ego", "alter").alias("y")).agg(F.max("value").alias("v"))
+    t = closed_triples(value)
+    t = t.select(F.explode(F.array("a", "b", "c")).alias("node"), (F.signum("ab.v") * F.signum("ac.v") * F.signum("bc.v") > 0).cast("long").alias("ok"))
     return _per_node(net, t.groupBy("node").agg(F.count("*").alias("triangles"), F.sum("ok").alias("balanced")), {"triangles": 0, "balanced": 0})
 
 
@@ -137,42 +204,88 @@ def _triad_name(uv: int, vw: int, uw: int) -> str:
     return code
 
 
-def triad_census(net: Network) -> DataFrame:
-    """triad, count: all 16 classes. Triples with two ties or more come from wedges, one per open triple and three per
-    closed one; those with one tie and none follow by subtraction."""
-    e = net.arcs.where("ego <> alter")
-    state = e.select(F.col("ego").alias("x"), F.col("alter").alias("y"), F.lit(1).alias("s")).union(e.select("alter", "ego", F.lit(2))).groupBy("x", "y").agg(F.sum("s").alias("s"))
-    wedge = state.select(F.col("y").alias("v"), F.col("x").alias("u"), F.col("s").alias("uv")).join(state.select(F.col("x").alias("v"), F.col("y").alias("w"), F.col("s").alias("vw")), "v").where("u < w")
-    third = wedge.join(state.select(F.col("x").alias("u"), F.col("y").alias("w"), F.col("s").alias("uw")), ["u", "w"], "left")
-    codes = third.groupBy("uv", "vw", F.coalesce("uw", F.lit(0)).alias("uw")).agg(F.count("*").alias("k"))
-    names = F.create_map(*[F.lit(x) for a, b, c in itertools.product(range(1, 4), range(1, 4), range(4)) for x in (f"{a}{b}{c}", _triad_name(a, b, c))])
-    found = codes.select(names[F.concat("uv", "vw", "uw")].alias("triad"), (F.col("k") / F.when(F.col("uw") > 0, 3).otherwise(1)).alias("k")).groupBy("triad").agg(F.round(F.sum("k")).cast("long").alias("count"))
-    # one tied dyad: for each tie the nodes tied to neither end
-    d = state.groupBy("x").agg(F.count("*").alias("d"))
-    pairs = state.where("x < y").join(d.withColumnRenamed("d", "dx"), "x").join(d.select(F.col("x").alias("y"), F.col("d").alias("dy")), "y")
-    common = third.where("uw is not null").groupBy(F.col("u").alias("x"), F.col("w").alias("y")).agg(F.count("*").alias("c"))
-    n = net.nodes.agg(F.count("*").alias("n"))
-    one = pairs.join(common, ["x", "y"], "left").crossJoin(F.broadcast(n)).select(F.when(F.col("s") == 3, "102").otherwise("012").alias("triad"), (F.col("n") - F.col("dx") - F.col("dy") + F.coalesce("c", F.lit(0))).alias("k"))
-    found = found.unionByName(one.groupBy("triad").agg(F.sum("k").alias("count")))
-    total = found.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("s")).crossJoin(n).select(F.lit("003").alias("triad"), (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) / 6 - F.col("s")).cast("long").alias("count"))
+_BACK = {0: 0, 1: 2, 2: 1, 3: 3}
+#: Labelled forms of each triad class.
+TRIAD_FORMS = {"003": 1, "012": 6, "102": 3, "021D": 3, "021U": 3, "021C": 6, "111D": 6, "111U": 6, "030T": 6, "030C": 2, "201": 3, "120D": 3, "120U": 3, "120C": 6, "210": 6, "300": 1}
+
+
+def triad_census(net: Network, expected: bool = False) -> DataFrame:
+    """triad, count: all 16 classes; with ``expected`` also the mean count among networks of the same dyad census.
+
+    Closed triples come from triangles. Open ones are the pairs of a node's ties of each kind, less the closed ones;
+    triples with one tie and with none follow by subtraction. No table of two-paths is made.
+    """
+    pairs = materialize(_arrows(net), "dyads")
+    three = F.create_map(*[F.lit(x) for a, b, c in itertools.product(range(1, 4), repeat=3) for x in (f"{a}{b}{c}", _triad_name(a, b, c))])
+    t = closed_triples(pairs).groupBy(F.col("ab.s").alias("ab"), F.col("bc.s").alias("bc"), F.col("ac.s").alias("ac")).agg(F.count("*").alias("k"))
+    t = materialize(t, "closed")  # at most 27 rows, used for each kind of triple
+    found = t.select(three[F.concat("ab", "bc", "ac")].alias("triad"), "k")
+    # ties of each kind at each node, as seen from it
+    seen = pairs.select(F.col("x").alias("node"), "s").union(pairs.select("y", F.element_at(F.create_map(*[F.lit(v) for kv in _BACK.items() for v in kv]), F.col("s"))))
+    kinds = seen.groupBy("node").agg(*[F.sum((F.col("s") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3)])
+    n = {k: F.col(f"n{k}") for k in (1, 2, 3)}
+    all_, closed = [], []
+    for p, q in itertools.combinations_with_replacement((1, 2, 3), 2):
+        name = F.lit(_triad_name(_BACK[p], q, 0)).alias("triad")
+        all_.append(F.struct(name, (n[p] * (n[p] - 1) / 2 if p == q else n[p] * n[q]).cast("long").alias("k")))
+    open_ = kinds.select(F.explode(F.array(*all_)).alias("w")).select("w.triad", "w.k")
+    forms = F.create_map(*[F.lit(x) for p, q in itertools.product((1, 2, 3), repeat=2) for x in (f"{p}{q}", _triad_name(_BACK[p], q, 0))])
+    back = F.create_map(*[F.lit(str(v)) for kv in _BACK.items() for v in kv])
+    s = {k: F.col(k).cast("string") for k in ("ab", "ac", "bc")}
+    for x, y in ((s["ab"], s["ac"]), (back[s["ab"]], s["bc"]), (back[s["ac"]], back[s["bc"]])):
+        closed.append(F.struct(forms[F.concat(x, y)].alias("triad"), (-F.col("k")).alias("k")))
+    found = found.unionByName(open_).unionByName(t.select(F.explode(F.array(*closed)).alias("w")).select("w.triad", "w.k"))
+    # one tied dyad: the nodes tied to neither end, over all ties of a kind: n - d - d' + common neighbours
+    nodes = net.nodes.agg(F.count("*").alias("n"))
+    kind = lambda c: F.when(c == 3, "102").otherwise("012").alias("triad")
+    ties = pairs.groupBy(kind(F.col("s"))).agg(F.count("*").alias("m")).crossJoin(F.broadcast(nodes)).select("triad", (F.col("m") * F.col("n")).alias("k"))
+    d = F.col("n1") + F.col("n2") + F.col("n3")
+    ends = kinds.agg(F.sum(d * n[3]).alias("102"), F.sum(d * (n[1] + n[2])).alias("012")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("triad"), (-F.coalesce(k, F.lit(0))).alias("k")) for k in ("102", "012")])).alias("w")).select("w.triad", "w.k")
+    common = t.select(F.explode(F.array(*[F.struct(kind(F.col(c)), F.col("k").alias("k")) for c in ("ab", "ac", "bc")])).alias("w")).select("w.triad", "w.k")
+    found = found.unionByName(ties).unionByName(ends).unionByName(common).groupBy("triad").agg(F.sum("k").cast("long").alias("count"))
+    total = found.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("s")).crossJoin(nodes).select(F.lit("003").alias("triad"), (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) / 6 - F.col("s")).cast("long").alias("count"))
     listed = net.spark.createDataFrame([(x,) for x in TRIAD_NAMES], "triad string")
-    return listed.join(found.unionByName(total), "triad", "left").fillna(0, ["count"])
+    census = listed.join(found.unionByName(total), "triad", "left").fillna(0, ["count"])
+    if not expected:
+        return census
+    many = pairs.agg(F.sum((F.col("s") == 3).cast("double")).alias("m"), F.sum((F.col("s") < 3).cast("double")).alias("a")).crossJoin(nodes).fillna(0.0, ["m", "a"])
+    x = census.crossJoin(F.broadcast(many)).withColumn("d", F.col("n") * (F.col("n") - 1) / 2)
+    digit = lambda k: F.substring("triad", k, 1).cast("int")
+    falling = lambda v, j: F.when(j == 0, 1.0).when(j == 1, v).when(j == 2, v * (v - 1)).otherwise(v * (v - 1) * (v - 2))
+    w = F.create_map(*[F.lit(v) for kv in TRIAD_FORMS.items() for v in kv])[F.col("triad")]
+    mean = F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) / 6 * w * falling(F.col("m"), digit(1)) * falling(F.col("a"), digit(2)) * falling(F.col("d") - F.col("m") - F.col("a"), digit(3))
+    return x.select("triad", "count", (mean / F.pow(F.lit(2.0), digit(2)) / falling(F.col("d"), F.lit(3))).alias("expected"))
+
+
+def _proportions(net: Network, direction: str, binary: bool) -> DataFrame:
+    """(ego, alter, p, m): a tie's share of its ego's ties, and of its ego's largest, by the chosen directions."""
+    e = net.arcs.where("ego <> alter").select("ego", "alter", F.lit(1.0).alias("value") if binary else F.col("value"))
+    back = e.select(F.col("alter").alias("ego"), F.col("ego").alias("alter"), "value")
+    a = {"both": e.unionByName(back), "out": e, "in": back}[direction].groupBy("ego", "alter").agg(F.sum("value").alias("z"))
+    s = a.groupBy("ego").agg(F.sum("z").alias("all"), F.max("z").alias("top"))
+    return a.join(s, "ego").select("ego", "alter", (F.col("z") / F.col("all")).alias("p"), (F.col("z") / F.col("top")).alias("m"))
+
+
+def _indirect(pm: DataFrame) -> DataFrame:
+    """(i, j, p, via, red) of each tie i to j: sums over third nodes q of p_iq p_qj and of p_iq m_jq, from triangles."""
+    forward = F.col("ego") < F.col("alter")
+    side = [F.max(F.when(c, F.col(k))).alias(n + k) for n, c in (("f", forward), ("b", ~forward)) for k in ("p", "m")]
+    pairs = pm.groupBy(F.least("ego", "alter").alias("x"), F.greatest("ego", "alter").alias("y")).agg(*side)
+
+    def of(x: str, y: str, k: str) -> Column:
+        name, ahead = _tie(x, y)
+        return F.coalesce(F.col(f"{name}.{'f' if ahead else 'b'}{k}"), F.lit(0.0))
+
+    rows = [F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (of(i, q, "p") * of(q, j, "p")).alias("via"), (of(i, q, "p") * of(j, q, "m")).alias("red")) for i, q, j in itertools.permutations("abc")]
+    sums = closed_triples(pairs).select(F.explode(F.array(*rows)).alias("t")).groupBy("t.i", "t.j").agg(F.sum("t.via").alias("via"), F.sum("t.red").alias("red"))
+    return pm.select(F.col("ego").alias("i"), F.col("alter").alias("j"), "p").join(sums, ["i", "j"], "left").fillna(0.0, ["via", "red"])
 
 
 def burt(net: Network, direction: str = "both", binary: bool = False) -> DataFrame:
     """node, degree, effective_size, efficiency, constraint, hierarchy of Burt's structural holes."""
-    e = net.arcs.where("ego <> alter").select("ego", "alter", F.lit(1.0).alias("value") if binary else F.col("value"))
-    back = e.select(F.col("alter").alias("ego"), F.col("ego").alias("alter"), "value")
-    a = {"both": e.unionByName(back), "out": e, "in": back}[direction].groupBy("ego", "alter").agg(F.sum("value").alias("z"))
-    s = a.groupBy("ego").agg(F.sum("z").alias("all"), F.max("z").alias("top"), F.count("*").alias("degree"))
-    pm = a.join(s, "ego").select("ego", "alter", (F.col("z") / F.col("all")).alias("p"), (F.col("z") / F.col("top")).alias("m"))
-    piq, other = pm.select(F.col("ego").alias("i"), F.col("alter").alias("q"), F.col("p").alias("piq")), pm.select(F.col("ego").alias("x"), F.col("alter").alias("y"), F.col("p").alias("pxy"), F.col("m").alias("mxy"))
-    # sums over third nodes q for each tie i to j: p_iq p_qj for the constraint, p_iq m_jq for the redundancy
-    via = piq.join(other.select(F.col("x").alias("q"), F.col("y").alias("j"), "pxy"), "q").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("piq") * F.col("pxy")).alias("via"))
-    red = piq.join(other.select(F.col("y").alias("q"), F.col("x").alias("j"), "mxy"), "q").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("piq") * F.col("mxy")).alias("red"))
-    t = pm.select(F.col("ego").alias("i"), F.col("alter").alias("j"), "p").join(via, ["i", "j"], "left").join(red, ["i", "j"], "left")
-    c = F.pow(F.col("p") + _z("via"), F.lit(2))
-    per = t.groupBy(F.col("i").alias("node")).agg(F.sum(1 - _z("red")).alias("effective_size"), F.sum(c).alias("constraint"), F.sum(c * F.log(c)).alias("_clogc"), F.count("*").alias("degree"))
+    t = _indirect(_proportions(net, direction, binary))
+    c = F.pow(F.col("p") + F.col("via"), F.lit(2))
+    per = t.groupBy(F.col("i").alias("node")).agg(F.sum(1 - F.col("red")).alias("effective_size"), F.sum(c).alias("constraint"), F.sum(c * F.log(c)).alias("_clogc"), F.count("*").alias("degree"))
     n, big = F.col("degree"), F.col("constraint")
     h = F.when(n == 1, 1.0).when((n > 1) & (big > 0), (F.col("_clogc") / (big / n) - n * F.log(big / n)) / (n * F.log(n)))
     return _per_node(net, per.select("node", "degree", "effective_size", (F.col("effective_size") / n).alias("efficiency"), "constraint", h.alias("hierarchy")), {"degree": 0})
@@ -180,22 +293,15 @@ def burt(net: Network, direction: str = "both", binary: bool = False) -> DataFra
 
 def dyadic_constraint(net: Network) -> DataFrame:
     """ego, alter, constraint and the alter's redundancy, from both directions of the ties."""
-    e = net.arcs.where("ego <> alter")
-    a = e.select("ego", "alter", "value").unionByName(e.select(F.col("alter").alias("ego"), F.col("ego").alias("alter"), "value")).groupBy("ego", "alter").agg(F.sum("value").alias("z"))
-    s = a.groupBy("ego").agg(F.sum("z").alias("all"), F.max("z").alias("top"))
-    pm = a.join(s, "ego").select("ego", "alter", (F.col("z") / F.col("all")).alias("p"), (F.col("z") / F.col("top")).alias("m"))
-    first = pm.select(F.col("ego").alias("i"), F.col("alter").alias("q"), F.col("p").alias("piq"))
-    via = first.join(pm.select(F.col("ego").alias("q"), F.col("alter").alias("j"), F.col("p").alias("pqj")), "q").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("piq") * F.col("pqj")).alias("via"))
-    red = first.join(pm.select(F.col("alter").alias("q"), F.col("ego").alias("j"), F.col("m").alias("mjq")), "q").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("piq") * F.col("mjq")).alias("red"))
-    t = pm.select(F.col("ego").alias("i"), F.col("alter").alias("j"), "p").join(via, ["i", "j"], "left").join(red, ["i", "j"], "left")
-    return t.select(F.col("i").alias("ego"), F.col("j").alias("alter"), F.pow(F.col("p") + _z("via"), F.lit(2)).alias("constraint"), _z("red").alias("redundancy"))
+    t = _indirect(_proportions(net, "both", False))
+    return t.select(F.col("i").alias("ego"), F.col("j").alias("alter"), F.pow(F.col("p") + F.col("via"), F.lit(2)).alias("constraint"), F.col("red").alias("redundancy"))
 
 
 def similarity_index(net: Network, index: str = "jaccard") -> DataFrame:
     """i < j with a common neighbour: common, jaccard, dice, cosine or adamic (sum of 1/ln degree) of undirected neighbours."""
     links = net.links
     d = links.groupBy(F.col("ego").alias("node")).agg(F.count("*").alias("d"))
-    pairs = links.select(F.col("alter").alias("i"), F.col("ego").alias("k")).join(links.select(F.col("alter").alias("j"), F.col("ego").alias("k")), "k").where("i < j")
+    pairs = wedges(links.select(F.col("alter").alias("i"), F.col("ego").alias("k")), links.select(F.col("alter").alias("j"), F.col("ego").alias("k")), "k", "i", "j").where("i < j")
     pairs = pairs.join(d.withColumnsRenamed({"node": "k", "d": "dk"}), "k")
     s = pairs.groupBy("i", "j").agg(F.count("*").alias("c"), F.sum(1 / F.log("dk")).alias("aa"))
     s = s.join(d.withColumnsRenamed({"node": "i", "d": "di"}), "i").join(d.withColumnsRenamed({"node": "j", "d": "dj"}), "j")
@@ -204,38 +310,46 @@ def similarity_index(net: Network, index: str = "jaccard") -> DataFrame:
     return s.select("i", "j", value.alias("value"))
 
 
-def profile_similarity(net: Network, index: str = "matches", two_mode_side: int = 1) -> DataFrame:
+def profile_similarity(net: Network, index: str = "matches", two_mode_side: int = 1, direction: str = "out", force: bool = False) -> DataFrame:
     """Similarity (pearson, matches, jaccard, hamming, crossproduct) or dissimilarity (euclidean, manhattan, nonmatches,
-    djaccard, dhamming) of the out-profiles of all pairs i < j; one-mode profiles leave out the pair's own two cells."""
+    djaccard, dhamming) of the profiles of all pairs i < j: out-ties, in-ties or ``both`` one after the other. One-mode
+    profiles leave out the pair's own two cells. More than DENSE_NODES nodes are refused unless forced."""
+    if net.n_nodes() > DENSE_NODES and not force:
+        raise NetworkError("too many pairs of nodes; force=True overrides")
+    kind = dict(net.nodes.dtypes)["node"]
     if net.two_mode:
         own, other = ("ego", "alter") if two_mode_side == 1 else ("alter", "ego")
-        t = net.ties.select(F.col(own).alias("i"), F.col(other).alias("q"), "value")
+        t = net.ties.select(F.col(own).alias("i"), F.struct(F.lit(0).alias("d"), F.col(other).alias("q")).alias("q"), "value")
         nodes = net.nodes.where(F.col("mode") == two_mode_side).select("node")
         width = net.nodes.where(F.col("mode") != two_mode_side).agg(F.count("*").cast("double").alias("c"))
     else:
-        t = net.arcs.where("ego <> alter").select(F.col("ego").alias("i"), F.col("alter").alias("q"), "value")
+        arcs = net.arcs.where("ego <> alter")
+        out = arcs.select(F.col("ego").alias("i"), F.struct(F.lit(0).alias("d"), F.col("alter").alias("q")).alias("q"), "value")
+        into = arcs.select(F.col("alter").alias("i"), F.struct(F.lit(1).alias("d"), F.col("ego").alias("q")).alias("q"), "value")
+        t = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
         nodes = net.nodes.select("node")
-        width = net.nodes.agg((F.count("*") - 2).cast("double").alias("c"))
+        width = net.nodes.agg(((F.count("*") - 2) * (2 if direction == "both" else 1)).cast("double").alias("c"))
     x, y = F.col("value"), F.col("w")
     k = t.groupBy("i").agg(F.count("*").alias("k"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    co = t.join(t.withColumnsRenamed({"i": "j", "value": "w"}), "q").where("i < j").groupBy("i", "j").agg(F.count("*").alias("co"), F.sum(x * y).alias("xy"), F.sum(F.abs(x - y) - F.abs(x) - F.abs(y)).alias("man"))
+    co = wedges(t, t.withColumnsRenamed({"i": "j", "value": "w"}), "q", "i", "j").where("i < j").groupBy("i", "j").agg(F.count("*").alias("co"), F.sum(x * y).alias("xy"), F.sum(F.abs(x - y) - F.abs(x) - F.abs(y)).alias("man"))
     pairs = nodes.select(F.col("node").alias("i")).crossJoin(nodes.select(F.col("node").alias("j"))).where("i < j").join(co, ["i", "j"], "left")
     a = t.groupBy("i").agg(F.sum(F.abs(x)).alias("abs")).join(k, "i")
     for side in "ij":
         pairs = pairs.join(a.select(F.col("i").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("k", "s", "ss", "abs")]), side, "left")
+    cells: dict[str, list[Column]] = {"i": [], "j": []}
     if not net.two_mode:  # the cells (i,j) and (j,i) are not compared
-        for p, q in (("i", "j"), ("j", "i")):
-            pairs = pairs.join(t.select(F.col("i").alias(p), F.col("q").alias(q), F.col("value").alias(f"v{p}")), [p, q], "left")
-        own = {s: F.coalesce(f"v{s}", F.lit(0.0)) for s in "ij"}
-    else:
-        own = {s: F.lit(0.0) for s in "ij"}
-    has = {s: F.when(own[s] != 0, 1).otherwise(0) for s in "ij"}
+        for way in {"out": (0,), "in": (1,), "both": (0, 1)}[direction]:
+            for p, q in (("i", "j"), ("j", "i")):
+                own = t.where(F.col("q.d") == way).select(F.col("i").alias(p), F.col("q.q").cast(kind).alias(q), F.col("value").alias(f"v{p}{way}"))
+                pairs = pairs.join(own, [p, q], "left")
+                cells[p].append(F.coalesce(f"v{p}{way}", F.lit(0.0)))
+    less = lambda s, f: sum((f(v) for v in cells[s]), F.lit(0.0))
     pairs = pairs.crossJoin(F.broadcast(width))
     n, c = F.nullif(F.col("c"), F.lit(0.0)), F.coalesce("co", F.lit(0))
-    ki, kj = (F.coalesce(f"k_{s}", F.lit(0)) - has[s] for s in "ij")
-    si, sj = (_z(f"s_{s}") - own[s] for s in "ij")
-    qi, qj = (_z(f"ss_{s}") - own[s] * own[s] for s in "ij")
-    ai, aj = (_z(f"abs_{s}") - F.abs(own[s]) for s in "ij")
+    ki, kj = (F.coalesce(f"k_{s}", F.lit(0)) - less(s, lambda v: F.when(v != 0, 1.0).otherwise(0.0)) for s in "ij")
+    si, sj = (_z(f"s_{s}") - less(s, lambda v: v) for s in "ij")
+    qi, qj = (_z(f"ss_{s}") - less(s, lambda v: v * v) for s in "ij")
+    ai, aj = (_z(f"abs_{s}") - less(s, F.abs) for s in "ij")
     xy = _z("xy")
     agree, union = n - ki - kj + 2 * c, ki + kj - c
     values: dict[str, Column] = {
@@ -252,7 +366,7 @@ def _codegrees(net: Network, mode: int) -> tuple[DataFrame, DataFrame]:
     own, other = ("ego", "alter") if mode == 1 else ("alter", "ego")
     t = net.ties.select(F.col(own).alias("i"), F.col(other).alias("q"))
     k = net.nodes.where(F.col("mode") == mode).select(F.col("node").alias("i")).join(t.groupBy("i").agg(F.count("*").alias("k")), "i", "left").fillna(0, ["k"])
-    s = t.join(t.withColumnRenamed("i", "j"), "q").where("i < j").groupBy("i", "j").agg(F.count("*").alias("s"))
+    s = wedges(t, t.withColumnRenamed("i", "j"), "q", "i", "j").where("i < j").groupBy("i", "j").agg(F.count("*").alias("s"))
     both = s.join(k.withColumnRenamed("k", "ki"), "i").join(k.withColumnsRenamed({"i": "j", "k": "kj"}), "j")
     return k, both
 
@@ -289,14 +403,14 @@ def nestedness(net: Network) -> DataFrame:
 def motifs4(net: Network) -> DataFrame:
     """motif, count of the connected induced subgraphs of four nodes, from degrees, triangles and shared neighbours:
     path, star, cycle, paw, diamond, clique; and ``other``."""
-    links = net.links
+    links = materialize(net.links, "links")
     d = links.groupBy("ego").agg(F.count("*").alias("d"))
-    tri = triangles(net)
+    tri = materialize(triangles(net), "triangles")
     on_edge = tri.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ac", "bc")])).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("t"))
     edge = links.where("ego < alter").select(F.col("ego").alias("a"), F.col("alter").alias("b")).join(on_edge, ["a", "b"], "left").fillna(0, ["t"])
     edge = edge.join(d.select(F.col("ego").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("ego").alias("b"), F.col("d").alias("db")), "b")
     per = tri.select(F.explode(F.array("a", "b", "c")).alias("ego")).groupBy("ego").agg(F.count("*").alias("t"))
-    co = links.select(F.col("ego").alias("k"), F.col("alter").alias("i")).join(links.select(F.col("ego").alias("k"), F.col("alter").alias("j")), "k").where("i < j").groupBy("i", "j").agg(F.count("*").alias("s"))
+    co = wedges(links.select(F.col("ego").alias("k"), F.col("alter").alias("i")), links.select(F.col("ego").alias("k"), F.col("alter").alias("j")), "k", "i", "j").where("i < j").groupBy("i", "j").agg(F.count("*").alias("s"))
     # cliques of four: triangles whose three nodes have a common neighbour above the largest
     k4 = tri
     for x in "abc":

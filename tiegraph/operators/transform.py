@@ -13,6 +13,20 @@ from tiegraph.network import Network, NetworkError, is_symmetric, symmetrized
 DENSE_NODES = 20_000
 
 
+#: Neighbours of a node in one square of its pairs.
+HUB = 1_000
+
+
+def wedges(left: DataFrame, right: DataFrame, key: str, one: str, two: str) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``. The rows of a key are dealt into groups of about HUB by ``one`` and by
+    ``two``, and every pair of groups is joined apart, so the pairs of a hub are spread over tasks."""
+    parts = right.groupBy(key).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_n"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = left.join(parts, key).select(*left.columns, F.pmod(F.xxhash64(one), F.col("_n")).cast("int").alias("_a"), every.alias("_b"))
+    b = right.join(parts, key).select(*right.columns, every.alias("_a"), F.pmod(F.xxhash64(two), F.col("_n")).cast("int").alias("_b"))
+    return a.join(b, [key, "_a", "_b"]).drop("_a", "_b")
+
+
 def dyads(net: Network, force: bool = False, selfloop: bool = False) -> DataFrame:
     """Every ordered pair of different nodes with its value, 0 without a tie: the only operator that needs all pairs."""
     n = net.n_nodes()
@@ -205,12 +219,46 @@ def permute(net: Network, seed: int = 0) -> Network:
     return net.with_(edges=edges.select(e.alias("ego"), a.alias("alter"), "value"))
 
 
+def permute_ties(net: Network, seed: int = 0, swaps: int | None = None) -> Network:
+    """Exchange the partners of random pairs of ties (a-b, c-d to a-d, c-b), ten for each tie unless told, without loops or
+    repeated ties: every node keeps its degrees. Sequential: networks of at most LOCAL_ROWS rows."""
+    import numpy as np
+
+    from tiegraph.operators.local import LOCAL_ROWS, Arrays, one_task, pooled
+
+    rows, size = pooled(net, net.ties.where("ego <> alter"))
+    if size > LOCAL_ROWS:
+        raise NetworkError("swaps take networks of at most LOCAL_ROWS rows")
+    directed, two_mode = net.directed, net.two_mode
+
+    def kernel(a: Arrays) -> list:
+        rng, i, j = np.random.default_rng(seed), a.source.tolist(), a.to.tolist()
+        have = set(zip(i, j, strict=True))
+        m = len(i)
+        n = (10 * m if directed else 5 * m) if swaps is None else swaps
+        for p, q, flip in zip(*(rng.integers(0, max(m, 1), n).tolist() for _ in range(2)), (rng.random(n) < 0.5).tolist(), strict=True):
+            x, y, u, v = i[p], j[p], i[q], j[q]
+            if flip and not directed and not two_mode:
+                u, v = v, u
+            one, two = (x, v), (u, y)
+            if not directed and not two_mode:
+                one, two = tuple(sorted(one)), tuple(sorted(two))
+            if p == q or x == v or u == y or one == two or one in have or two in have:
+                continue
+            have -= {(x, y), (i[q], j[q])}
+            have |= {one, two}
+            (i[p], j[p]), (i[q], j[q]) = one, two
+        return [a.keys.take(np.array(i, np.int64)), a.keys.take(np.array(j, np.int64)), a.weight]
+
+    return net.with_(edges=one_task(net, rows, kernel, "ego KEY, alter KEY, value double"))
+
+
 def combine(a: Network, b: Network, op: str) -> DataFrame:
     """Element-wise algebra of two networks on the same nodes (0 where there is no tie): + - * / == != > < >= <= & |,
     or ** for the matrix product."""
     if op == "**":
         left, right = a.arcs.select("ego", F.col("alter").alias("_m"), F.col("value").alias("x")), b.arcs.select(F.col("ego").alias("_m"), "alter", F.col("value").alias("y"))
-        return left.join(right, "_m").groupBy("ego", "alter").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+        return wedges(left, right, "_m", "ego", "alter").groupBy("ego", "alter").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
     dense = op in ("==", ">=", "<=", "/")
     left = (dyads(a) if dense else a.arcs).select("ego", "alter", F.col("value").alias("x"))
     both = left.join((dyads(b) if dense else b.arcs).select("ego", "alter", F.col("value").alias("y")), ["ego", "alter"], "full")
@@ -237,7 +285,7 @@ def project(net: Network, mode: int = 1, stat: str = "count") -> Network:
     if stat == "newman":
         t = t.join(t.groupBy("q").agg(F.count("*").alias("d")), "q")
     left, right = t.withColumnsRenamed({"w": "wi"}), t.drop("d").withColumnsRenamed({"i": "j", "w": "wj"})
-    pairs = left.join(right, "q").where("i < j")
+    pairs = wedges(left, right, "q", "i", "j").where("i < j")
     wi, wj = F.col("wi"), F.col("wj")
     s = F.count("*").cast("double")
     aggs = {

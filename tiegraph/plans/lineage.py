@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see: spark.checkpoint.dir, else (tests) a temporary one."""
+    """Folder that the driver and every executor see: spark.checkpoint.dir; where it is unset a temporary one, in one process only."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tiegraph-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -58,3 +61,17 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, st
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return stash(df, label, codec)[0]
+
+
+class Rounds:
+    """State of a loop: every round is written, and the folder of the round before the last is deleted."""
+
+    def __init__(self, label: str) -> None:
+        self.label, self.paths = label, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, path = stash(df, self.label)
+        self.paths.append(path)
+        while len(self.paths) > 2:
+            drop_folder(df.sparkSession, self.paths.pop(0))
+        return out

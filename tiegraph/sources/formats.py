@@ -16,15 +16,24 @@ from pyspark.sql import functions as F
 from tiegraph.network import Catalog, Network, NetworkError, from_compressed, from_edges, from_wide
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line): the lines of one text file, in order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n|\r")).alias("n", "line"))
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines): the text files of a path, each one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.rtrim(F.col("value")), r"\r?\n|\r").alias("lines"))
+
+
+def _lines(spark: SparkSession, path: str, keep: str = "") -> DataFrame:
+    """(n, line): the lines that match ``keep``, numbered from 0 over the files of a path in order of their names."""
+    files = _files(spark, path)
+    if keep:
+        files = files.withColumn("lines", F.filter("lines", lambda line: line.rlike(keep)))
+    sizes = files.select("file", F.size("lines").alias("k"))
+    before = sizes.select("file", F.coalesce(F.sum("k").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # a row for each file
+    return files.select("file", F.posexplode("lines").alias("i", "line")).join(F.broadcast(before), "file").select((F.col("b") + F.col("i")).cast("long").alias("n"), "line")
 
 
 def _whole(spark: SparkSession, path: str) -> str:
-    rows = spark.read.text(path, wholetext=True).collect()  # one file
-    return "\n".join(r["value"] for r in rows)
+    """The text of a document, its parts in order of their names; documents are parsed on the driver."""
+    return "\n".join("\n".join(r["lines"]) for r in sorted(_files(spark, path).collect(), key=lambda r: r["file"]))
 
 
 def read_edgelist(spark: SparkSession, path: str, sep: str = ",", header: bool = True, **options: object) -> Network:
@@ -36,15 +45,14 @@ def read_edgelist(spark: SparkSession, path: str, sep: str = ",", header: bool =
 
 def read_matrix(spark: SparkSession, path: str, sep: str = r"[\s,;]+", labels: bool = False, directed: bool | None = None, two_mode: bool = False) -> Network:
     """Square (or, two-mode, rectangular) matrix of numbers; with ``labels`` the first line and column name the nodes."""
-    rows = _lines(spark, path).where(F.trim("line") != "").select("n", F.split(F.trim("line"), sep).alias("p"))
+    rows = _lines(spark, path, r"\S").select("n", F.split(F.trim("line"), sep).alias("p"))
     head = rows.orderBy("n").first()["p"]
     if labels:
         names = [x for x in head if x]
         body = rows.where(F.col("n") > rows.agg(F.min("n")).head()[0]).select(F.col("p")[0].alias("row"), F.slice("p", 2, len(names)).alias("p"))
     else:
         names = [str(k + 1) for k in range(len(head))]
-        order = F.row_number().over(Window.orderBy("n"))
-        body = rows.select(order.cast("string").alias("row"), "p")
+        body = rows.select((F.col("n") + 1).cast("string").alias("row"), "p")
     wide = body.select("row", *[F.col("p")[k].cast("double").alias(f"c{k}") for k in range(len(names))]).toDF("row", *names)
     return from_wide(wide, "row", names, directed=directed, two_mode=two_mode)
 
@@ -55,10 +63,12 @@ def read_compressed(spark: SparkSession, path: str, sep: str = ",") -> Network:
 
 def read_pajek(spark: SparkSession, path: str) -> Network:
     """*Vertices n [n1], *Arcs, *Edges, *Arcslist, *Edgeslist, *Matrix; unlabelled vertices have their number as label."""
-    lines = _lines(spark, path).where("trim(line) <> '' and not line rlike '^\\\\s*%'")
+    lines = _lines(spark, path, r"^\s*[^%\s]")
     mark = F.when(F.col("line").rlike(r"^\s*\*"), F.lower(F.regexp_extract("line", r"^\s*\*(\w+)", 1)))
-    upto = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # one file of lines
-    tagged = lines.withColumn("mark", mark).withColumn("section", F.last("mark", ignorenulls=True).over(upto)).withColumn("start", F.max(F.when(F.col("mark").isNotNull(), F.col("n"))).over(upto))
+    lines = lines.withColumn("mark", mark)
+    # a row for each section
+    sections = lines.where("mark is not null").select(F.col("n").alias("start"), F.col("mark").alias("section"), F.coalesce(F.lead("n").over(Window.orderBy("n")), F.lit(2**62)).alias("end"))
+    tagged = lines.join(F.broadcast(sections), (F.col("n") >= F.col("start")) & (F.col("n") < F.col("end")))
     size = tagged.where("mark = 'vertices'").select(F.regexp_extract("line", r"\*\w+\s+(\d+)", 1).cast("long").alias("n"), F.regexp_extract("line", r"\*\w+\s+\d+\s+(\d+)", 1).alias("n1")).head()
     body = tagged.where("mark is null")
     named = body.where("section = 'vertices'").select(F.regexp_extract("line", r"^\s*(\d+)", 1).cast("long").alias("id"), F.regexp_extract("line", r'^\s*\d+\s+(?:"([^"]*)"|(\S+))', 1).alias("q"), F.regexp_extract("line", r'^\s*\d+\s+([^"\s]\S*)', 1).alias("w"))
@@ -66,10 +76,10 @@ def read_pajek(spark: SparkSession, path: str) -> Network:
     ids = spark.range(1, size["n"] + 1)
     names = ids.join(named, "id", "left").select("id", F.coalesce(label, F.col("id").cast("string")).alias("node"))
     p = F.split(F.trim("line"), r"\s+")
-    pair = body.where("section in ('arcs', 'edges')").select("section", p[0].cast("long").alias("a"), p[1].cast("long").alias("b"), F.coalesce(F.get(p, F.lit(2)).cast("double"), F.lit(1.0)).alias("value"))
-    lists = body.where("section in ('arcslist', 'edgeslist')").select("section", p.alias("p")).select("section", F.col("p")[0].cast("long").alias("a"), F.explode(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).cast("array<bigint>")).alias("b"), F.lit(1.0).alias("value"))
+    pair = body.where("section in ('arcs', 'edges')").select("section", p[0].try_cast("long").alias("a"), F.get(p, F.lit(1)).try_cast("long").alias("b"), F.coalesce(F.get(p, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"))
+    lists = body.where("section in ('arcslist', 'edgeslist')").select("section", p.alias("p")).select("section", F.col("p")[0].try_cast("long").alias("a"), F.explode(F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: x.try_cast("long"))).alias("b"), F.lit(1.0).alias("value"))
     rows = body.where("section = 'matrix'").select(F.lit("matrix").alias("section"), (F.col("n") - F.col("start")).cast("long").alias("a"), F.posexplode(p).alias("b", "v"))
-    cells = rows.select("section", "a", (F.col("b") + 1).cast("long").alias("b"), F.col("v").cast("double").alias("value")).where("value <> 0")
+    cells = rows.select("section", "a", (F.col("b") + 1).cast("long").alias("b"), F.col("v").try_cast("double").alias("value")).where("value <> 0")
     ties = pair.unionByName(lists).unionByName(cells)
     directed = not ties.where("section in ('arcs', 'arcslist', 'matrix')").isEmpty()
     if directed:
