@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -179,12 +180,64 @@ def test_html(spark):
     assert html_extraction.extract(df.where("false")).count() == 0
 
 
+def _folded(page):
+    return html_extraction.fold(html_extraction.parse(page)[0])
+
+
 def test_tree_matching_prefers_the_larger_alignment():
-    a = html_extraction.Folded([html_extraction.parse("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>")[0]])
-    b = html_extraction.Folded([html_extraction.parse("<div><ul><li>1</li></ul><p>y</p></div>")[0]])
+    a, b = _folded("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>"), _folded("<div><ul><li>1</li></ul><p>y</p></div>")
     assert html_extraction.tree_match(a, b)[0] == 5
 
 
+def test_tree_matching_equals_brute_force():
+    def size(a, b):
+        if a.label != b.label:
+            return 0
+
+        def best(x, y):
+            return max(best(x[1:], y), best(x, y[1:]), size(x[0], y[0]) + best(x[1:], y[1:])) if x and y else 0
+
+        return 1 + best(a.children, b.children)
+
+    rng = random.Random(4)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else 'x'}</{t}>" for t in (rng.choice(["div", "ul", "section"]) for _ in range(rng.randint(0, 4))))
+
+    for _ in range(40):
+        a, b = _folded(page(3)), _folded(page(3))
+        assert html_extraction.tree_match(a, b)[0] == size(a, b)
+        assert html_extraction.outline(html_extraction.from_outline(html_extraction.outline(a))) == html_extraction.outline(a)
+
+
+def _text(page):
+    root, blocks = html_extraction.parse(page)
+    return "\n\n".join(blocks[k][1] for k in html_extraction.scope(root, blocks))
+
+
+def test_layout_names_and_odd_pages():
+    assert _text('<div class="elementor-widget-container"><p>One.</p></div><div class="elementor-widget-container"><p>Two.</p></div>') == "One.\n\nTwo."
+    assert _text('<div id="page" class="layout no-sidebar"><article><p>Text</p></article></div>') == "Text"
+    assert _text('<div class="search-page"><p>All of it</p></div>') == "All of it"
+    assert _text('<p>A long enough paragraph of text.</p><div class="cookie-notice">We use them</div><div id=comments><p>Nice</p></div>') == "A long enough paragraph of text."
+    assert _text("<article><p>a <math><mi>x</mi></math> b <object>c</object></article>") == "a x b c"
+    deep = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000
+    assert _text(deep) == "deep" and html_extraction.tree_match(_folded(deep), _folded(deep))[0] == 5002
+    began = time.time()
+    assert _text('<a "' * 250_000) is not None and _text("<p>x" + '<a "' * 250_000 + ">") is not None and _text("<p>a " * 50_000).count("a") == 50_000
+    assert time.time() - began < 20
+
+
+def test_copies_keep_their_text_and_short_articles_lose_boilerplate(spark):
+    licence = "This text is under a licence that is a good deal longer than the article itself is. " * 3
+    short = [(k, "http://s.example/", f"<div><h1>Head {k}</h1><p>News {k}</p></div><div><p>{licence}</p></div>") for k in range(5)]
+    copies = [(k, "http://c.example/", "<div><h1>Same</h1><p>Same text</p></div>") for k in range(10, 15)]
+    rare = [(k, "http://s.example/", f"<section><h2>Other {k}</h2><p>Word {k}</p><table><tr><td>Fixed cell</table></section>") for k in range(20, 24)]
+    df = spark.createDataFrame(short + copies + rare, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    assert got[3] == "Head 3\n\nNews 3" and got[12] == "Same\n\nSame text" and got[21] == "Other 21\n\nWord 21"
+
+
 def test_classifiers_on_held_out_rows(spark, awkward, empty):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
