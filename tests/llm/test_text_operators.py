@@ -328,7 +328,33 @@ def test_surrogates(spark, awkward):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted((str(i), str(t)) for i, t, _ in AWKWARD)
 
 
+def test_names_by_title_context_and_coreference(spark):
+    key = b"k"
+    text = "Contact John Smith or Dr. Priya Patel. Mr. Smith said that Smith knew Patel; Kwame Mensah (kwame@x.example.org) met Priya. Dear Li Wei, ask 王小明先生. Mr Иванов came."
+    new, spans = pii.replace(text, key)
+    for word in ("Smith", "Priya", "Patel", "Kwame", "Mensah", "Wei", "王小明", "Иванов", "John"):
+        assert word not in new, word
+    assert all(w in new for w in ("Contact ", "Dr. ", "Mr. ", "Dear ", "先生", "Mr "))
+    smith = pii.replace("Mr. Smith", key)[0].split()[1]
+    assert new.count(smith) == 3 and pii.replace("John Smith", key)[0].endswith(smith)
+    a, b = pii.replace("+1 (743) 555-3824", key)[0], pii.replace("743-555-3824", key)[0]
+    assert pii._digits(a)[1:] == pii._digits(b) != "7435553824"
+    six = pii.replace("at 2001:db8::8a2e:370:7334, or 2001:0db8:0:0:0:8a2e:0370:7334", key)
+    assert len(six[1]) == 2 and len(set(re.findall(r"2001:[0-9a-f:]+", six[0]))) == 1 and "370:7334" not in six[0]
+    clean = "The Quick Brown Fox. New York is far. In March He went. Der Hund Und die Katze. От Москвы До Киева 12:30:05 a::b"
+    assert pii.replace(clean, key) == (clean, [])
+    many = " ".join(f"user{k}@mail.example.com" for k in range(40_000))
+    began = time.time()
+    pii.entities(many)
+    pii.entities("John Smith and Anna Jones met. " * 20_000)
+    assert time.time() - began < 30
+    df = spark.createDataFrame([(1, "x", "John Smith")], "doc_id long, n_entities string, text string")
+    assert pii.redact(df, key).columns == ["doc_id", "text", "n_entities", "entity_kinds"] and pii.redact(df.where("false"), key).count() == 0
+
+
 def test_surrogates_are_distinct():
+    words = [f"{a}{b}{c}" for a in "BDFG" for b in "aeiou" for c in "nrst"]
+    assert len({pii._name_part("family", w, b"k") for w in words}) == len(words)
     key = b"k"
     cards = {pii.surrogate("card", f"4{k:015d}", key) for k in range(3000)}
     assert len(cards) == 3000

@@ -1,18 +1,25 @@
 """PII: detected entities get keyed surrogates of the same type and format.
 
-Found: e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs, US social security numbers, secrets
-(keys, tokens, passwords after their name, long hexadecimal strings) and personal names with a known given name.
+Found: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards, IBANs, US social security numbers, secrets
+(keys, tokens, passwords after their name, long hexadecimal strings) and personal names. A name is a run of capitalised
+words (in any script with capitals) that has a title, a listed given name, a word that introduces a person, or an e-mail
+address or phone number right after it; Chinese names are found before their titles. Where a document has a full name,
+its parts are found alone, too.
 
 A surrogate comes from a keyed permutation without fixed points of all strings of the entity's format, so different
-entities get different surrogates in the whole corpus, and an entity gets the same one everywhere, without any table.
-Formats keep separators, case, script, vowels and consonants, country and card checks, ranges of addresses, and for
-names the gender and script. Within a document a surrogate that is an entity of the same document is permuted again.
+entities get different surrogates in the whole corpus, and an entity gets the same one everywhere, in any spelling,
+without any table: names word by word, phones by their national digits, addresses by their numbers. Formats keep
+separators, case, script, vowels and consonants, country and card checks, ranges of addresses, and for listed given names
+the gender and script. A surrogate may be another entity of the document; that one is replaced as well, so the text
+still tells the two apart. ``replace`` checks that no two entities of a document share a surrogate.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -27,8 +34,12 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия Дарья Людмила",
     ("cyrillic", "m"): "Иван Александр Сергей Дмитрий Алексей Андрей Михаил Николай Владимир Павел Виктор Борис",
 }
-TITLES_F = "Mrs Ms Miss Frau Madame Mme Señora Sra Signora"
-TITLES_M = "Mr Herr Monsieur Señor Sr Signor"
+TITLES_F = "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Госпожа"
+TITLES_M = "Mr Herr Monsieur Señor Sr Signor Господин"
+TITLES = "Dr Prof Professor Doctor Sir Madam Lady Lord Rev Capt Judge"
+INTRODUCES = "contact|dear|name is|named|called|signed|sincerely|regards|author|attn|hello|hi|ask for|speak to|écrivit|contactez|kontakt|ansprechpartner|atentamente|contacto"
+#: Calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 _GIVEN = {k: v.split() for k, v in GIVEN.items()}
 _KIND = {n: (k, i) for k, names in _GIVEN.items() for i, n in enumerate(names)}
 
@@ -40,8 +51,26 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 _NAMED_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{8,})")
 _SECRET = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xox[abp])[-_][A-Za-z0-9_-]{16,}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128})\b")
-_NAME = re.compile(r"(?:\b(" + "|".join([*TITLES_F.split(), *TITLES_M.split()]) + r")\.? )?(?<![\w])([^\W\d_a-z][^\W\d_A-Z]+)((?:[ -][^\W\d_a-z]\.?)?[ ][^\W\d_a-z](?:[^\W\d_]|['’-](?=[^\W\d_]))+)")
-_TWO_CAPITALS = re.compile(r"[^\W\d_a-z][^\W\d_]+ [^\W\d_a-z]")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_CODES = frozenset(TWO_DIGITS.split())
+
+
+def _upper_class() -> str:
+    """The capitals of all scripts, as ranges of a character class."""
+    codes = [c for c in range(sys.maxunicode) if chr(c).isupper() and chr(c).isalpha()]
+    ends = [i for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    starts = [0, *[i + 1 for i in ends[:-1]]]
+    return "".join(f"{chr(codes[i])}-{chr(codes[j])}" for i, j in zip(starts, ends, strict=True))
+
+
+_TITLED = frozenset([*TITLES_F.split(), *TITLES_M.split(), *TITLES.split()])
+_UP = _upper_class()
+_TITLE = "|".join(sorted(_TITLED, key=len, reverse=True))
+_WORD = rf"(?:(?:{_TITLE})\.?(?= )|[{_UP}]\.(?= )|[{_UP}][^\W\d_]+(?:['’-][^\W\d_]+)*)"
+_RUN = re.compile(rf"(?<![^\W_])(?<![’'])(?:{_WORD})(?: {_WORD})*")
+_INTRO = re.compile(rf"(?i)(?:\b(?:{INTRODUCES})[:,]?\s+)\Z")
+_INTRO_WORDS = frozenset(w for w in INTRODUCES.split("|") if " " not in w)
+_HAN = re.compile(r"([\u4e00-\u9fff]{1,4})(?=先生|女士|小姐|太太)")
 
 ALPHABETS = ["0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ"]
 _ALPHABET = {c: a for a in ALPHABETS for c in a}
@@ -162,9 +191,10 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         return _refill(text, digits[0] + body + last)
     if kind == "phone":
         digits = _digits(text)
-        lead = len(_digits(re.match(r"\+?\d{1,3}(?=\D)", text)[0])) if text.startswith("+") and re.match(r"\+\d{1,3}(?=\D)", text) else 0
+        code = "" if not text.startswith("+") else digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in _CODES else digits[:3]
         sound = lambda d: tuple(d[i : i + 1] in "01" for i in (0, 3)) if len(d) == 10 else d[:1] == "0"
-        return _refill(text, digits[:lead] + permute_text(digits[lead:], key, f"phone{digits[:lead]}", ok=sound))
+        # ten digits without a code are a North American number
+        return _refill(text, code + permute_text(digits[len(code) :], key, f"phone{code or ('1' if len(digits) == 10 else '')}", ok=sound))
     if kind == "ssn":
         return _refill(text, permute_text(_digits(text), key, kind, ok=lambda d: (d[:3] in ("000", "666") or d[0] == "9", d[3:5] == "00", d[5:] == "0000")))
     if kind == "iban":
@@ -176,11 +206,13 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
         return plain[:2] + f"{check:02d}" + _like(text[4:], body)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]{8,}", text) and any(c.isalpha() for c in text):
         return f"{Permutation(key, 16 ** len(text), b'hex').shift(int(text, 16)):0{len(text)}x}"
+    if kind == "ipv6":
+        number = int(ipaddress.IPv6Address(text))
+        rest = (1 << 112) - 1  # the first group tells what kind of address it is
+        new = str(ipaddress.IPv6Address(number & ~rest | Permutation(key, 1 << 112, b"ipv6").shift(number & rest)))
+        return new.upper() if text.upper() == text else new
     if kind == "name":
-        given, _, rest = text.partition("\0")
-        (script, gender), at = _KIND[given]
-        names = _GIVEN[script, gender]
-        return names[Permutation(key, len(names), f"{script}{gender}".encode()).shift(at)] + permute_text(rest, key, "surname")
+        return "".join(_name_part(role, word, key) for role, word in _parts(text))
     return permute_text(text, key, kind)
 
 
@@ -189,16 +221,85 @@ def _like(text: str, chars: str) -> str:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+def _parts(name: str) -> list[tuple[str, str]]:
+    """The words of a name with their roles, and what is between them."""
+    words = re.split(r"( )", name)
+    last = len(words) - 1
+    out = []
+    for k, w in enumerate(words):
+        if w == " " or w.rstrip(".") in _TITLED or len(w.rstrip(".")) == 1:
+            out.append(("", w))
+        else:
+            out.append(("given" if k < last or w in _KIND and last == 0 else "family", w))
+    return out
+
+
+def _name_part(role: str, word: str, key: bytes) -> str:
+    """Surrogate of a word of a name. Listed given names change within their list, other words among unlisted ones."""
+    if not role:
+        return word if len(word) != 2 or word[1] != "." else permute_text(word, key, "initial")
+    if any("\u4e00" <= c <= "\u9fff" for c in word):
+        return "".join(chr(0x4E00 + Permutation(key, 0x5200, b"han").shift(ord(c) - 0x4E00)) for c in word)
+    head, dash, tail = word.partition("-")
+    if role == "given" and head in _KIND:
+        (script, gender), at = _KIND[head]
+        names = _GIVEN[script, gender]
+        new = names[Permutation(key, len(names), f"{script}{gender}".encode()).shift(at)]
+        return new + dash + (_name_part(role, tail, key) if dash else "")
+    return permute_text(word, key, "word", ok=lambda w: w.title() in _KIND)
+
+
+def _names(text: str, free: Callable[[int, int], bool], starts: set[int]) -> list[tuple[int, int]]:
+    """Places of names: runs of capitalised words with something that says person, then their parts alone."""
+    found: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        words = [(a + w.start(), a + w.end(), w[0]) for w in re.finditer(r"\S+", m[0])]
+        k = 0
+        while k < len(words):
+            word = words[k][2]
+            titled = word.rstrip(".") in _TITLED
+            rest = words[k + 1 :] if titled else words[k:]
+            told = titled and bool(rest) and len(rest[0][2].rstrip(".")) > 1
+            told |= len(rest) > 1 and word.partition("-")[0] in _KIND
+            if not told and len(rest) > 1 and len(word) > 1:
+                told = k > 0 and words[k - 1][2].lower() in _INTRO_WORDS or k == 0 and bool(_INTRO.search(text, max(0, a - 24), a)) or len(rest) == 2 and any(x in starts and not text[b:x].strip(" ,(<:") for x in range(b + 1, b + 4))
+            if not told:
+                k += 1
+                continue
+            n = 1
+            while n < len(rest) and n < 3 and (n < 2 or len(rest[n - 1][2].rstrip(".")) == 1):
+                n += 1
+            start, end = rest[0][0], rest[n - 1][1]
+            if free(start, end):
+                found.append((start, end))
+            k += n + titled
+    found += [m.span(1) for m in _HAN.finditer(text) if free(*m.span(1))] if "先" in text or "女" in text or "小" in text or "太" in text else []
+    parts = {w for a, b in found for role, w in _parts(text[a:b]) if role and len(w) > 2}
+    if parts:
+        whole = sorted(found)
+        at = 0
+        for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")(?![^\W_])", text):
+            while at < len(whole) and whole[at][1] <= m.start():
+                at += 1
+            if (at == len(whole) or whole[at][0] >= m.end()) and free(*m.span()):
+                found.append(m.span())
+    return found
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order, not overlapping: at a place the longest of the first kind in the order below."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))  # a mark for each character
+
+    def free(a: int, b: int) -> bool:
+        return taken.find(1, a, b) < 0
 
     def add(pattern: re.Pattern, kind: str, group: int = 0, test: Callable[[str], bool] | None = None) -> None:
         for m in pattern.finditer(text):
             a, b = m.span(group)
-            if (test is None or test(m[group])) and all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            if (test is None or test(m[group])) and free(a, b):
+                taken[a:b] = b"\1" * (b - a)
                 found.append((a, b, kind))
 
     if "@" in text:
@@ -210,39 +311,43 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         add(_IBAN, "iban", test=lambda s: _iban_rest(s) == 1)
         add(_CARD, "card")
         add(_IP, "ip")
+        if "::" in text or text.count(":") > 6:
+            add(_IPV6, "ipv6", test=_is_ipv6)
         add(_SSN, "ssn")
         add(_PHONE, "phone", test=lambda s: 8 <= len(_digits(s)) <= 15)
-    if _TWO_CAPITALS.search(text):
-        for m in _NAME.finditer(text):
-            a, b = m.span(2)[0], m.span(3)[1]
-            if m[2] in _KIND and all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                found.append((a, b, "name"))
+    found += [(a, b, "name") for a, b in _names(text, free, {a for a, _, k in found if k in ("email", "phone")})]
     return sorted(found)
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return int(ipaddress.IPv6Address(text)) > 1 and any(c.isdigit() for c in text)
+    except ValueError:
+        return False
+
+
+def _canonical(kind: str, text: str) -> str:
+    """What an entity is, however it is written."""
+    return {"ipv6": lambda: ipaddress.IPv6Address(text).exploded, "phone": lambda: _digits(text)[-10:], "card": lambda: _digits(text), "iban": lambda: text.replace(" ", "")}.get(kind, lambda: text)()
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and the entities' places in the original."""
+    """The text with surrogates, and the entities' places in the original. Two entities of a document never share a
+    surrogate: words, digits and addresses are permuted, and each surrogate is checked against those of the others."""
     spans = entities(text)
     if not spans:
         return text, spans
-    canon = {}
-    for a, b, kind in spans:
-        raw = text[a:b]
-        if kind == "name":
-            given = next(n for n in (raw.split(" ")[0].split("-")[0], raw.split(" ")[0]) if n in _KIND)
-            raw = f"{given}\0{raw[len(given):]}"
-        canon[a] = raw
-    originals = {(kind, canon[a].lower()) for a, _, kind in spans}
+    made: dict[tuple[str, str], str] = {}
+    owner: dict[tuple[str, str], str] = {}
     out, last = [], 0
     for a, b, kind in spans:
-        new = surrogate(kind, canon[a], key)
-        for _ in range(16):  # a surrogate that is itself an entity here would look like a reference to it
-            plain = new if kind != "name" else None
-            if plain is None or (kind, plain.lower()) not in originals:
-                break
-            new = surrogate(kind, new, key)
-        out += [text[last:a], new]
+        raw = text[a:b]
+        if (kind, raw) not in made:
+            own, new = _canonical(kind, raw), surrogate(kind, raw, key)
+            while owner.setdefault((kind, new), own) != own:  # cannot be by the permutations; else on to the next
+                new = surrogate(kind, new, key)
+            made[kind, raw] = new
+        out += [text[last:a], made[kind, raw]]
         last = b
     return "".join(out) + text[last:], spans
 
@@ -251,7 +356,8 @@ def redact(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text``, plus n_entities and entity_kinds (kinds with counts, by name).
 
     All other columns stay (columns of those two names are replaced). Null texts stay null with 0 entities, texts
-    without entities are unchanged, repeated rows are treated alike.
+    without entities are unchanged, repeated rows are treated alike, an empty table gives one. Long texts take time in
+    proportion to their length.
     """
     common.small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
