@@ -106,6 +106,40 @@ def test_near_leaks_and_awkward_rows(spark, awkward, empty):
     assert decontaminate.leaks(awkward, items.where("false")).count() == 0 and decontaminate.leaks(empty, items).count() == 0
 
 
+def _weighted_jaccard(a, b):
+    w = lambda s: sum(len(x) for x in s)
+    return w(a & b) / w(a | b) if a | b else 0.0
+
+
+def test_leaks_equal_brute_force_over_all_windows(spark):
+    """Items with words changed, swapped halves and cut ends, in documents of words they share: every window is tried."""
+    rng = random.Random(8)
+    words = [f"w{k:02d}" for k in range(60)]
+    items = [[rng.choice(words) + str(i) for _ in range(n)] for i, n in enumerate((12, 20, 20, 40, 3, 60))]
+    docs = []
+    for k in range(140):
+        x = list(rng.choice(items))
+        if k % 4 == 1 and len(x) > 10:
+            x = x[len(x) // 2 :] + x[: len(x) // 2]
+        for _ in range(k % 4):
+            x[rng.randrange(len(x))] = rng.choice(words)
+        x = x[: len(x) - k % 3] if k % 5 == 0 else x
+        docs.append([rng.choice(words) for _ in range(k % 7 * 5)] + x + [rng.choice(words) for _ in range(k % 3 * 6)])
+    shingles = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for d, w in enumerate(docs):
+        for i, x in enumerate(items):
+            size = min(5, len(x))
+            best = max(_weighted_jaccard(shingles(w[s : s + len(x)], size), shingles(x, size)) for s in range(len(w)))
+            if best >= 0.8:
+                want[d, i] = best
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(df, bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) > 20
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_simhash_blocks_find_all_within_radius():
     rng = random.Random(1)
     edges = np.cumsum([0, *decontaminate._WIDTHS])
@@ -238,13 +272,21 @@ def test_copies_keep_their_text_and_short_articles_lose_boilerplate(spark):
     assert got[3] == "Head 3\n\nNews 3" and got[12] == "Same\n\nSame text" and got[21] == "Other 21\n\nWord 21"
 
 
+def _recall_precision(predicted, marked):
+    hits = (predicted & marked).sum()
+    return hits / marked.sum(), hits / max(predicted.sum(), 1)
+
+
 def test_classifiers_on_held_out_rows(spark, awkward, empty):
-    d = "/root/testdata/sf0.01"
+    """On the rows that never train: far more than the majority class gives, on both sides."""
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     q = quality.score(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
-    assert (q["predicted"] == q["quality"]).mean() > 0.9
+    recall, precision = _recall_precision(q["predicted"] == 0, q["quality"] == 0)
+    assert recall > 0.6 and precision > 0.6, (recall, precision)
     t = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
-    assert (t["predicted"] == t["toxic"]).mean() > 0.9
+    recall, precision = _recall_precision(t["predicted"] == 1, t["toxic"] == 1)
+    assert recall > 0.6 and precision > 0.6, (recall, precision)
     for score in (quality.score, toxicity.score):
         out = score(awkward, labels).toPandas()
         assert len(out) == len(AWKWARD) and out["score"].between(0, 1).all()
@@ -387,6 +429,14 @@ def test_packing_mixes_sources(spark):
     assert (share.iloc[:-1] - 0.25).abs().max() < 0.06
 
 
+def test_packing_refuses_shares_without_a_place(spark):
+    docs = spark.createDataFrame([(1, "a b", "a"), (2, "c", "b")], SCHEMA)
+    for shares in ({"a": 0}, {"a": 1, "b": 0}, {"a": 1}, {}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, WORD, shares=shares)
+    assert packing.pack(docs, WORD, shares={"a": 1, "b": 3, "c": 1}).count() == 2
+
+
 def test_huffman_round_trip(spark, awkward, empty):
     want = encoded(BYTE, 2)
     path = common.fresh_path(spark, "test-huffman")

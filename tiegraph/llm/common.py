@@ -17,13 +17,13 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
-#: The most rows of a narrow table that are broadcast; beyond it a join shuffles.
-BROADCAST_ROWS = 500_000
+#: The most bytes of a narrow table that are broadcast; beyond it a join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
-def few(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows (counted unless given); else as it is."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (columns of fixed width) marked for broadcast if its rows, of 16 bytes and 8 a column, are few; else as it is."""
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

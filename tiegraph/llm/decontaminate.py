@@ -2,24 +2,28 @@
 
 Words are runs of letters and digits, in lower case; shingles are five words (all words of a shorter item).
 
-1. Windows. A window that is similar enough to an item shares a shingle with it. Each shingle of a document that an
-   item has places a window of that item's size so that the two shingles coincide; other windows can't pass step 3.
+1. Windows. Every window of an item's number of words that holds a shingle of any item of that size is examined, at
+   every start; a window without one has similarity 0 with all items. Each start comes from the first shared shingle that
+   its window holds, with its words, so no text is moved or read again.
 2. Each window has a 64-bit SimHash of its shingles, weighted by their letters. The bits are cut into RADIUS + 1
    blocks: two hashes within RADIUS agree in a block, so joining on (window size, block, bits) finds all items of the
    window's size within the radius, and bit counts discard the rest.
 3. The weighted Jaccard similarity of the shingles of window and item, exact, must be at least ``threshold``.
 
-At similarity 0.8 the hashes differ in 9 to 10 of 64 bits on average; RADIUS is three standard deviations more.
+At similarity 0.8 the hashes differ in 9 to 10 of 64 bits on average; RADIUS is three standard deviations more. Blocks of
+3 or 4 bits follow from that radius: they leave one item of a size in two or three to be compared by bit counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegraph.llm import common
 
 SHINGLE = 5
+#: Item shingles that one pass sends to every task: 24 bytes each, 48 MB.
+KEYS = 2_000_000
 RADIUS = 18
 BITS = 64
 _WIDTHS = [BITS // (RADIUS + 1) + (k < BITS % (RADIUS + 1)) for k in range(RADIUS + 1)]
@@ -90,26 +94,33 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     if parts is None:
         return slim.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("window_start"), F.lit(0.0).alias("similarity"))
     prints = common.materialize(parts.withColumn("bits", simhash(F.col("texts"))), "item-prints")
-    keys = prints.select("item_id", "n_words", "size", F.posexplode("hashes").alias("offset", "h"))
-    n_keys = keys.count()
+    keys = common.materialize(prints.select("n_words", "size", F.explode("hashes").alias("h")).distinct(), "item-shingles")
+    # item shingles go to every task, at most KEYS at a time: more are further passes over the documents, not a shuffle of them
+    passes = max(1, -(-keys.count() // KEYS))
     hits = None
     for size in sizes:
-        at = slim.select("doc_id", once(words_of(F.col("text"))).alias("words")).select("doc_id", F.posexplode(shingle_hashes(F.col("words"), size)).alias("pos", "h"))
-        found = at.join(common.few(keys.where(F.col("size") == size), n_keys), "h").select("doc_id", "n_words", "size", F.greatest(F.col("pos") - F.col("offset"), F.lit(0)).alias("start"))
-        hits = found if hits is None else hits.unionByName(found)
-    windows = hits.distinct().groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words", "size")).alias("windows"))
-    windows = common.materialize(windows, "leak-windows")
-    texts = slim.join(common.few(windows, windows.count()), "doc_id").select("doc_id", "windows", once(words_of(F.col("text"))).alias("words"))
-    cut = texts.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", "w.start", "w.n_words", "w.size", once(F.slice("words", F.col("w.start") + 1, F.col("w.n_words"))).alias("words"))
+        for part in range(passes):
+            some = keys.where((F.col("size") == size) & (F.pmod(F.col("h"), F.lit(passes)) == part)).select("h", "n_words")
+            at = slim.select("doc_id", once(words_of(F.col("text"))).alias("words")).select("doc_id", "words", F.posexplode(shingle_hashes(F.col("words"), size)).alias("pos", "h"))
+            first = F.greatest(F.col("pos") - F.col("n_words") + size, F.lit(0))
+            around = F.slice("words", first + 1, F.col("pos") - first + F.col("n_words"))
+            found = at.join(F.broadcast(some), "h").select("doc_id", "n_words", F.lit(size).alias("size"), "pos", first.alias("first"), around.alias("around"))
+            hits = found if hits is None else hits.unionByName(found)
+    hits = hits.dropDuplicates(["doc_id", "n_words", "pos"]) if passes > 1 else hits
+    before = F.lag("pos").over(Window.partitionBy("doc_id", "n_words").orderBy("pos"))
+    # repeated rows of a document repeat its hits, and give no start of their own
+    fresh = hits.withColumn("from", F.greatest("first", F.coalesce(before + 1, F.lit(0)))).where(F.col("from") <= F.col("pos"))
+    starts = fresh.select("doc_id", "n_words", "size", "first", "around", F.explode(F.sequence("from", "pos")).alias("start"))
+    cut = starts.select("doc_id", "start", "n_words", "size", once(F.slice("around", F.col("start") - F.col("first") + 1, F.col("n_words"))).alias("words"))
     by_size = F.lit(None).cast("array<string>")
     for size in sizes:
         by_size = F.when(F.col("size") == size, shingles(F.col("words"), size)).otherwise(by_size)
     cut = cut.select("doc_id", "start", "n_words", once(F.array_distinct(by_size)).alias("texts"))
-    cut = common.materialize(cut.distinct().select("doc_id", "start", "n_words", "texts", once(simhash(F.col("texts"))).alias("bits")), "leak-prints")
+    cut = common.materialize(cut.select("doc_id", "start", "n_words", "texts", once(simhash(F.col("texts"))).alias("bits")), "leak-prints")
     probe = cut.select("doc_id", "start", "n_words", "texts", "bits", F.explode(blocks(F.col("bits"))).alias("block")).select("*", "block.k", "block.v")
     index = prints.select("item_id", "n_words", F.col("texts").alias("item_texts"), F.col("bits").alias("item_bits"), F.explode(blocks(F.col("bits"))).alias("block"))
     index = index.select("item_id", "n_words", "item_texts", "item_bits", "block.k", "block.v")
-    near = probe.join(common.few(index, n_keys * (RADIUS + 1)), ["n_words", "k", "v"]).where(hamming(F.col("bits"), F.col("item_bits")) <= RADIUS)
+    near = probe.join(index, ["n_words", "k", "v"]).where(hamming(F.col("bits"), F.col("item_bits")) <= RADIUS)
     near = near.dropDuplicates(["doc_id", "start", "n_words", "item_id"])
     common_weight = weight(F.array_intersect("texts", "item_texts"))
     scored = near.withColumn("similarity", common_weight / weight(F.array_union("texts", "item_texts"))).where(F.col("similarity") >= threshold)
@@ -118,6 +129,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that leak no item; rows without doc_id stay."""
+    """The rows of ``docs`` that leak no item; rows without doc_id, and with null texts, stay, as often as they come. The ids
+    that leak grow with the corpus, so they meet the documents in a shuffle at every size."""
     found = common.materialize(leaks(docs.select("doc_id", "text"), items, threshold).select("doc_id").distinct(), "leaking")
-    return docs.join(common.few(found), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@
    a column's largest component meets all rows of the column. A parity bitmap of each row's entries bounds the
    symmetric difference of two rows from below, so pairs that can't link are discarded inside the join.
 
-Words, shingles and links are defined in ``shingle_hashes`` and ``linked_components``. Hashes have 64 bits; columns use the 48 upper bits.
+Words, shingles and links are defined in ``shingle_hashes`` and ``linked_components``. Hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _columns(docs: DataFrame, size: int, blocks: int) -> DataFrame:
-    """The incidence matrix in column blocks: hashes ascending (as differences), for each the index of its class."""
+    """The incidence matrix in column blocks: hashes ascending (differences of the upper 48 bits, and the lower 16), for each
+    the index of its class."""
 
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -99,7 +100,7 @@ def _columns(docs: DataFrame, size: int, blocks: int) -> DataFrame:
             block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             edge = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
             cids = np.array(ids, np.int64)
-            cols: dict[str, list] = {k: [] for k in ("block", "steps", "who", "cids", "sizes")}
+            cols: dict[str, list] = {k: [] for k in ("block", "steps", "low", "who", "cids", "sizes")}
             for b in range(blocks):
                 lo, hi = edge[b], edge[b + 1]
                 if lo < hi:
@@ -107,7 +108,7 @@ def _columns(docs: DataFrame, size: int, blocks: int) -> DataFrame:
                     steps = np.diff(h[lo:hi] >> np.uint64(16), prepend=np.uint64(0))
                     first, rest = steps[:1], steps[1:]
                     rest = rest.astype(np.uint32) if not len(rest) or rest.max() < 1 << 32 else rest
-                    for k, v in zip(cols, (b, first.tobytes() + rest.tobytes(), index.astype(np.uint16).tobytes(), cids[used].tobytes(), sizes[used].astype(np.uint32).tobytes()), strict=True):
+                    for k, v in zip(cols, (b, first.tobytes() + rest.tobytes(), (h[lo:hi] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), index.astype(np.uint16).tobytes(), cids[used].tobytes(), sizes[used].astype(np.uint32).tobytes()), strict=True):
                         cols[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in cols.items()], list(cols))
             held.clear()
@@ -131,7 +132,7 @@ def _columns(docs: DataFrame, size: int, blocks: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(deal, "block long, steps binary, who binary, cids binary, sizes binary")
+    return docs.select("text").mapInArrow(deal, "block long, steps binary, low binary, who binary, cids binary, sizes binary")
 
 
 def _shared_entries(columns: DataFrame, parts: int) -> DataFrame:
@@ -141,11 +142,11 @@ def _shared_entries(columns: DataFrame, parts: int) -> DataFrame:
         import pyarrow as pa
 
         hs, cs, ns = [], [], []
-        for steps, who, cids, sizes in zip(*(table.column(c).to_pylist() for c in ("steps", "who", "cids", "sizes")), strict=True):
+        for steps, low, who, cids, sizes in zip(*(table.column(c).to_pylist() for c in ("steps", "low", "who", "cids", "sizes")), strict=True):
             index = np.frombuffer(who, np.uint16)
             first, rest = np.frombuffer(steps[:8], np.uint64), steps[8:]
             wide = np.frombuffer(rest, np.uint32 if len(rest) == 4 * (len(index) - 1) else np.uint64)
-            hs.append(np.cumsum(np.concatenate([first, wide.astype(np.uint64)]), dtype=np.uint64))
+            hs.append(np.cumsum(np.concatenate([first, wide.astype(np.uint64)]), dtype=np.uint64) << np.uint64(16) | np.frombuffer(low, np.uint16))
             cs.append(np.frombuffer(cids, np.int64)[index])
             ns.append(np.frombuffer(sizes, np.uint32)[index])
         h, c, n = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns)
@@ -169,7 +170,7 @@ def _shared_entries(columns: DataFrame, parts: int) -> DataFrame:
             lo, hi = edge[p], edge[p + 1]
             if lo < hi:
                 used, at, counts = np.unique(c[lo:hi], return_index=True, return_counts=True)
-                for k, v in zip(cols, (p, used.tobytes(), counts.astype(np.uint32).tobytes(), n[lo:hi][at].tobytes(), np.ascontiguousarray(h[lo:hi].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), df[lo:hi].astype(np.uint32).tobytes()), strict=True):
+                for k, v in zip(cols, (p, used.tobytes(), counts.astype(np.uint32).tobytes(), n[lo:hi][at].tobytes(), h[lo:hi].tobytes(), df[lo:hi].astype(np.uint32).tobytes()), strict=True):
                     cols[k].append(v)
         return pa.Table.from_arrays([pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in cols.items()], list(cols))
 
@@ -187,9 +188,7 @@ def _rows(entries: DataFrame, percent: int) -> DataFrame:
             k = np.frombuffer(counts, np.uint32)
             cs.append(np.repeat(np.frombuffer(cids, np.int64), k))
             ns.append(np.repeat(np.frombuffer(sizes, np.uint32), k))
-            wide = np.zeros((len(h) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
-            hs.append(wide.view(np.int64).reshape(-1))
+            hs.append(np.frombuffer(h, np.int64))
             dfs.append(np.frombuffer(df, np.uint32))
         h, c, n, df = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns).astype(np.int64), np.concatenate(dfs)
         _, index, counts = np.unique(c, return_inverse=True, return_counts=True)
@@ -304,7 +303,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component; one of repeated rows; rows without id stay."""
     found = common.materialize(linked_components(docs.select("doc_id", "text"), size, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count("*").alias("rows")), "jaccard-kept")
     gone = found.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(common.few(gone), "doc_id", "left_anti").select(*docs.columns)
+    # the ids that go grow with the corpus: they meet the documents in a shuffle at every size
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id = component_id and rows > 1").select("doc_id")
     if again.isEmpty():
         return kept

@@ -6,7 +6,9 @@ documents, that sends a document in round ceil(E / quantum), E being the queue's
 carry over windows and partitions in E, a running sum taken in parts. The rounds, then the sources, then the queues
 give one stream of tokens, cut every ``length`` ids: only the last sequence has padding.
 
-Shares default to the sources' own shares of all tokens. A missing source is a source of its own. Documents with no
+Shares default to the sources' own shares of all tokens. A missing source is a source of its own. Given shares must be
+positive and name every source of the documents; anything else is an error, since its documents would have no place.
+A queue that empties leaves its share of the later windows to the others. Documents with no
 text are their end id. Repeated rows are packed as often as they come. No rows give no pieces.
 """
 
@@ -38,12 +40,17 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     queued = common.running_start(narrow, ["_ord", "uid"], "n_tokens", "_before", ["source"])
     per_source = narrow.groupBy("source").agg(F.sum("n_tokens").alias("_all")).select(F.col("source").alias("_source"), "_all")
     total = per_source.agg(F.sum("_all").alias("_total"))
-    if shares:
+    if shares is not None:
+        if not shares or min(shares.values()) <= 0:
+            raise ValueError("shares must be positive")
         wanted = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v) / sum(shares.values())))])
-        share = F.coalesce(wanted[F.col("source")], F.lit(1.0 / window_tokens))
+        share = wanted[F.col("source")]
+        unnamed = per_source.where(F.col("_source").isNull() | wanted[F.col("_source")].isNull()).limit(1).collect()
+        if unnamed:
+            raise ValueError(f"no share for source {unnamed[0]['_source']}")
     else:
         share = F.col("_all") / F.col("_total")
-    quantum = F.greatest(share * window_tokens, F.lit(1e-9))
+    quantum = share * window_tokens
     rounds = queued.join(per_source, F.col("source").eqNullSafe(F.col("_source")), "left").join(F.broadcast(total)).withColumn("window", F.ceil((F.col("_before") + F.col("n_tokens")) / quantum).cast("long"))
     placed = common.running_start(rounds.select("uid", "source", "window", "_before", "n_tokens"), ["window", "source", "_before", "uid"], "n_tokens", "_at")
     # a merge join at every size: the texts' ids are moved once, never sent whole to each task

@@ -68,16 +68,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int) -> dict | None:
         import pyarrow as pa
 
         for batch in batches:
-            packed = [np.minimum(counts(t), 65_535).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            packed = [counts(t).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "counts"])
 
-    # at most ``rows`` rows of 8 KB
+    # at most ``rows`` rows of 16 KB
     table = labelled.sample(docs, labels, "quality", rows).mapInArrow(tally, "doc_id long, label int, counts binary").toArrow().sort_by("doc_id")
     if not len(table):
         return None
     matrix = np.empty((len(table), TERMS), np.float32)
     for k, packed in enumerate(table.column("counts")):
-        matrix[k] = np.frombuffer(packed.as_buffer(), np.uint16)
+        matrix[k] = np.frombuffer(packed.as_buffer(), np.uint32)
     wanted = np.array(table.column("label").to_pylist(), np.float32)
     del table
     idf = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(0))).astype(np.float32) + 1
@@ -122,7 +122,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = 3_000, least: float =
 
 
 def keep(docs: DataFrame, labels: DataFrame, rows: int = 3_000, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``: repeated rows alike, null texts as a text
+    of nothing. Without labelled rows all have 0.5, and stay if ``least`` isn't more."""
     spark = docs.sparkSession
     common.small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, rows))

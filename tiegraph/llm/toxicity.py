@@ -11,7 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiegraph.llm import common, labelled
@@ -76,8 +76,14 @@ class Ftrl:
         return at.astype(np.int32), w[at].astype(np.float32)
 
 
+#: Different features of all training rows together: 4 bytes each on the driver.
+FEATURES = 40_000_000
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, passes: int = 3) -> tuple[np.ndarray, np.ndarray] | None:
-    """Places and values of the weights, from at most ``rows`` labelled documents; None if there are none."""
+    """Places and values of the weights, from at most ``rows`` labelled documents; None if there are none. Very long texts
+    may make the sample smaller: documents, in order of a hash of their ids, are taken while they have at most FEATURES
+    features in all (at least one is)."""
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -87,7 +93,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 10_000, passes: int =
 
     common.small_batches(docs.sparkSession)
     # bounded by ``rows``: the features of each row, not its text
-    table = labelled.sample(docs, labels, "toxic", rows).mapInArrow(hashed, "doc_id long, label int, at binary").toArrow().sort_by("doc_id")
+    sample = common.materialize(labelled.sample(docs, labels, "toxic", rows).mapInArrow(hashed, "doc_id long, label int, at binary"), "toxic-rows")
+    # a window over the lengths of at most ``rows`` rows
+    sizes = sample.select("doc_id", F.length("at").alias("at")).withColumn("upto", F.sum("at").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))
+    taken = sizes.where((F.col("upto") <= 4 * FEATURES) | (F.col("upto") == F.col("at"))).select("doc_id")
+    table = sample.join(F.broadcast(taken), "doc_id").toArrow().sort_by("doc_id")
     if not len(table):
         return None
     # views of the collected buffers, no copies
