@@ -3,8 +3,8 @@
 Words are runs of letters and digits, in lower case; shingles are five words (all words of a shorter item).
 
 1. Windows. Every window of an item's number of words that holds a shingle of any item of that size is examined, at
-   every start; a window without one has similarity 0 with all items. Each start comes from the first shared shingle that
-   its window holds, with its words, so no text is moved or read again.
+   every start; a window without one has similarity 0 with all items. A window less than ``threshold`` of whose weight is
+   in shingles of items can't be as similar as that to any. Equal windows of different documents are one from here on.
 2. Each window has a 64-bit SimHash of its shingles, weighted by their letters. The bits are cut into RADIUS + 1
    blocks: two hashes within RADIUS agree in a block, so joining on (window size, block, bits) finds all items of the
    window's size within the radius, and bit counts discard the rest.
@@ -16,7 +16,7 @@ At similarity 0.8 the hashes differ in 9 to 10 of 64 bits on average; RADIUS is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiegraph.llm import common
@@ -102,28 +102,33 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
         for part in range(passes):
             some = keys.where((F.col("size") == size) & (F.pmod(F.col("h"), F.lit(passes)) == part)).select("h", "n_words")
             at = slim.select("doc_id", once(words_of(F.col("text"))).alias("words")).select("doc_id", "words", F.posexplode(shingle_hashes(F.col("words"), size)).alias("pos", "h"))
-            first = F.greatest(F.col("pos") - F.col("n_words") + size, F.lit(0))
-            around = F.slice("words", first + 1, F.col("pos") - first + F.col("n_words"))
-            found = at.join(F.broadcast(some), "h").select("doc_id", "n_words", F.lit(size).alias("size"), "pos", first.alias("first"), around.alias("around"))
+            found = at.join(F.broadcast(some), "h").select("doc_id", "n_words", F.lit(size).alias("size"), "pos")
             hits = found if hits is None else hits.unionByName(found)
-    hits = hits.dropDuplicates(["doc_id", "n_words", "pos"]) if passes > 1 else hits
-    before = F.lag("pos").over(Window.partitionBy("doc_id", "n_words").orderBy("pos"))
-    # repeated rows of a document repeat its hits, and give no start of their own
-    fresh = hits.withColumn("from", F.greatest("first", F.coalesce(before + 1, F.lit(0)))).where(F.col("from") <= F.col("pos"))
-    starts = fresh.select("doc_id", "n_words", "size", "first", "around", F.explode(F.sequence("from", "pos")).alias("start"))
-    cut = starts.select("doc_id", "start", "n_words", "size", once(F.slice("around", F.col("start") - F.col("first") + 1, F.col("n_words"))).alias("words"))
-    by_size = F.lit(None).cast("array<string>")
+    hits = common.materialize(hits.groupBy("doc_id", "n_words", "size").agg(F.collect_set("pos").alias("hits")), "leak-hits")
+    # texts meet their hits in a shuffle at every size: the documents with hits grow with the corpus
+    texts = slim.join(hits.hint("shuffle_hash"), "doc_id").select("doc_id", "n_words", "size", "hits", once(words_of(F.col("text"))).alias("words"))
+    windows = None
     for size in sizes:
-        by_size = F.when(F.col("size") == size, shingles(F.col("words"), size)).otherwise(by_size)
-    cut = cut.select("doc_id", "start", "n_words", once(F.array_distinct(by_size)).alias("texts"))
-    cut = common.materialize(cut.select("doc_id", "start", "n_words", "texts", once(simhash(F.col("texts"))).alias("bits")), "leak-prints")
-    probe = cut.select("doc_id", "start", "n_words", "texts", "bits", F.explode(blocks(F.col("bits"))).alias("block")).select("*", "block.k", "block.v")
-    index = prints.select("item_id", "n_words", F.col("texts").alias("item_texts"), F.col("bits").alias("item_bits"), F.explode(blocks(F.col("bits"))).alias("block"))
-    index = index.select("item_id", "n_words", "item_texts", "item_bits", "block.k", "block.v")
-    near = probe.join(index, ["n_words", "k", "v"]).where(hamming(F.col("bits"), F.col("item_bits")) <= RADIUS)
-    near = near.dropDuplicates(["doc_id", "start", "n_words", "item_id"])
+        rows = texts.where(F.col("size") == size).select("doc_id", "n_words", "hits", once(shingles(F.col("words"), size)).alias("all"))
+        width = F.col("n_words") - size + 1
+        starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(p - F.col("n_words") + size, F.lit(0)), p))))
+        window = lambda at: F.struct(at.alias("start"), F.array_distinct(F.slice("all", at + 1, width)).alias("texts"), F.array_distinct(F.transform(F.filter("hits", lambda p: (p >= at) & (p < at + width)), lambda p: F.get("all", p))).alias("shared"))  # noqa: B023, E731
+        # what an item shares with a window is among the window's hits: their share of its weight bounds the similarity
+        able = F.filter(F.transform(starts, window), lambda w: weight(w["shared"]) >= threshold * weight(w["texts"]))
+        some = rows.select("doc_id", "n_words", F.explode(able).alias("w")).select("doc_id", "n_words", "w.start", "w.texts")
+        windows = some if windows is None else windows.unionByName(some)
+    # equal windows, wherever they are, are one: 128 bits name their shingles
+    name = F.struct(F.xxhash64("texts").alias("a"), F.xxhash64(F.lit(1), "texts").alias("b")).alias("name")
+    windows = common.materialize(windows.select("doc_id", "n_words", "start", name, "texts"), "leak-windows")
+    once_each = windows.groupBy("n_words", "name").agg(F.first("texts").alias("texts"))
+    unique = common.materialize(once_each.select("n_words", "name", "texts", simhash(F.col("texts")).alias("bits")), "leak-prints")
+    probe = unique.select("n_words", "name", "bits", F.explode(blocks(F.col("bits"))).alias("block")).select("n_words", "name", "bits", "block.k", "block.v")
+    index = prints.select("item_id", "n_words", F.col("bits").alias("item_bits"), F.explode(blocks(F.col("bits"))).alias("block")).select("item_id", "n_words", "item_bits", "block.k", "block.v")
+    near = probe.join(index, ["n_words", "k", "v"]).where(hamming(F.col("bits"), F.col("item_bits")) <= RADIUS).select("n_words", "name", "item_id").distinct()
+    both = near.join(unique.select("n_words", "name", "texts"), ["n_words", "name"]).join(prints.select("item_id", F.col("texts").alias("item_texts")), "item_id")
     common_weight = weight(F.array_intersect("texts", "item_texts"))
-    scored = near.withColumn("similarity", common_weight / weight(F.array_union("texts", "item_texts"))).where(F.col("similarity") >= threshold)
+    alike = both.select("n_words", "name", "item_id", (common_weight / weight(F.array_union("texts", "item_texts"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = windows.select("doc_id", "n_words", "start", "name").join(alike, ["n_words", "name"])
     best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("similarity"), F.col("start"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start").alias("window_start"), (-F.col("best.col1")).alias("similarity"))
 
