@@ -141,12 +141,78 @@ def test_temporal_slices(spark):
     assert [(r["ego"], r["alter"]) for r in N.at_time(n, 5).edges.collect()] == [(2, 3)]
 
 
+def test_joins_give_what_arrays_give(spark):
+    """Fix points in both forms; the slower ones are registered queries (pagerank_joined, hitting_time_joined, eigenvector_distributed)."""
+    n = net(spark, [(1, 2, 2), (2, 3, 1), (3, 1, 1), (3, 4, 5), (4, 5, 1), (5, 6, 1), (6, 4, 2), (7, 8, 1)], 9)
+    u = T.symmetrize(n)
+    forms = [
+        (I.components, n), (I.kcore, n), (I.regular_classes, n), (lambda x, **k: I.closeness(x, **k), n),
+        (K.bridges, u), (lambda x, **k: K.bridges(x, "distance", **k), u), (K.betweenness, u),
+    ]
+    for k, (f, x) in enumerate(forms):
+        a, b = (sorted(map(tuple, f(x, **how).collect()), key=str) for how in ({}, {"local_rows": 0}))
+        assert len(a) == len(b)
+        for p, q in zip(a, b, strict=True):
+            assert all(v == w or v is not None and w is not None and abs(v - w) < 1e-4 for v, w in zip(p, q, strict=True)), f"form {k}: {p} {q}"
+
+
+def _partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in _partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k, part in enumerate(rest):
+            yield [*rest[:k], [items[0], *part], *rest[k + 1 :]]
+
+
+def test_communities_of_three_components_are_the_best(spark):
+    """Modularity over the whole network, against all partitions."""
+    ties = [(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1), (5, 6, 3), (6, 7, 1), (8, 9, 2)]
+    n = net(spark, ties, 9, directed=False)
+    m = sum(v for *_, v in ties)
+    k = {i: sum(v for a, b, v in ties if i in (a, b)) for i in range(1, 10)}
+
+    def q(parts):
+        at = {i: j for j, p in enumerate(parts) for i in p}
+        return sum(v for a, b, v in ties if at[a] == at[b]) / m - sum(sum(k[i] for i in p) ** 2 for p in parts) / (2 * m) ** 2
+
+    best = max(map(q, _partitions(list(range(1, 10)))))
+    for method in ("louvain", "leiden"):
+        assert M.modularity(n, K.community(n, method)).head()[0] == pytest.approx(best)
+    found = {r["node"]: r["community"] for r in K.community(n, "infomap").collect()}
+    assert found[1] == found[2] == found[3] and found[5] == found[6] == found[7] and found[8] == found[9] and len(set(found.values())) == 3
+
+
+def test_plexes_of_unconnected_parts(spark):
+    n = net(spark, [(1, 2, 1), (3, 4, 1)], 4, directed=False)
+    assert {r["plex"] for r in K.k_plexes(n, 3, least=4).collect()} == {"1,2,3,4"}
+
+
+def test_samples_and_fits(spark):
+    from tiegraph.operators import inference as P
+
+    t = spark.range(1, 101).select(F.col("id").alias("node"), F.when(F.col("id") <= 10, 5.0).otherwise(0.5).alias("w"))
+    s = P.weighted_sample(t, "w", 19)
+    assert s.count() in (18, 19, 20) and s.where("w > 1").count() == 10
+    fits = spark.createDataFrame([("a", 100, -50.0, 3), ("b", 100, -49.0, 5)], "model string, n long, ll double, k int")
+    assert [r["model"] for r in P.compare_fits(fits, "aic").collect()] == ["a", "b"]
+    r = M.row_median(spark.createDataFrame([(1.0, None, 3.0), (None, None, None)], "a double, b double, c double"), ["a", "b", "c"]).collect()
+    assert (r[0]["median"], r[1]["median"]) == (2.0, None)
+
+
 def test_catalog():
     c = N.Catalog()
     with pytest.raises(N.NetworkError):
         c.get()
     assert not N.Catalog.valid("1x") and N.Catalog.valid("ok_1")
     assert c.free_name("1 bad name") == "_1_bad_name"
+    for name in ("a1", "a2", "b1"):
+        c._nets[name] = None
+    c.keep("a*")
+    assert c.names() == ["a1", "a2"]
+    c.drop("a1")
+    assert c.names() == ["a2"]
 
 
 def test_empty_network(spark):

@@ -7,7 +7,7 @@ from tiegraph import catalog_queries
 
 CHECKED = [
     "from_edges_last_wins", "symmetrize_mean", "recode_zero", "collapse_sum", "expand_absdistinv", "algebra_subtract", "project_newman", "project_cosine", "degree_opsahl", "degree_two_mode", "summary", "mixing", "alter_stats", "context",
-    "dyad_census", "assortativity_attribute", "turnover", "formation", "modularity", "diffusion_exposure", "clustering_directed", "brokerage", "burt", "triad_census", "similarity_adamic", "profile_pearson", "nestedness", "motifs4", "components", "geodesics", "pagerank", "lans", "adjust_BY", "session_ties",
+    "dyad_census", "assortativity_attribute", "turnover", "formation", "modularity", "diffusion_exposure", "clustering_directed", "brokerage", "burt", "triad_census", "similarity_adamic", "profile_pearson", "nestedness", "motifs4", "components", "geodesics", "pagerank", "lans", "adjust_BY", "session_ties", "kcore", "hitting_time", "cliques", "k_plexes", "betweenness", "bridges", "adjust_hommel", "sdsm", "round_trip_pajek", "round_trip_compressed", "profile_pearson_both", "permute_swap", "backbone_signed", "expression_variables",
 ]
 
 
@@ -40,23 +40,3 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-def test_whole_follow_network(spark):
-    """Coreness on all ties, by peeling: a tie-value cut would lower it."""
-    from tiegraph import catalog_queries
-    from tiegraph.plans.networks import follow
-
-    sf, links = "/root/testdata/sf0.01", {}  # at sf0.001 a cut at 2 changes no coreness
-    for r in follow(spark, sf).edges.collect():
-        links.setdefault(r["ego"], set()).add(r["alter"])
-        links.setdefault(r["alter"], set()).add(r["ego"])
-    want, k = {}, 0
-    while links:
-        v = min(links, key=lambda x: len(links[x]))
-        k = max(k, len(links[v]))
-        want[v] = k
-        for w in links.pop(v):
-            links[w].discard(v)
-    got = {r["node"]: r["coreness"] for r in catalog_queries.queries()["kcore"](spark, sf).collect()}
-    assert {n: c for n, c in got.items() if c} == want

@@ -461,7 +461,8 @@ def regular_classes(net: Network, max_rounds: int = 1000, local_rows: int = LOCA
     for _ in range(max_rounds):
         out = e.join(c.select(F.col("node").alias("alter"), "class"), "alter").groupBy(F.col("ego").alias("node")).agg(F.sort_array(F.collect_set("class")).alias("o"))
         in_ = e.join(c.select(F.col("node").alias("ego"), "class"), "ego").groupBy(F.col("alter").alias("node")).agg(F.sort_array(F.collect_set("class")).alias("i"))
-        key = F.xxhash64("class", F.coalesce("o", F.array().cast("array<bigint>")), F.coalesce("i", F.array().cast("array<bigint>")))
+        out_set, in_set = (F.coalesce(x, F.array().cast("array<bigint>")) for x in ("o", "i"))
+        key = F.xxhash64("class", F.size(out_set), out_set, in_set)  # sizes, since a hash of arrays runs over their elements
         c = state.keep(c.join(out, "node", "left").join(in_, "node", "left").select("node", key.alias("class")))
         now = c.select("class").distinct().count()
         if now == count:
