@@ -59,7 +59,7 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<i8")
 
 
-_CHUNKS = "chunk long, chars long, ids array<long>, wanted array<boolean>, texts binary"
+_CHUNKS = "chunk long, chars long, ids array<long>, texts binary"
 _KEYS = "bucket long, chunk long, high binary, low binary, is_word binary, counts binary"
 _ANSWERS = "bucket long, chunk long, counts binary, words long, total long, target_total long"
 _LOSSES = "doc_id long, n_tokens long, target_loss double, background_loss double"
@@ -68,7 +68,7 @@ _LOSSES = "doc_id long, n_tokens long, target_loss double, background_loss doubl
 def _table(columns: list, schema: str) -> object:
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     names = [x.split() for x in schema.split(", ")]
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], [n for n, _ in names])
 
@@ -79,20 +79,19 @@ def _gather(batches: Iterator, size: int) -> Iterator:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    ids, wanted, lines, n = [], [], [], 0
+    ids, lines, n = [], [], 0
 
     def chunk() -> Iterator:
-        yield from _table([[number], [n], [ids], [wanted], [zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))]], _CHUNKS).to_batches()
+        yield from _table([[number], [n], [ids], [zstandard.ZstdCompressor(level=3).compress(b"\n".join(lines))]], _CHUNKS).to_batches()
 
     for batch in batches:
-        for i, t, w in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(i)
-            wanted.append(w)
             lines.append(b" ".join(_words(t)))
-            n += len(t)
+            n += len(t) + 1  # empty texts fill a chunk, too
             if n >= size:
                 yield from chunk()
-                ids, wanted, lines, n, number = [], [], [], 0, number + 1
+                ids, lines, n, number = [], [], 0, number + 1
     if ids:
         yield from chunk()
 
@@ -135,7 +134,9 @@ def _deal(batches: Iterator, buckets: int) -> Iterator:
             one = batch.slice(r, 1).to_pylist()[0]
             c = _Chunk(one["texts"])
             keys, is_word = c.keys[c.order], c.order < c.n_words
-            counts = np.stack([c.counts(), c.counts(np.array(one["wanted"]))])[:, c.order]
+            wanted = np.zeros(c.docs[-1] + 1, bool)
+            wanted[one["wanted"] or []] = True
+            counts = np.stack([c.counts(), c.counts(wanted)])[:, c.order]
             ends = [0, *np.searchsorted(keys[:, 0], bounds), len(keys)]
             rows = [(b, x, y) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if x < y]
             columns = [[b for b, _, _ in rows], [one["chunk"]] * len(rows), [_pack(np.diff(keys[x:y, 0], prepend=np.uint64(0))) for _, x, y in rows], [keys[x:y, 1].astype("<u4").tobytes() for _, x, y in rows], [np.packbits(is_word[x:y]).tobytes() for _, x, y in rows], [_pack(counts[:, x:y].ravel()) for _, x, y in rows]]
@@ -196,11 +197,15 @@ def score(docs: DataFrame, target: DataFrame, chunk: int = CHUNK) -> DataFrame:
     empty target leaves its model to the smoothing.
     """
     common.small_batches(docs.sparkSession)
-    ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("wanted", F.lit(True))
-    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text")).join(common.few(ids), "doc_id", "left").select("doc_id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    chunks = common.materialize(tagged.mapInArrow(partial(_gather, size=chunk), _CHUNKS), "lm-chunks", "none")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
+    chunks = common.materialize(texts.mapInArrow(partial(_gather, size=chunk), _CHUNKS), "lm-chunks", "none")
     buckets = max(24, (chunks.agg(F.sum("chars")).head()[0] or 0) // chunk)
-    dealt = chunks.select("chunk", "wanted", "texts").mapInArrow(partial(_deal, buckets=buckets), _KEYS)
+    # ids alone meet the target's; compressed chunks, not texts, then meet the places found: the same joins at every size
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    places = chunks.select("chunk", F.posexplode("ids").alias("place", "doc_id")).join(ids.hint("merge"), "doc_id", "leftsemi")
+    wanted = places.groupBy("chunk").agg(F.collect_list("place").alias("wanted"))
+    marked = chunks.select("chunk", "texts").join(wanted.hint("merge"), "chunk", "left")
+    dealt = marked.select("chunk", "wanted", "texts").mapInArrow(partial(_deal, buckets=buckets), _KEYS)
     answers = common.materialize(dealt.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "lm-counts", "none")
     n = answers.agg(F.sum("words"), F.sum("total"), F.sum("target_total")).head()
     last = partial(_losses, vocabulary=max(n[0] or 0, 1 << VOCAB_BITS), totals=(n[1] or 0, n[2] or 0))
