@@ -156,6 +156,20 @@ def test_joins_give_what_arrays_give(spark):
             assert all(v == w or v is not None and w is not None and abs(v - w) < 1e-4 for v, w in zip(p, q, strict=True)), f"form {k}: {p} {q}"
 
 
+@pytest.mark.parametrize("how", [{}, {"local_rows": 0}])
+def test_eigenvector_is_down_to_rounding(spark, how):
+    """A loop that stops at steps of tol is off by more than that, which a rounding to six places can show."""
+    import numpy as np
+
+    ties = [(a, b, 1) for a in range(1, 9) for b in range(a + 1, 9) if (a * b) % 3 or a == 1]
+    a = np.zeros((8, 8))
+    for x, y, _ in ties:
+        a[x - 1, y - 1] = a[y - 1, x - 1] = 1
+    want = np.abs(np.linalg.eigh(a)[1][:, -1])
+    got = table(I.eigenvector(net(spark, ties, 8), tol=1e-8, **how), "node")
+    assert max(abs(got[k + 1]["evcent"] - want[k]) for k in range(8)) < 1e-13
+
+
 def _partitions(items):
     if not items:
         yield []
