@@ -251,3 +251,51 @@ def test_binomial_tail_keeps_its_digits_for_large_totals():
     chance /= chance.sum()
     for least in range(int(n * p) - 1200, int(n * p) + 1200, 50):
         assert abs(B._binomial_tail(least, n, p) - chance[k >= least].sum()) < 1e-12
+
+
+def test_searches_from_many_sources_equal_single_ones():
+    import numpy as np
+
+    from tiegraph.operators import local
+
+    rng = np.random.default_rng(3)
+    n = 700
+    i, j = np.concatenate([rng.integers(0, n - 9, 1500), np.zeros(300, int)]), np.concatenate([rng.integers(0, n - 9, 1500), rng.integers(1, n - 9, 300)])
+    pair = np.unique(i * n + j)
+    i, j = pair // n, pair % n
+    a = local.Arrays(None, np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))]), j, np.ones(len(j)), np.ones(n, bool))
+    dist, back, sources = np.empty(n, np.int64), a.reversed(), rng.permutation(n)[:333]
+    got = np.full((len(sources), n), -1)
+    got[np.arange(len(sources)), sources] = 0
+    for d, (nodes, bits) in enumerate(local.waves(a, back, sources), 1):
+        at, of = np.nonzero(np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little"))
+        assert (got[of, nodes[at]] == -1).all()
+        got[of, nodes[at]] = d
+        assert (local.bit_counts(bits)[: len(sources)] == (got == d).sum(1)).all()
+    for k, s in enumerate(sources):
+        local.hops(a, s, dist)
+        assert (got[k] == dist).all()
+
+
+def test_all_geodesics_of_many_nodes_are_not_refused(spark):
+    g = net(spark, [(1, 2, 1), (2, 3, 1)], 20_001)
+    assert {tuple(r) for r in I.geodesics(g, alpha=0.0).collect()} == {(1, 2, 1.0), (1, 3, 2.0), (2, 3, 1.0)}
+    assert {tuple(r) for r in I.reach(g).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_measures_of_every_source_write_no_pairs_up_to_source_rows(spark, monkeypatch):
+    """12 million arcs of 90,000 nodes went to the joins, whose pairs fill the disk."""
+
+    def joins(*_):
+        raise AssertionError("joins")
+
+    monkeypatch.setattr(K, "_betweenness_on_joins", joins)
+    monkeypatch.setattr(I, "_rounds_of_joins", joins)
+    for m in (K, I):
+        monkeypatch.setattr(m, "pooled", lambda *x, f=m.pooled: (f(*x)[0], 12_100_000))
+    g = net(spark, [(1, 2, 1), (2, 3, 1)], 4)
+    assert table(K.betweenness(g), "node")[2]["betweenness"] == 1
+    assert table(I.katz_decay(g, 0.5, cost=0.0), "node")[1]["katz"] == 0.75
+    assert table(I.utility(g), "node")[1]["utility"] == 0.75 - 0.1
+    assert table(I.closeness(g, legacy=True, alpha=0.0), "node")[1]["closeness"] == 1
+    assert table(I.geodesic_summary(g, alpha=0.0), "node")[1]["eccentricity"] == 2
