@@ -299,3 +299,56 @@ def test_measures_of_every_source_write_no_pairs_up_to_source_rows(spark, monkey
     assert table(I.utility(g), "node")[1]["utility"] == 0.75 - 0.1
     assert table(I.closeness(g, legacy=True, alpha=0.0), "node")[1]["closeness"] == 1
     assert table(I.geodesic_summary(g, alpha=0.0), "node")[1]["eccentricity"] == 2
+
+
+def two_mode(spark, ties):
+    return N.from_two_mode(spark.createDataFrame(ties, "a long, b long"), "a", "b")
+
+
+def test_two_mode_indices_make_no_pairs_of_the_larger_mode(spark, monkeypatch):
+    """Both modes' pairs were made; 3 million ties have 800 million shared partners of one mode. Brute force on small ties."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    ties = sorted({(rng.randrange(9), rng.randrange(6)) for _ in range(28)})
+    rows = {m: {} for m in (0, 1)}
+    for t in ties:
+        for m in (0, 1):
+            rows[m].setdefault(t[m], set()).add(t[1 - m])
+    pairs = {m: [(len(x), len(y), len(x & y)) for x, y in itertools.combinations(rows[m].values(), 2)] for m in (0, 1)}
+    c4 = sum(s * (s - 1) / 2 for _, _, s in pairs[0])
+    nodf = {m: sum(100 * s / min(a, b) for a, b, s in pairs[m] if a != b) for m in (0, 1)}
+    g = two_mode(spark, ties)
+    monkeypatch.setattr(S, "wedges", lambda *_: pytest.fail("pairs"))
+    got = S.nestedness(g).head()
+    assert got["nodf_1"] == pytest.approx(nodf[0] / len(pairs[0])) and got["nodf_2"] == pytest.approx(nodf[1] / len(pairs[1]))
+    assert got["nodf"] == pytest.approx(sum(nodf.values()) / (len(pairs[0]) + len(pairs[1])))
+    assert got["c_score"] == pytest.approx(sum((a - s) * (b - s) for a, b, s in pairs[1]) / len(pairs[1]))
+    assert S.robins_alexander(g).head()["c4"] == c4
+    monkeypatch.undo()
+    assert S.four_cycles(g, local_rows=0).head()["c4"] == c4
+
+
+def test_fixed_row_tails_are_worked_out_once_for_each_pair_of_degrees(spark, monkeypatch):
+    from math import comb
+
+    ties = [(q, i) for i in range(60) for q in range(40) if (i * 7 + q * 3) % (4 + i % 2) == 0 or q == 0]
+    rows = {i: {q for q, r in ties if r == i} for i in range(60)}
+    calls = []
+    monkeypatch.setattr(B, "_hyper_tails", lambda a, b, n, f=B._hyper_tails: calls.append((a, b)) or f(a, b, n))
+    monkeypatch.setattr(B, "_projected", lambda net, mode, f=B._projected: f(net, mode).coalesce(1))
+    made = []
+
+    def local(df, apply, schema):
+        made.append(schema)
+        return df.sparkSession.createDataFrame(__import__("pandas").concat(apply(iter([df.toPandas()]))), schema)
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInPandas", local)
+    got = B.fixed_row(two_mode(spark, ties), 2).collect()
+    assert len(got) == 60 * 59 / 2 and len(calls) == len(set(calls)) <= 10
+    for r in got:
+        a, b = rows[int(r["ego"][1:])], rows[int(r["alter"][1:])]
+        k, m, n = len(a), len(b), 40
+        want = sum(comb(k, i) * comb(n - k, m - i) for i in range(len(a & b), min(k, m) + 1)) / comb(n, m)
+        assert r["value"] == len(a & b) and r["p"] == pytest.approx(want, abs=1e-12)
