@@ -352,3 +352,18 @@ def test_fixed_row_tails_are_worked_out_once_for_each_pair_of_degrees(spark, mon
         k, m, n = len(a), len(b), 40
         want = sum(comb(k, i) * comb(n - k, m - i) for i in range(len(a & b), min(k, m) + 1)) / comb(n, m)
         assert r["value"] == len(a & b) and r["p"] == pytest.approx(want, abs=1e-12)
+
+
+def test_cliques_need_no_component(spark, monkeypatch):
+    """A component of more than MAX_TIES ties was refused. Against brute force over all sets of nodes."""
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    ties = {(a, b) for a, b in itertools.combinations(range(1, 12), 2) if rng.random() < 0.55}
+    monkeypatch.setattr(K, "MAX_TIES", 5)
+    near = {v: {b if a == v else a for a, b in ties if v in (a, b)} for v in range(1, 12)}
+    whole = [set(c) for k in range(3, 12) for c in itertools.combinations(range(1, 12), k) if all(y in near[x] for x, y in itertools.combinations(c, 2))]
+    want = {",".join(map(str, sorted(c))) for c in whole if not any(c < d for d in whole)}
+    got = [tuple(r) for r in K.cliques(net(spark, [(a, b, 1) for a, b in ties], 11, directed=False)).collect()]
+    assert len(want) > 5 and set(got) == {(c, int(v)) for c in want for v in c.split(",")} and len(got) == len(set(got))
