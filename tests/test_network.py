@@ -367,3 +367,29 @@ def test_cliques_need_no_component(spark, monkeypatch):
     want = {",".join(map(str, sorted(c))) for c in whole if not any(c < d for d in whole)}
     got = [tuple(r) for r in K.cliques(net(spark, [(a, b, 1) for a, b in ties], 11, directed=False)).collect()]
     assert len(want) > 5 and set(got) == {(c, int(v)) for c in want for v in c.split(",")} and len(got) == len(set(got))
+
+
+def test_matchings_equal_brute_force():
+    """Dense costs and a search from every node of the larger mode took 3 million ties past any time."""
+    import random
+    from functools import cache
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for trial in range(60):
+        rows, columns = rng.randint(1, 6), rng.randint(1, 7)
+        ties = {(i, j): float(rng.randint(1, 4)) for i in range(rows) for j in range(columns) if rng.random() < 0.45}
+        start = np.concatenate([[0], np.cumsum([sum(1 for i, _ in ties if i == r) for r in range(rows)])])
+        to, value = np.array([j for _, j in sorted(ties)], np.int64), np.array([ties[t] for t in sorted(ties)])
+
+        @cache
+        def best(i, used, weighted, ties=ties, rows=rows):
+            if i == rows:
+                return 0
+            return max([best(i + 1, used, weighted), *(best(i + 1, used | 1 << j, weighted) + (v if weighted else 1) for (r, j), v in ties.items() if r == i and not used >> j & 1)])
+
+        for weighted, mate in ((False, K._largest_matching(start, to, columns)), (True, K._heaviest_matching(start, to, value, columns))):
+            pairs = [(i, int(j)) for i, j in enumerate(mate) if j >= 0]
+            assert len({j for _, j in pairs}) == len(pairs) and all(p in ties for p in pairs)
+            assert sum(ties[p] if weighted else 1 for p in pairs) == best(0, 0, weighted), trial
