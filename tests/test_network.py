@@ -393,3 +393,13 @@ def test_matchings_equal_brute_force():
             pairs = [(i, int(j)) for i, j in enumerate(mate) if j >= 0]
             assert len({j for _, j in pairs}) == len(pairs) and all(p in ties for p in pairs)
             assert sum(ties[p] if weighted else 1 for p in pairs) == best(0, 0, weighted), trial
+
+
+def test_communities_refuse_no_size(spark, monkeypatch):
+    monkeypatch.setattr(K, "LOCAL_ROWS", 5)
+    n = net(spark, [(1, 2, 1), (2, 3, 1), (1, 3, 1), (4, 5, 1), (5, 6, 1), (4, 6, 1), (3, 4, 1)], 6, directed=False)
+    for method in ("louvain", "leiden"):
+        assert {r["node"]: r["community"] for r in K.community(n, method).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+    g = two_mode(spark, [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (3, 4), (4, 3), (4, 4)])
+    found = {r["node"]: r["community"] for r in K.two_mode_communities(g).collect()}
+    assert len(set(found.values())) == 2 and found["a1"] == found["a2"] == found["b1"] == found["b2"] != found["a3"]
