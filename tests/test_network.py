@@ -403,3 +403,21 @@ def test_communities_refuse_no_size(spark, monkeypatch):
     g = two_mode(spark, [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (3, 4), (4, 3), (4, 4)])
     found = {r["node"]: r["community"] for r in K.two_mode_communities(g).collect()}
     assert len(set(found.values())) == 2 and found["a1"] == found["a2"] == found["b1"] == found["b2"] != found["a3"]
+
+
+def test_swaps_and_spectra_refuse_no_size(spark, monkeypatch):
+    from tiegraph.operators import local
+
+    monkeypatch.setattr(local, "LOCAL_ROWS", 5)
+    monkeypatch.setattr(K, "dyads", None, raising=False)
+    ties = [(a, b) for a in range(1, 9) for b in range(1, 9) if a != b and (a * 3 + b) % 4 < 2]
+    for directed in (True, False):
+        mine = ties if directed else [t for t in ties if t[0] < t[1]]
+        n = net(spark, [(*t, 1) for t in mine], 8, directed=directed)
+        new = [(r["ego"], r["alter"]) for r in T.permute_ties(n, 3).edges.collect()]
+        ends = lambda x, d=directed: (sorted(a for a, _ in x), sorted(b for _, b in x)) if d else sorted(v for t in x for v in t)
+        assert ends(new) == ends(mine) and len(set(new)) == len(mine) and all(a != b for a, b in new) and set(new) != set(mine)
+    monkeypatch.setattr(N.Network, "n_nodes", lambda self: 9_000)  # a matrix of more than 6,000 nodes was refused
+    path = net(spark, [(1, 2, 1), (2, 3, 1)], 3, directed=False)
+    got = sorted(r["eigenvalue"] for r in K.spectral(path).collect())
+    assert got == pytest.approx([0, 1, 3], abs=1e-12)
